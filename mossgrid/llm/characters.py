@@ -48,6 +48,9 @@ SUSPECT = (
     r"|[\x{1d400}-\x{1d7ff}]|[Ͱ-ԯ]\p{M}*[A-Za-zÀ-ɏ]|[A-Za-zÀ-ɏ]\p{M}*[Ͱ-ԯ]"
 )
 
+#: The same test for Python.
+SUSPECT_CHARS = re.compile(SUSPECT.replace(r"\x{1d400}-\x{1d7ff}", "\U0001d400-\U0001d7ff").replace(r"\p{M}", "[\u0300-\u036f]"))
+
 
 @lru_cache(maxsize=65536)
 def _fold_char(c: str) -> str:

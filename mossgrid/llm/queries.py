@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mossgrid.llm import characters, encoding
+from mossgrid.llm import characters, encoding, residue
 from mossgrid.session import table
 
 
@@ -16,6 +16,14 @@ def p1_consistent(spark: SparkSession, d: str) -> DataFrame:
     return characters.consistent_form(table(spark, d, "products"))
 
 
+def p3_residue(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_fields(table(spark, d, "products"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_residue(spark, d).select("product_id", "field_name")
+
+
 def p4_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.garbled_fields(table(spark, d, "products"))
 
@@ -24,5 +32,5 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_restored(spark, d).select("product_id", "field_name").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_consistent": p1_consistent, "p4_found": p4_found, "p4_restored": p4_restored}
+QUERIES = {"p1_found": p1_found, "p1_consistent": p1_consistent, "p3_found": p3_found, "p3_residue": p3_residue, "p4_found": p4_found, "p4_restored": p4_restored}
 SQL: dict[str, str] = {}
