@@ -35,16 +35,16 @@ CYRILLIC_TWINS = dict(zip("аеорсухіјѕԁһԛԝАВЕЗІЈКМНОРС
 GREEK_TWINS = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧΑανορυχικε", "ABEZHIKMNOPTYXAavopuxike"))
 #: Invisible characters; spaces that look like a space; hyphens that look like "-".
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤﻿"
-SPACES = "             　 "
+SPACES = "               　  "
 HYPHENS = "‐‑﹣－"
 CYRILLIC_TWINS.pop("З", None)
 _TO_LATIN = CYRILLIC_TWINS | GREEK_TWINS
 _FROM_LATIN = {"C": {v: k for k, v in CYRILLIC_TWINS.items() if k in "аеорсухАВЕКМНОРСТУХ"}, "G": {v: k for k, v in GREEK_TWINS.items()}}
-_EMOJI_JOIN = re.compile(r"(?<=[☀-➿️\U0001f300-\U0001faff])‍(?=[☀-➿️\U0001f300-\U0001faff])")
+_EMOJI_JOIN = re.compile("(?<=[☀-➿️\U0001f300-\U0001faff])‍(?=[☀-➿️\U0001f300-\U0001faff])")
 _WORD = re.compile("(?:[^\\W\\d_][\u0300-\u036f]*)+")
 #: JVM-side test: a value without any of these needs no look.
 SUSPECT = (
-    r"[ ­ĲĳǄ-ǌǱ-ǳ̀-ͯ؜ ᠎ -‑‪-  -⁤ΩKÅ　ﬀ-ﬆ﹣﻿＀-￯]"
+    r"[ ­ĲĳǄ-ǌǱ-ǳ̀-ͯ؜ ᠎ -‑ -  -⁤ΩKÅ　ﬀ-ﬆ﹣﻿＀-￯]"
     r"|[\x{1d400}-\x{1d7ff}]|[Ͱ-ԯ]\p{M}*[A-Za-zÀ-ɏ]|[A-Za-zÀ-ɏ]\p{M}*[Ͱ-ԯ]"
 )
 
@@ -74,7 +74,7 @@ def _fold_char(c: str) -> str:
 def fold(text: str) -> str:
     """Step 1, for one text."""
     keep = _EMOJI_JOIN.sub("\x00", text)
-    return unicodedata.normalize("NFC", "".join(map(_fold_char, keep))).replace("\x00", "‍")
+    return unicodedata.normalize("NFC", "".join(map(_fold_char, keep))).replace("\x00", "\u200d")
 
 
 def _script(c: str) -> str:

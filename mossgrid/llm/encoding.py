@@ -83,7 +83,7 @@ def _kind(c: str) -> str:
         return "L"
     if 0x2500 <= o < 0x25A0 or c in "√∂∑∏∫∆≈≠≤≥∞◊⌐":
         return "b"
-    if c in "–—‘’“”…•™     　­​‌‍⁠﻿‎‐‑":
+    if c in "–—‘’“”…•™     　­​‌‍‎⁠﻿‐‑":
         return "q"
     if o < 0x100 or cat in ("Sk", "Lm") or c in "†‡‚„‰‹›€":
         return "s"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mossgrid.llm import characters, encoding, residue
+from mossgrid.llm import characters, encoding, leakage, residue, sentences, tokenize
 from mossgrid.session import table
 
 
@@ -32,5 +32,21 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_restored(spark, d).select("product_id", "field_name").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_consistent": p1_consistent, "p3_found": p3_found, "p3_residue": p3_residue, "p4_found": p4_found, "p4_restored": p4_restored}
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenize.corpus_ids(table(spark, d, "documents"))
+
+
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_leaks(spark, d).select("doc_id", "item_id")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, d, "documents")).distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_consistent": p1_consistent, "p3_found": p3_found, "p3_residue": p3_residue, "p4_found": p4_found, "p4_restored": p4_restored, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found}
 SQL: dict[str, str] = {}
