@@ -117,7 +117,7 @@ class Index:
         self.heads: dict[str, list[int]] = defaultdict(list)
         for e, bag in enumerate(self.bags):
             left = self.mass[e]
-            for x in sorted(bag, key=lambda x: (-self.weight[x], x)):
+            for x in sorted(bag, key=lambda x: (-self.weight[x], -len(x), x)):
                 self.heads[x].append(e)
                 left -= self.weight[x] * bag[x]
                 if left < CONTAINED * self.mass[e] - 1e-9:
