@@ -61,7 +61,7 @@ def clean_money(c: Column | str) -> Column:
     raw = _text(c)
     found = F.regexp_extract(raw, f"(?iu){NOTE}", 0)
     note = F.nullif(F.trim(F.regexp_replace(found, r"\s+", " ")), F.lit(""))
-    body = F.when(found == "", raw).otherwise(F.concat(F.substring_index(raw, found, 1), F.substr(raw, F.instr(raw, found) + F.length(found))))
+    body = F.when(found == "", raw).otherwise(F.concat(F.substr(raw, F.lit(1), F.position(found, raw) - 1), F.substr(raw, F.position(found, raw) + F.length(found))))
     amounts = F.regexp_extract_all(body, F.lit(_MONEY), F.lit(0))
     marked = F.filter(amounts, lambda a: a.rlike(_MARKED))
     value = F.trim(F.regexp_replace(F.coalesce(F.get(marked, F.lit(0)), F.get(amounts, F.lit(0))), "(?U)\\s+", " "))

@@ -8,6 +8,7 @@ from urllib.parse import urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Path shapes of product pages, and directory index files.
 PRODUCT_PATH = "(?i)/(?:products?|item|itm|prod|p)/[^/?#]+/?$"
@@ -140,7 +141,7 @@ def next_page_guess(url: Column | str, page: Column) -> Column:
     return F.concat(F.substring_index(u, "?", 1), F.lit("?"), F.array_join(F.concat(pairs, F.array(F.concat(F.lit("page="), page.cast("string")))), "&"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def joined(base: pd.Series, href: pd.Series) -> pd.Series:
     """``href`` as found on the page ``base``; null where either is null or cannot be joined."""
 
@@ -202,7 +203,7 @@ def is_public_address(address: str) -> bool:
     return not (a.is_private or a.is_loopback or a.is_link_local or a.is_reserved or a.is_multicast or a.is_unspecified)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def refusal(url: pd.Series, addresses: pd.Series) -> pd.Series:
     """Why an address must not be fetched, null where it may: bad syntax, or a host that
     is or resolves to (``addresses``, from a table of names) a network that is not public."""
@@ -220,7 +221,7 @@ def refusal(url: pd.Series, addresses: pd.Series) -> pd.Series:
     return pd.Series([one(u, k) for u, k in zip(url, addresses)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def network_of(address: pd.Series) -> pd.Series:
     """The /24 or /64 of an address; the text itself where it is none."""
 

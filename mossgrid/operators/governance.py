@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mossgrid.functions.urls import cache_key, failure_key
 from mossgrid.html import extract
@@ -158,7 +159,10 @@ def outcome(df: DataFrame, satisfied: Column, html: str = "html", final: str | N
     )
 
 
-@F.pandas_udf("fields map<string,string>, modes map<string,string>, item string")
+_MAP = T.MapType(T.StringType(), T.StringType())
+
+
+@F.pandas_udf(T.StructType([T.StructField("fields", _MAP), T.StructField("modes", _MAP), T.StructField("item", T.StringType())]))
 def recipe_from_text(text: pd.Series) -> pd.DataFrame:
     """The recipe in a compiler's answer: the outermost object in the text, nested under
     "fields" or flat; selectors that are no text are dropped; null where nothing is left."""

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mossgrid.plans import problems
+from mossgrid.plans import problems, reference
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return dict(problems.QUERIES)
+    return reference.Q | problems.QUERIES
 
 
 def sql() -> dict[str, str]:
-    return dict(problems.SQL)
+    return reference.SQL | problems.SQL

@@ -9,6 +9,7 @@ from urllib.robotparser import RobotFileParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mossgrid.functions.urls import base_of
 from mossgrid.session import cut
@@ -39,7 +40,7 @@ def sitemap_locations(xml: str | None) -> list[tuple[str, bool]]:
     return [(e.text.strip(), further) for e in root.iter() if local(e) == "loc" and (e.text or "").strip()]
 
 
-@F.pandas_udf("array<struct<loc:string,is_nested:boolean>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("loc", T.StringType()), T.StructField("is_nested", T.BooleanType())])))
 def locations(xml: pd.Series) -> pd.Series:
     return pd.Series([[{"loc": a, "is_nested": b} for a, b in sitemap_locations(x)] for x in xml])
 
