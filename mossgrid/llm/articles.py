@@ -23,7 +23,6 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -70,7 +69,6 @@ _SUFFIX_OF_BRAND = re.compile(r" (?:official|gmbh|store|co\.?|ltd\.?|inc\.?|shop
 _RESIDUE = residue.Index()
 
 
-@lru_cache(maxsize=1 << 15)
 def measure_of(text: str, within: int = 1 << 30) -> str | None:
     """The first measure in ``text``, in a common unit: "v750", "x1300", "size:m"."""
     if (m := _SIZE.search(text)) and m.start() <= within:
@@ -87,7 +85,6 @@ def measure_of(text: str, within: int = 1 << 30) -> str | None:
     return None
 
 
-@lru_cache(maxsize=1 << 15)
 def colour_of(text: str) -> int | None:
     m = _COLOUR_RE.search(text)
     return _COLOUR[m[0]] if m else None
@@ -104,7 +101,8 @@ def marks(title: str | None, brand: str | None, sku: str | None, description: st
     s = _SKU.match((sku or "").casefold().strip())
     if _ACCESSORY.search(t) or s and s[7]:
         return None
-    code = _CODE.search(t) or _CODE.search(d)
+    in_title = _CODE.search(t)
+    code = in_title or _CODE.search(d)
     if code:
         model = code[1] + code[2] + (code[3] or "")
     elif s:
@@ -112,7 +110,7 @@ def marks(title: str | None, brand: str | None, sku: str | None, description: st
     else:
         return None
     label = _LABEL_COLOUR.search(d)
-    rest = t[: code.start()] + " | " + t[code.end() :] if code and _CODE.search(t) else t
+    rest = t[: code.start()] + " | " + t[code.end() :] if in_title else t
     colour = colour_of(label[1]) if label else None
     if colour is None:
         colour = colour_of(rest)
@@ -230,7 +228,7 @@ def listing_marks(products: DataFrame) -> DataFrame:
             made = pd.DataFrame(out, columns=["product_id", *_KEY])
             yield made.astype({"colour": "Int32", "variant": "Int32"})
 
-    return products.select("product_id", "site", "title", "brand", "sku", "description").mapInPandas(
+    return products.where("product_id is not null").select("product_id", "site", "title", "brand", "sku", "description").mapInPandas(
         run, "product_id long, model string, site string, colour int, measure string, variant int, brand string"
     )
 

@@ -82,8 +82,13 @@ def _script(c: str) -> str:
     return "M" if 0x300 <= o < 0x370 else "L" if o < 0x250 or 0x1E00 <= o < 0x1F00 else "C" if 0x400 <= o < 0x530 else "G" if 0x370 <= o < 0x400 else "O"
 
 
-@lru_cache(maxsize=65536)
 def twin_spellings(word: str) -> tuple[str, ...]:
+    """Like :func:`_twins`; long words are not kept in memory."""
+    return _twins(word) if len(word) <= 64 else _twins.__wrapped__(word)
+
+
+@lru_cache(maxsize=65536)
+def _twins(word: str) -> tuple[str, ...]:
     """The word in one script each, its dominant script first; none where it does not
     mix scripts or a letter has no twin."""
     if word.isascii():
@@ -121,7 +126,7 @@ def _looked_at(products: DataFrame, fields: Sequence[str], key: str) -> DataFram
                 out.append((i, name, text, folded, folded != text, [{"word": w, "result": r} for w, rs in words.items() for r in rs]))
             yield pd.DataFrame(out, columns=[key, "field_name", "text", "folded", "changed", "words"])
 
-    values = products.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.when(F.col(f).rlike(SUSPECT), F.col(f)).alias("text")) for f in fields])).alias("v"))
+    values = products.where(F.col(key).isNotNull()).select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.when(F.col(f).rlike(SUSPECT), F.col(f)).alias("text")) for f in fields])).alias("v"))
     return values.select(key, "v.*").where("text is not null").mapInPandas(run, f"{key} {kind}, {_SCHEMA}")
 
 

@@ -48,7 +48,9 @@ LOOKALIKE = frozenset("аеорсухіјѕԁһԛԝАВЕЗІЈКМНОРСТУ
 LONE = frozenset("ÃÂÐ")
 _LEAD = re.compile(r"([ÃÐ]) ( ?)")
 _WORD = re.compile(r"[^\W\d_]+")
-_PIECE = re.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
+#: A piece: what stands between white space, of bounded length. Long runs are parted at
+#: plain characters, between which no garbled sequence stretches.
+_PIECE = re.compile(r"(?:[!-~]{0,48}[^\x00-\x7f]{1,160}){1,12}[!-~]{0,48}")
 
 
 def _bytes(text: str, encoding: str) -> bytes:
@@ -144,7 +146,8 @@ def cost(piece: str) -> float:
             total += 0.05
         elif k == "L":
             # letters of other scripts, beside a letter of these
-            total += 0.05 + (1.5 if before in "lUumoCck" or after in "lUumoCck" else 0) * (unicodedata.normalize("NFKC", c) == c)
+            if (before in "lUumoCck" or after in "lUumoCck") and unicodedata.normalize("NFKC", c) == c:
+                total += 1.55
     return total
 
 
@@ -283,5 +286,5 @@ def garbled_fields(products: DataFrame, fields: Sequence[str] = ("title", "descr
             yield pd.DataFrame({key: ids, "field_name": names, "text": texts, "restored": restored})
 
     # only values with a character beyond ASCII can be garbled; the others stay in the JVM
-    only = products.select(key, *[F.when(F.col(f).rlike(r"[^\x00-\x7f]"), F.col(f)).alias(f) for f in fields]).where(" or ".join(f"`{f}` is not null" for f in fields))
+    only = products.where(F.col(key).isNotNull()).select(key, *[F.when(F.col(f).rlike(r"[^\x00-\x7f]"), F.col(f)).alias(f) for f in fields]).where(" or ".join(f"`{f}` is not null" for f in fields))
     return only.mapInPandas(run, f"{key} {kind}, field_name string, text string, restored string").dropDuplicates([key, "field_name", "text"])

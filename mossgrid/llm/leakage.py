@@ -158,7 +158,7 @@ def _by_broadcast(documents: DataFrame, rows: list[tuple[int, str]]) -> DataFram
             out = [(d, k, c) for d, t in zip(pdf["doc_id"], pdf["text"]) if t for k, c in items.found(t)]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "coverage"])
 
-    return documents.select("doc_id", "text").where("text is not null").mapInPandas(run, _RESULT)
+    return documents.select("doc_id", "text").where("doc_id is not null and text is not null").mapInPandas(run, _RESULT)
 
 
 def _seeds(df: DataFrame, key: str) -> DataFrame:
@@ -178,7 +178,7 @@ def _seeds(df: DataFrame, key: str) -> DataFrame:
 
 def _by_shuffle(documents: DataFrame, items: DataFrame) -> DataFrame:
     """Seeds joined by a shuffle, for item sets of any size."""
-    docs = documents.select("doc_id", "text").where("text is not null")
+    docs = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     doc_seeds = _seeds(docs, "doc_id").select("doc_id", "seed").distinct()
     shared = doc_seeds.join(_seeds(items, "item_id"), "seed").groupBy("doc_id", "item_id").agg(F.count_distinct("place").alias("places"))
     # a tile of the least length holds so many seeds of its tokens; the exact test follows
@@ -197,7 +197,7 @@ def _by_shuffle(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 def leaked_items(documents: DataFrame, items: DataFrame, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """``(doc_id, item_id, coverage)`` of every item a document carries."""
-    held = items.select("item_id", "text").where("text is not null and trim(text) <> ''").dropDuplicates()
+    held = items.select("item_id", "text").where("item_id is not null and text is not null and trim(text) <> ''").dropDuplicates()
     size = held.agg(F.sum(F.length("text"))).first()[0] or 0
     if size <= broadcast_chars:
         found = _by_broadcast(documents, [(r["item_id"], r["text"]) for r in held.collect()])

@@ -65,6 +65,7 @@ _SHAPES = [("{{{", "}}}"), ("{{", "}}"), ("{%", "%}"), ("<%=", "%>"), ("[%", "%]
 _WEAK = {("[", "]"), ("%", "%"), ("$", "$"), ("&lt;", "&gt;"), ("<", " here>")}
 _LEX = re.compile("|".join(f"(?P<s{i}>{re.escape(a)}{_NAME if b else r'[A-Za-z][\w.]*'}{re.escape(b)})" for i, (a, b) in enumerate(_SHAPES)) + r"|(?P<w>[^\W\d_]+)|(?P<n>\d+(?:[.,]\d+)*)", re.IGNORECASE)
 _SIGNS = re.compile(r"[{}\[\]%$«@&*#]|__|<|t\('", re.IGNORECASE)
+_WORDS = re.compile(r"[^\W\d_]+")
 _PLAIN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*")
 
 
@@ -153,6 +154,8 @@ class Index:
     def judge(self, text: str, own: frozenset[str] = frozenset()) -> str | None:
         """The kind of residue a text is or contains. ``own``: words of the seller's
         address, which error pages append."""
+        if not _SIGNS.search(text) and self.first.isdisjoint(_WORDS.findall(text.casefold())):
+            return None
         toks = tokens(text)
         if not toks or self.first.isdisjoint(toks):
             return None
@@ -219,7 +222,7 @@ def residue_fields(products: DataFrame, fields: Sequence[str] = ("title", "descr
                             out.append((i, f, hit))
             yield pd.DataFrame(out, columns=[key, "field_name", "kind"])
 
-    return products.select(key, seller, *fields).mapInPandas(run, f"{key} {kind_of_key}, field_name string, kind string").dropDuplicates([key, "field_name"])
+    return products.where(F.col(key).isNotNull()).select(key, seller, *fields).mapInPandas(run, f"{key} {kind_of_key}, field_name string, kind string").dropDuplicates([key, "field_name"])
 
 
 def without_residue(products: DataFrame, fields: Sequence[str] = ("title", "description"), key: str = "product_id") -> DataFrame:

@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -102,7 +103,7 @@ def _gap_score(block: str, a: int, b: int) -> float:
 
 def _quote_opened_first(block: str, begin: int, at: int) -> bool:
     """The quote that closes before ``at`` opened the sentence."""
-    return block[begin:at].lstrip()[:1] in "“„«「『\"‘‹"
+    return block[begin : begin + 40].lstrip()[:1] in "“„«「『\"‘‹"
 
 
 def _terminator_score(block: str, begin: int, m: re.Match) -> float:
@@ -151,7 +152,8 @@ def _terminator_score(block: str, begin: int, m: re.Match) -> float:
                 return -4.0 if after.startswith(GOES_ON) else 1.5
             return -5.0 if token and token[-1].isascii() and token[-1].isalpha() else 3.0
         if nxt.isupper() or nxt in "“„«¿¡「":
-            run = re.search(r"\S*$", block[begin:at])[0]
+            run = block[max(begin, at - 200) : at].split()[-1:] or [""]
+            run = run[0]
             if "://" in run or "@" in run or "www." in run.lower():
                 return -5.0
             if last == "." and re.search(r"(?:^|\.)[^\W\d_]$", token) and not (token.islower() and after[1:2].islower()):
@@ -184,14 +186,14 @@ def _terminator_score(block: str, begin: int, m: re.Match) -> float:
     letters = [c for c in token if c.isalpha()]
     if len(token.rstrip(".")) == 1 and token[0].isalpha():
         # an initial or a part of "z. B."; a unit after a number may end a sentence
-        before = block[begin:at].rstrip()[: -len(token)].rstrip()
+        before = block[max(begin, at - 80) : at].rstrip()[: -len(token)].rstrip()
         if token.isupper() or before.endswith(".") and not before[:-1][-1:].isdigit() and len(re.search(r"[^\s.]*$", before[:-1])[0]) == 1:
             return 1.0 if before.endswith(".") and word in ("д", "п") and before[-2:-1] == "т" and nxt.isupper() else -4.0 if not (before[-1:].isdigit()) else 2.0
         if not token.isascii() and caseless:
             return -4.0
         return 2.5 if before[-1:].isdigit() or before[-1:] in "%)" or word in ("l", "m", "s", "g", "a", "o", "y", "и", "я") else -2.0
     if token.isdigit() and nxt.isalpha():
-        before = re.search(r"(\w+)\W*$", block[begin : at - len(token)])
+        before = re.search(r"(\w+)\W*$", block[max(begin, at - len(token) - 40) : at - len(token)])
         if before and before[1].casefold() in ORDINAL_BEFORE:
             return -4.0
         if not block[begin : at - len(token)].strip():
@@ -228,7 +230,7 @@ def _cuts(block: str, begin: int) -> list[int]:
                 continue
             a, m = _trim(block, start, m)
             score = _terminator_score(block, start, m)
-        if any(x < a < y for x, y in inside):
+        if inside[a]:
             score -= 6.0
         if score > CUT and any(c.isalnum() for c in block[start:a]):
             out.append(a)
@@ -241,7 +243,7 @@ def _trim(block: str, begin: int, m: re.Match) -> tuple[int, re.Match]:
     end = m.end()
     while end > m.start() + 1 and block[end - 1] in "“\"'’»›":
         c, after = block[end - 1], block[end : end + 1]
-        before = block[begin : end - 1]
+        before = block[max(begin, end - 600) : end - 1]
         if c == "“":
             opens = before.count("„") > before.count("“")
         elif c in "\"'":
@@ -258,21 +260,28 @@ def _trim(block: str, begin: int, m: re.Match) -> tuple[int, re.Match]:
     return (end, m) if end == m.end() else (end, _END.match(block, m.start(), end))
 
 
-def _open_spans(block: str) -> list[tuple[int, int]]:
-    """Spans between an opening mark and its closing one."""
+def _open_spans(block: str) -> list[int]:
+    """For each place, how many pairs of an opening mark and its closing one it lies in."""
     spans, stack = [], []
     for i, c in enumerate(block):
         if stack and c in _PAIRS[block[stack[-1]]]:
             spans.append((stack.pop(), i))
         elif c in _PAIRS:
             stack.append(i)
+            if len(stack) > 200:
+                del stack[0]
         elif stack and c in ")]」』）»”":
             for k in range(len(stack) - 1, -1, -1):
                 if c in _PAIRS[block[stack[k]]]:
                     spans.append((stack[k], i))
                     del stack[k:]
                     break
-    return [s for s in spans if s[1] - s[0] < 400]
+    depth = [0] * (len(block) + 2)
+    for x, y in spans:
+        if y - x < 400:
+            depth[x + 1] += 1
+            depth[y] -= 1
+    return list(accumulate(depth))
 
 
 def _blocks(text: str) -> Iterator[tuple[int, int, int]]:
@@ -328,4 +337,4 @@ def sentence_units(documents: DataFrame) -> DataFrame:
             out = [(d, e) for d, t in zip(pdf["doc_id"], pdf["text"]) for e in unit_ends(t)]
             yield pd.DataFrame(out, columns=["doc_id", "end_pos"])
 
-    return documents.select("doc_id", "text").where("text is not null").mapInPandas(run, "doc_id long, end_pos long")
+    return documents.select("doc_id", "text").where("doc_id is not null and text is not null").mapInPandas(run, "doc_id long, end_pos long")

@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 VOCABULARIES = os.environ.get("MOSSGRID_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: how a text is split before merging (the published pattern of the vocabulary).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Encoded words a worker remembers, and the longest of them.
 KEEP_WORDS = 200_000
+KEEP_CHARS = 64
 
 
 class Encoder:
@@ -111,7 +113,11 @@ class Encoder:
         if fresh:
             self.known.update(zip(fresh, self.merge(fresh)))
         empty, known = np.empty(0, np.int64), self.known
-        return [np.concatenate([known[w] for w in ws]) if ws else empty for ws in split]
+        out = [np.concatenate([known[w] for w in ws]) if ws else empty for ws in split]
+        for w in fresh:
+            if len(w) > KEEP_CHARS:
+                del known[w]
+        return out
 
 
 @lru_cache(maxsize=2)
