@@ -63,6 +63,8 @@ DIGITS = {"JPY": 0, "KWD": 3}
 #: Unit ids of minor units in price_units are found by rate, not by name: eur_per_unit × 10^digits.
 MAX_COST = 0.3
 GRAM = 2
+#: No unit is spelled longer.
+LONGEST = 40
 
 
 def _seeds() -> list[tuple[str, str, str]]:
@@ -123,6 +125,8 @@ class Speller:
         self.unit = lru_cache(maxsize=4096)(self._unit)
 
     def _unit(self, s: str) -> tuple[str, str] | None:
+        if len(s) > LONGEST:
+            return None
         shared: dict[int, int] = defaultdict(int)
         grams = _grams(s)
         for g in grams:
@@ -220,7 +224,7 @@ def recorded_units(products: DataFrame, sites: DataFrame, price_units: DataFrame
     raw = F.from_json("raw", "prices struct<price:string,currency_code:string,currency_minor_unit:int>")
     rows = (
         products.select("product_id", "site", F.col("price").cast("decimal(20,3)").alias("price"), text.alias("text"), F.nullif(F.trim("currency"), F.lit("")).alias("currency"), raw.alias("raw"))
-        .where("price is not null or text rlike '[0-9]'")
+        .where("product_id is not null and (price is not null or text rlike '[0-9]')")
         .select(
             "*",
             F.nullif(F.regexp_extract("text", _NUMBER, 2), F.lit("")).alias("number"),
