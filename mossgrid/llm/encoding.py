@@ -97,7 +97,7 @@ def cost(piece: str) -> float:
     """How garbled a piece (no white space inside) looks; 0 for common text."""
     total, n = 0.0, len(piece)
     kinds = [_kind(c) for c in piece]
-    run, shouted = 0, "U" in kinds and "l" not in kinds and "m" not in kinds
+    run, shouted = 0, "l" not in kinds and "m" not in kinds
     for i, (c, k) in enumerate(zip(piece, kinds)):
         before, after = kinds[i - 1] if i else " ", kinds[i + 1] if i + 1 < n else " "
         if k in "lUd.":
@@ -112,8 +112,10 @@ def cost(piece: str) -> float:
             run += 1
             if run >= 4:
                 total += 0.6
-            if k == "u" and before in "lm":
-                total += 1.6
+            if before == "g":
+                total += 1.0
+            if k == "u" and (before in "lm" or before == "u" and not shouted):
+                total += 1.6 if before in "lm" else 0.9
         elif k == "o":
             total += 1.2
             run += 1
@@ -127,7 +129,7 @@ def cost(piece: str) -> float:
             total += 0.1 + (1.0 if before in "lUums" and c not in LOOKALIKE else 0) + (0.3 if before == "s" else 0)
         elif k == "s":
             letter_before, letter_after = before in "lUumoCckgLs", after in "lUumoCckgLs"
-            if c in "²³" and piece[i - 1 : i].lower() == "m" and not letter_after or c in "®©" and not letter_after or c in "¿¡" and i == 0 or c == "°" and piece[:i].lower() == "n" or c == "°" and (before in "d " and piece[i + 1 : i + 2] in ("", "C", "F", ".", ",", ")")):
+            if c in "²³" and piece[i - 1 : i].lower() == "m" and not letter_after or c in "®©" and not letter_after or c in "¿¡" and not piece[i - 1 : i].isalpha() or c == "°" and piece[:i].lower() == "n" or c == "°" and (before in "d " and piece[i + 1 : i + 2] in ("", "C", "F", ".", ",", ")")):
                 total += 0.1
             elif c in "«„‚‹" and (i == 0 or before == ".") or c in "»›" and not letter_after or c in "½¼¾" and before in "d " and not letter_after or c in "£€¥" and (before in "d . " and not letter_after or after == "d" and not letter_before) or c in "ªº" and before == "d":
                 total += 0.2
@@ -141,7 +143,7 @@ def cost(piece: str) -> float:
             # a mark of typography right after a garbled lead letter
             total += 1.0 if piece[i - 1 : i] in ("Ã", "Â", "â", "Å", "Ä", "Ð", "Ñ", "Î", "Ï", "Ĺ", "Ă", "ƒ") and i else 0.0
         elif k == "M":
-            total += 0.05 if "\u0300" <= c <= "\u030c" or c in "\u0327\u0328\ufe0f" or not "\u0300" <= c <= "\u036f" else 1.5
+            total += 0.3 if "\u0300" <= c <= "\u030c" or c in "\u0327\u0328\ufe0f" or not "\u0300" <= c <= "\u036f" else 1.5
         elif k == "z":
             total += 0.05
         elif k == "L":
@@ -204,7 +206,8 @@ def _peel(piece: str, layers: int = LAYERS) -> tuple[float, str]:
                     then = _peel(r, layers - 1)
                     if then[0] < best[0] - 1e-9:
                         best = then
-    return best if here - best[0] >= DROP else (here, piece)
+    lost = 3 * piece.count("\ufffd")
+    return best if here - best[0] >= DROP and best[0] - lost <= 0.45 * (here - lost) else (here, piece)
 
 
 def _one_script(piece: str) -> bool:
@@ -249,9 +252,10 @@ def repair(text: str | None) -> tuple[str | None, bool]:
                     best, gain, used = take, won, pair
         if best:
             # the rest of the text was read the same way
-            for p in set(_PIECE.findall(text)) - now.keys():
+            rest = set(_PIECE.findall(text)) - now.keys()
+            for p in rest if len(rest) <= 2 * len(best) else ():
                 r = _step(p, *used)
-                if r is not None and _one_script(r) and cost_of(r) <= cost_of(p) and _word_like(r) and not _word_like(p):
+                if r is not None and r != p and _one_script(r) and _word_like(r) and cost_of(r) <= cost_of(p) + 0.01:
                     best[p] = r
             now |= best
         if now == before:
