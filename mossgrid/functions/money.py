@@ -12,7 +12,7 @@ MONEY_FIELD = "price|prijs|preis|prix|cost|amount|bedrag"
 ON_REQUEST = "price on request"
 _GROUPED = "\\d{1,3}(?:[   ]\\d{3}(?!\\d))+(?:[.,]\\d{1,2})?"
 _AMOUNT = rf"(?:{_GROUPED}|\d[\d.,]*\d|\d)"
-_MONEY = rf"(?iu)(?:(?:{CURRENCY})\s*)?{_AMOUNT}(?:[,.]-)?(?:\s*(?:{CURRENCY}))?"
+_MONEY = rf"(?iuU)(?:(?:{CURRENCY})\s*)?{_AMOUNT}(?:[,.]-)?(?:\s*(?:{CURRENCY}))?"
 _MARKED = rf"(?iu)^(?:{CURRENCY})|(?:{CURRENCY})$|[,.]-(?:\s|$|€|\$|£)"
 DECIMAL = "decimal(38,9)"
 
