@@ -53,7 +53,9 @@ THAI_FINAL = "ครับ ค่ะ คะ นะ จ้ะ แล้ว ไห
 THAI_OPENING = "ก่อน หลังจาก หลัง ตาม ใน ร้าน ร้านค้า โคมไฟ ราคา กล่อง ส่งคืน ความสูง ความ ทีมงาน สินค้า ลูกค้า หน้าเว็บ เมื่อ ถ้า หาก กรุณา โปรด ทำไม รุ่น นี่ ที่นี่ เขา เธอ เรา ผม ฉัน คุณ".split()
 THAI_BINDING = "และ หรือ แต่ ที่ ซึ่ง เพราะ โดย กับ ของ เพื่อ จึง ว่า อัน คือ เป็น ประมาณ ภายใน".split()
 _THAI = "ก-๎"
-_SPACELESS_GAP = re.compile("(?<=[" + _THAI + "ກ-ໝក-៓က-႟])[ \t ]+(?=[" + _THAI + "ກ-ໝក-៓က-႟])")
+_SPACELESS = _THAI + "ກ-ໝក-៓က-႟"
+_SPACELESS_GAP = re.compile("(?<=[" + _SPACELESS + "])[ \r\n\t\u00a0]+(?=[^\\W\\d_]|[" + _SPACELESS + "])")
+_FOREIGN = re.compile("[^\\s" + _SPACELESS + ".!?…。！？؟।]+")
 _LINE = re.compile("\r\n|[\n\r  \x85\v\f]")
 _ITEM = re.compile(r"[﻿​ \t　 ]*(?:[*•·‣◦▪●○■-][ \t 　]+|(\d{1,3})[.)][ \t ]+)(?=\S)")
 _END = re.compile(rf"[{re.escape(TERMINATORS)}]+(?:[   ]?[»›](?!\w)|[{re.escape(CLOSERS)}]+[{re.escape(TERMINATORS)}]*)*")
@@ -89,6 +91,11 @@ _THAI_LONGEST = max(map(len, _THAI_DICTIONARY))
 
 def _gap_score(block: str, a: int, b: int) -> float:
     """The gap ``[a, b)`` between two Thai phrases: words on either side decide."""
+    if not re.match("[" + _SPACELESS + "]", block[b : b + 1]):
+        # another script follows: a name inside the sentence, or a sentence of its own
+        foreign = re.match("[^" + _SPACELESS + ".!?…。！？؟।]*", block[b : b + 80])[0]
+        whole = len(_FOREIGN.findall(foreign)) >= 3 or len(_UNSPACED.findall(foreign)) >= 6
+        return 1.5 if whole and not block[b].islower() else -3.0
     left = thai_words(re.split(r"\s", block[max(0, a - 40) : a])[-1])
     right = thai_words(re.split(r"\s", block[b : b + 40])[0])
     score = 1.0 + 0.5 * ("  " in block[a:b] or "\t" in block[a:b])
