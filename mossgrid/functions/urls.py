@@ -141,6 +141,11 @@ def next_page_guess(url: Column | str, page: Column) -> Column:
     return F.concat(F.substring_index(u, "?", 1), F.lit("?"), F.array_join(F.concat(pairs, F.array(F.concat(F.lit("page="), page.cast("string")))), "&"))
 
 
+def job_label(url: Column | str, mode: Column, day: Column) -> Column:
+    """A file name for a job: host, mode and day, other signs than letters, digits, "." and "-" replaced."""
+    return F.regexp_replace(F.concat_ws("-", domain_of(url), mode, day.cast("string")), r"[^A-Za-z0-9.-]+", "-")
+
+
 @F.pandas_udf(T.StringType())
 def joined(base: pd.Series, href: pd.Series) -> pd.Series:
     """``href`` as found on the page ``base``; null where either is null or cannot be joined."""

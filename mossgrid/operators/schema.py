@@ -67,6 +67,11 @@ class Schema:
     def lists(self) -> frozenset[str]:
         return frozenset(f.name for f in self.fields if f.kind == "list")
 
+    def prompt_lines(self) -> str:
+        """The fields as a compiler of recipes is asked for them, one a line."""
+        many = " (every match)"
+        return "\n".join(f'"{f.name}": a CSS selector or null{": " + f.hint if f.hint else ""}{many if f.kind == "list" else ""}' for f in self.fields)
+
     def struct_type(self) -> T.StructType:
         """The typed row: numbers as decimals with the text beside them, money with its note."""
         out = []

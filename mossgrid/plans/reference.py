@@ -313,6 +313,59 @@ def redirect_chains(spark, d):
     return web.resolved_redirects(last, moves)
 
 
+@query("item_links", f"""with l as (select distinct site as page, 'https://' || site || regexp_replace(url, '^[a-z]+://[^/]*', '') as href from products),
+y as (select page, href, regexp_matches({_ITEM.format('href')}, '(?i)/(products?|item|itm|prod|p)/[^/?#]+/?$') as prod, regexp_replace({_ITEM.format('href')}, '/[^/]*$', '') as parent from l),
+d as (select page, bool_or(prod) as direct from y group by 1),
+g as (select page, parent, count(*) as n, min(href) as first from y join d using (page) where not direct group by all),
+b as (select page, parent, n, row_number() over (partition by page order by n desc, first) as place from g)
+select page, href from y join d using (page) where direct and prod
+union all select y.page, y.href from y join b using (page, parent) where b.place = 1 and b.n >= 3""")
+def item_links(spark, d):
+    """The item links of each shop's listing, which holds all its addresses in order."""
+    from pyspark.sql import Window
+
+    href = F.concat(F.lit("https://"), "site", F.regexp_replace("url", "^[a-z]+://[^/]*", ""))
+    p = table(spark, d, "products").select("site", href.alias("href")).distinct()
+    links = p.select(F.concat(F.lit("https://"), "site", F.lit("/list")).alias("page"), F.row_number().over(Window.partitionBy("site").orderBy("href")).alias("pos"), "href", F.lit(True).alias("has_image"))
+    return frontier.item_links(links).select(F.regexp_extract("page", "//([^/]*)/", 1).alias("page"), "href")
+
+
+@query("sitemap_addresses", "select 'https://' || site as origin, unnest(case when platform is null then ['https://' || site || '/sitemap.xml'] else ['https://' || site || '/' || platform || '.xml', 'https://' || site || '/sitemap.xml'] end) as url from sites")
+def sitemap_addresses(spark, d):
+    origin = F.concat(F.lit("https://"), "site")
+    robots = table(spark, d, "sites").select(origin.alias("origin"), F.lit(200).alias("status"), F.when(F.col("platform").isNotNull(), F.concat(F.lit("User-agent: *\nSitemap: "), origin, F.lit("/"), "platform", F.lit(".xml\n"))).alias("body"))
+    return web.sitemap_addresses(robots)
+
+
+@query("page_choice", f"select product_id, case when coalesce(description, '') = '' then 'rendered' else description end as html from {_P}")
+def page_choice(spark, d):
+    return _products(spark, d).select("product_id", web.readable_page(F.col("description"), F.lit("rendered")).alias("html"))
+
+
+@query("job_labels", f"select product_id, regexp_replace({_DOMAIN.format('url')} || '-rows-' || strftime(fetched_at, '%Y-%m-%d'), '[^A-Za-z0-9.-]+', '-', 'g') as label from {_P}")
+def job_labels(spark, d):
+    return _products(spark, d).select("product_id", urls.job_label("url", F.lit("rows"), F.date_format("fetched_at", "yyyy-MM-dd")).alias("label"))
+
+
+@query("decoded_bodies", f"select product_id, title as text from {_P} where title is not null")
+def decoded_bodies(spark, d):
+    """Bytes without a declared charset that are valid UTF-8 are read as such."""
+    return _products(spark, d).where("title is not null").select("product_id", pages.decoded(F.encode("title", "UTF-8")).alias("text"))
+
+
+@query("mend_candidates")
+def mend_candidates(spark, d):
+    """Of each shop's records that lack a field others have, the one to compile again."""
+    p = _products(spark, d).select(F.col("site").alias("recipe_key"), F.col("product_id").alias("pos"), "url", F.create_map(F.lit("brand"), F.coalesce("brand", F.lit("")), F.lit("sku"), F.coalesce("sku", F.lit("")), F.lit("description"), F.coalesce("description", F.lit(""))).alias("read"))
+    return governance.to_mend(p, ("brand", "sku", "description"))
+
+
+@query("event_windows", "select event_type, date_trunc('day', ts) as day, count(*) as n from events group by all")
+def event_windows(spark, d):
+    w = F.window(F.col("ts").cast("timestamp"), "1 day")
+    return table(spark, d, "events").groupBy("event_type", w.alias("w")).agg(F.count("*").alias("n")).select("event_type", F.col("w.start").cast("timestamp_ntz").alias("day"), "n")
+
+
 # ── coverage, export ──────────────────────────────────────────────────────────────────────
 @query("coverage_report", f"""select site, count(*) as total, count(*) filter (where coalesce(title <> '', false) and coalesce(price <> 0, false) and coalesce(url <> '', false)) as usable,
  round_even(avg(case when coalesce(title <> '', false) then 1.0 else 0.0 end), 3) as title, round_even(avg(case when coalesce(price <> 0, false) then 1.0 else 0.0 end), 3) as price, round_even(avg(case when coalesce(url <> '', false) then 1.0 else 0.0 end), 3) as url from {_P} group by site""")

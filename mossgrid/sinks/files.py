@@ -154,3 +154,37 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
         except AnalysisException:
             continue
     return spark.createDataFrame([], schema)
+
+
+def backup(df: DataFrame, path: str) -> bool:
+    """A snapshot of a table, written only if it differs from the last one; whether it was."""
+    last = _last(df, path)
+    if last is not None and df.exceptAll(last).isEmpty() and last.exceptAll(df).isEmpty():
+        return False
+    replace_table(df, path)
+    return True
+
+
+def _last(df: DataFrame, path: str) -> DataFrame | None:
+    from pyspark.errors import AnalysisException
+
+    try:
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+    except AnalysisException:
+        return None
+
+
+def restore(spark: SparkSession, path: str, snapshot: str) -> bool:
+    """The snapshot put in place of a table that is missing or cannot be read; a readable one stays."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        spark.read.parquet(path).schema
+        return False
+    except AnalysisException:
+        pass
+    try:
+        replace_table(spark.read.parquet(snapshot), path)
+    except AnalysisException:
+        return False
+    return True

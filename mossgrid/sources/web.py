@@ -60,6 +60,25 @@ def sitemap_pages(sitemaps: DataFrame, most: int = 25) -> DataFrame:
     return parsed.where("not is_nested").join(seen, ["origin", "url"], "left_semi").select("origin", "url", "loc")
 
 
+def sitemap_addresses(robots: DataFrame, most: int = 25) -> DataFrame:
+    """``robots(origin, status, body)`` to ``(origin, url)``: the sitemaps an origin names, then its
+    ``/sitemap.xml``, each once, at most ``most`` of an origin."""
+    named = F.regexp_extract_all(F.coalesce(F.when(F.col("status") == 200, F.col("body")), F.lit("")), F.lit(r"(?im)^\s*sitemap:\s*(\S+)"), F.lit(1))
+    every = F.array_distinct(F.concat(named, F.array(F.concat("origin", F.lit("/sitemap.xml")))))
+    return robots.select("origin", F.explode(F.slice(every, 1, most)).alias("url"))
+
+
+def readable_page(static: Column, rendered: Column, has_items: Column | None = None) -> Column:
+    """The page to read: the static one unless it is missing, an empty shell or, where
+    ``has_items`` tells, without items; then the rendered one if there is one."""
+    from mossgrid.functions.pages import looks_js_shelled
+
+    poor = static.isNull() | looks_js_shelled(static)
+    if has_items is not None:
+        poor = poor | ~F.coalesce(has_items, F.lit(False))
+    return F.when(poor, F.coalesce(rendered, static)).otherwise(static)
+
+
 def robots_allow(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
     """``urls(url)`` with ``allowed`` and ``crawl_delay`` from ``robots(origin, status, body)``.
 
