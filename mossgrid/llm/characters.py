@@ -93,6 +93,7 @@ def _twins(word: str) -> tuple[str, ...]:
     mix scripts or a letter has no twin."""
     if word.isascii():
         return ()
+    word = unicodedata.normalize("NFD", word)
     scripts = [_script(c) for c in word]
     n = {s: scripts.count(s) for s in "LCG"}
     if sum(v > 0 for v in n.values()) < 2 or "O" in scripts:

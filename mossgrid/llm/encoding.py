@@ -13,6 +13,7 @@ Defined results
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator, Sequence
@@ -37,8 +38,16 @@ RUSSIAN = frozenset("абвгдеёжзийклмнопрстуфхцчшщъы
 #: change of code page the whole text's by SWAP_GAIN.
 LEAST = 0.9
 DROP = 0.7
+VOWELS = frozenset("aeiouáéíóúüäöy")
+STRANGE_AFTER_OE = frozenset("wkczlpbjæć")
+#: Russian letters by frequency, and how often each comes in a thousand.
+BY_FREQUENCY = "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъ"
+PER_MILLE = (110, 85, 80, 74, 67, 63, 55, 47, 45, 44, 35, 32, 30, 28, 26, 20, 19, 17, 17, 16, 16, 14, 12, 10, 9, 7, 6, 5, 4, 3, 3, 0.4)
+#: Bits a letter that a change between two Cyrillic code pages must save, over so many letters.
+SAVED_BITS = 0.5
+CYRILLIC_LEAST = 6
 FREQUENT = frozenset("оеаинтсрвлкмдпуОЕАИНТСРВЛКМДПУ")
-SWAP_GAIN = 1.2
+SWAP_GAIN = 0.75
 LAYERS = 4
 #: Cyrillic and Greek letters that look like Latin ones; mixed into Latin
 #: words they are look-alikes, not traces of an encoding.
@@ -83,7 +92,7 @@ def _kind(c: str) -> str:
         if 0x2B0 <= o < 0x370:
             return "x"
         return "L"
-    if 0x2500 <= o < 0x25A0 or c in "√∂∑∏∫∆≈≠≤≥∞◊⌐":
+    if 0x2500 <= o < 0x2600 or c in "√∂∑∏∫∆≈≠≤≥∞◊⌐":
         return "b"
     if c in "–—‘’“”…•™     　­​‌‍‎⁠﻿‐‑":
         return "q"
@@ -108,7 +117,14 @@ def cost(piece: str) -> float:
         elif k == "b":
             total += 2.5 if before != " " or after != " " else 1.0
         elif k in "um":
-            total += 0.12 if c not in ODD else 0.3 if k == "u" and shouted and n > 1 else 0.9
+            follower = piece[i + 1 : i + 2].lower()
+            if c in "ñÑ" and follower.isalpha() and follower not in VOWELS or c in "œŒ" and follower in STRANGE_AFTER_OE:
+                total += 1.0
+            elif c in "êÊ" and before in "lUum" and not follower.isalpha():
+                total += 0.8
+            elif k == "m" and before == "U" and after == "U":
+                total += 1.2
+            total += 0.12 if c not in ODD else 0.3 if k == "u" and (shouted and n > 1 or before in "Uu" and after in "Uu") else 0.9
             run += 1
             if run >= 4:
                 total += 0.6
@@ -117,7 +133,7 @@ def cost(piece: str) -> float:
             if k == "u" and (before in "lm" or before == "u" and not shouted):
                 total += 1.6 if before in "lm" else 0.9
         elif k == "o":
-            total += 1.2
+            total += 1.2 + (1.0 if c == "µ" and before in "lUum" and after in "lUum" else 0)
             run += 1
         elif k == "x":
             total += 1.5
@@ -129,7 +145,9 @@ def cost(piece: str) -> float:
             total += 0.1 + (1.0 if before in "lUums" and c not in LOOKALIKE else 0) + (0.3 if before == "s" else 0)
         elif k == "s":
             letter_before, letter_after = before in "lUumoCckgLs", after in "lUumoCckgLs"
-            if c in "²³" and piece[i - 1 : i].lower() == "m" and not letter_after or c in "®©" and not letter_after or c in "¿¡" and not piece[i - 1 : i].isalpha() or c == "°" and piece[:i].lower() == "n" or c == "°" and (before in "d " and piece[i + 1 : i + 2] in ("", "C", "F", ".", ",", ")")):
+            if c == "¿" and after == "m" or c == "¿" and piece[i + 1 : i + 2].islower() and not piece[:i].strip("«“(\""):
+                total += 0.9
+            elif c in "²³" and piece[i - 1 : i].lower() == "m" and not letter_after or c in "®©" and not letter_after or c in "¿¡" and not piece[i - 1 : i].isalpha() or c == "°" and piece[:i].lower() == "n" or c == "°" and (before in "d " and piece[i + 1 : i + 2] in ("", "C", "F", ".", ",", ")")):
                 total += 0.1
             elif c in "«„‚‹" and (i == 0 or before == ".") or c in "»›" and not letter_after or c in "½¼¾" and before in "d " and not letter_after or c in "£€¥" and (before in "d . " and not letter_after or after == "d" and not letter_before) or c in "ªº" and before == "d":
                 total += 0.2
@@ -140,7 +158,11 @@ def cost(piece: str) -> float:
             else:
                 total += 0.8
         elif k == "q":
-            # a mark of typography right after a garbled lead letter
+            # a mark of typography inside a word or right after a garbled lead letter
+            if c in "”“™…•" and after in "lUum" and (before in "lUum" or c == "™" and not i):
+                total += 2.0
+            elif c in "–—" and before in "lUum" and after in "lUum":
+                total += 0.6
             total += 1.0 if piece[i - 1 : i] in ("Ã", "Â", "â", "Å", "Ä", "Ð", "Ñ", "Î", "Ï", "Ĺ", "Ă", "ƒ") and i else 0.0
         elif k == "M":
             total += 0.3 if "\u0300" <= c <= "\u030c" or c in "\u0327\u0328\ufe0f" or not "\u0300" <= c <= "\u036f" else 1.5
@@ -224,13 +246,46 @@ def _word_like(piece: str) -> bool:
     return all(k in "Cc" for k in far) or all(k in "um" for k in far) and len(far) <= near
 
 
+_BITS = {c: -math.log2(n / 1000) for c, n in zip(BY_FREQUENCY, PER_MILLE)}
+_CYRILLIC = re.compile("[\u0400-\u052f]+")
+#: Words of Cyrillic alone; single letters inside Latin words are look-alikes.
+_CYRILLIC_WORD = re.compile("(?<![^\\W\\d_])[\u0400-\u052f]{2,}(?![^\\W\\d_])")
+
+
+def _bits(text: str) -> float:
+    """Bits a letter of the text's Cyrillic, by Russian letter frequencies."""
+    letters = "".join(_CYRILLIC_WORD.findall(text)).lower().replace("ё", "е")
+    return sum(_BITS.get(c, 12.0) for c in letters) / max(1, len(letters))
+
+
+def _letters(text: str) -> int:
+    return sum(map(len, _CYRILLIC_WORD.findall(text)))
+
+
+def _other_cyrillic(text: str) -> str | None:
+    """The text with one Cyrillic code page exchanged for another, where its letters are
+    those of Russian only afterwards."""
+    if not _CYRILLIC.search(text) or (letters := _letters(text)) < CYRILLIC_LEAST:
+        return None
+    before, best = _bits(text), None
+    for written, read in (("koi8-r", "cp1251"), ("cp1251", "koi8-r")):
+        try:
+            out = _CYRILLIC.sub(lambda m: m[0].encode(read).decode(written), text)
+        except UnicodeError:
+            continue
+        if _letters(out) >= 0.8 * letters and before - (now := _bits(out)) >= SAVED_BITS:
+            before, best = now + SAVED_BITS, out
+    return best
+
+
 def repair(text: str | None) -> tuple[str | None, bool]:
     """``(text, found)``: the text with garbled pieces restored where possible, and whether any piece is garbled."""
     if not text or text.isascii():
         return text, False
     now = {p: p for p in _PIECE.findall(text) if suspicious(p)}
     if not now:
-        return text, False
+        other = _other_cyrillic(text)
+        return (text, False) if other is None else (other, True)
     found = "\ufffd" in text
     found |= any("\x80" <= c <= "\x9f" for c in text) or not now.keys().isdisjoint(LONE)
     for _ in range(LAYERS):
@@ -262,7 +317,8 @@ def repair(text: str | None) -> tuple[str | None, bool]:
             break
         found = True
     if not found:
-        return text, False
+        other = _other_cyrillic(text)
+        return (text, False) if other is None else (other, True)
     return _LEAD.sub(_lost_space, _PIECE.sub(lambda m: now.get(m[0], m[0]), text)), True
 
 
