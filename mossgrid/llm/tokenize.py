@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 VOCABULARIES = os.environ.get("MOSSGRID_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: how a text is split before merging (the published pattern of the vocabulary).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Texts split into words at once; a worker's memory grows with it.
+AT_ONCE = 512
 #: Encoded words a worker remembers, and the longest of them.
 KEEP_WORDS = 200_000
 KEEP_CHARS = 64
@@ -141,7 +143,10 @@ def token_ids(text: Column | str, tokenizer: str = "byte_bpe_50k", folder: str =
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = encoder(path)
         for texts in batches:
-            yield pd.Series([x.astype(np.int32) for x in own.encode([t or None for t in texts])])
+            out: list[np.ndarray] = []
+            for at in range(0, len(texts), AT_ONCE):
+                out += [x.astype(np.int32) for x in own.encode([t or None for t in texts.iloc[at : at + AT_ONCE]])]
+            yield pd.Series(out)
 
     return run(text)
 
