@@ -95,7 +95,7 @@ def marks(title: str | None, brand: str | None, sku: str | None, description: st
     is an accessory or holds residue instead of content."""
     t = residue._clean(title or "").casefold()
     d = residue._clean(description or "").casefold()
-    own = frozenset(re.findall(r"[^\W\d_]+", (site or "").casefold()))
+    own = residue.words_of(site)
     if _RESIDUE.judge(t, own) or _RESIDUE.judge(d, own):
         return None
     s = _SKU.match((sku or "").casefold().strip())

@@ -246,9 +246,21 @@ def _word_like(piece: str) -> bool:
     return all(k in "Cc" for k in far) or all(k in "um" for k in far) and len(far) <= near
 
 
-#: A text of these characters alone costs nothing, unless letters beyond ASCII follow on each other.
+#: Characters that cost nothing, and capitals that cost nothing at the start of a word.
 _HARMLESS = frozenset(map(chr, range(0x80))) | {c for c in LETTERS - ODD - set("ñêœ") if c.islower()} | set("–—’‘")
+_CAPITALS = frozenset(c for c in LETTERS - ODD - set("ÑÊŒ") if c.isupper())
 _RUN = re.compile("[^\\x00-\\x7f–—’‘]{4}")
+_INSIDE = re.compile("(?<=[^\\W\\d_])[" + "".join(sorted(_CAPITALS)) + "]|[" + "".join(sorted(_CAPITALS)) + "][–—’‘]")
+
+
+def harmless(text: str) -> bool:
+    """No piece of the text can be garbled; most texts leave here."""
+    if text.isascii():
+        return True
+    odd = set(text) - _HARMLESS
+    return odd <= _CAPITALS and not (odd and _INSIDE.search(text)) and not _RUN.search(text)
+
+
 _BITS = {c: -math.log2(n / 1000) for c, n in zip(BY_FREQUENCY, PER_MILLE)}
 _CYRILLIC = re.compile("[\u0400-\u052f]+")
 #: Words of Cyrillic alone; single letters inside Latin words are look-alikes.
@@ -283,7 +295,7 @@ def _other_cyrillic(text: str) -> str | None:
 
 def repair(text: str | None) -> tuple[str | None, bool]:
     """``(text, found)``: the text with garbled pieces restored where possible, and whether any piece is garbled."""
-    if not text or text.isascii() or _HARMLESS.issuperset(text) and not _RUN.search(text):
+    if not text or harmless(text):
         return text, False
     now = {p: p for p in _PIECE.findall(text) if suspicious(p)}
     if not now:

@@ -20,6 +20,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -176,9 +177,15 @@ class Index:
         return max(kinds)[1] if words and sum(i in covered for i in words) >= COVERED * len(words) else None
 
 
+@lru_cache(maxsize=4096)
+def words_of(seller: str | None) -> frozenset[str]:
+    """The words of a seller's address."""
+    return frozenset(_WORDS.findall((seller or "").casefold()))
+
+
 def _clean(text: str) -> str:
     """The text as it was meant to read: encoding undone, look-alike forms folded."""
-    if text.isascii():
+    if encoding.harmless(text):
         return text
     text = encoding.repair(text)[0]
     if characters.SUSPECT_CHARS.search(text):
@@ -217,8 +224,7 @@ def residue_fields(products: DataFrame, fields: Sequence[str] = ("title", "descr
             for f in fields:
                 for i, s, t in zip(pdf[key], pdf[seller], pdf[f]):
                     if t:
-                        own = frozenset(re.findall(r"[^\W\d_]+", s.casefold())) if s else frozenset()
-                        if hit := index.judge(_clean(t), own):
+                        if hit := index.judge(_clean(t), words_of(s)):
                             out.append((i, f, hit))
             yield pd.DataFrame(out, columns=[key, "field_name", "kind"])
 
