@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,17 +44,24 @@ def admitted(pages: DataFrame, failures: DataFrame, now: float, can_js: bool, sc
 
 def compile_windows(compiles: DataFrame, cap: int = 2) -> DataFrame:
     """``compiles(key, at)`` (seconds) with ``n``, the count in the day that began with its first
-    event, and ``allowed``. A window opens at the first event after the last one ended, so it
-    is a fold over a key's events in order, one pass in the JVM."""
-    events = compiles.groupBy("key").agg(F.array_sort(F.collect_list("at")).alias("ats"))
-    step = lambda acc, at: F.struct(
-        F.when(acc["n"].eqNullSafe(0) | (at - acc["since"] >= DAY), at).otherwise(acc["since"]).alias("since"),
-        F.when(acc["n"].eqNullSafe(0) | (at - acc["since"] >= DAY), F.lit(1)).otherwise(acc["n"] + 1).alias("n"),
-        F.concat(acc["out"], F.array(F.struct(at.alias("at"), F.when(acc["n"].eqNullSafe(0) | (at - acc["since"] >= DAY), F.lit(1)).otherwise(acc["n"] + 1).alias("n")))).alias("out"),
-    )
-    start = F.struct(F.lit(0.0).alias("since"), F.lit(0).alias("n"), F.array().cast("array<struct<at:double,n:int>>").alias("out"))
-    folded = events.select("key", F.explode(F.aggregate("ats", start, step)["out"]).alias("w"))
-    return folded.select("key", "w.at", "w.n", (F.col("w.n") <= cap).alias("allowed"))
+    event, and ``allowed``. A window opens at the first event after the last one ended, so a
+    key's events are folded in order: they pass through one task sorted, and only the open
+    window is held. Events without key or time are left out."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, since, n = None, 0.0, 0
+        for pdf in batches:
+            counts = []
+            for k, at in zip(pdf["key"], pdf["at"]):
+                if k != key or at - since >= DAY:
+                    key, since, n = k, at, 0
+                n += 1
+                counts.append(n)
+            yield pd.DataFrame({"key": pdf["key"], "at": pdf["at"], "n": counts, "allowed": [c <= cap for c in counts]})
+
+    kind = dict(compiles.dtypes)["key"]
+    ordered = compiles.select("key", "at").where("key is not null and at is not null").repartition("key").sortWithinPartitions("key", "at")
+    return ordered.mapInPandas(fold, f"key {kind}, at double, n int, allowed boolean")
 
 
 def widened(selector: Column) -> Column:

@@ -488,12 +488,12 @@ u as (select distinct user_id from events), n as (select max(epoch(ts)) as now_a
 select u.user_id from u left join f using (user_id), n where not coalesce(now_at - last_at < 604800 and not (mode = 'static'), false)""")
 def failure_filter(spark, d):
     e = table(spark, d, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    now = e.agg(F.max("at").alias("now"))
+    now = e.agg(F.max("at")).first()[0] or 0.0
     pages_ = e.select("user_id").distinct().withColumn("url", F.concat(F.lit("https://u.example/"), F.col("user_id").cast("string")))
     failures = e.where("event_type = 'error'").select(urls.failure_key(F.concat(F.lit("https://u.example/"), F.col("user_id").cast("string")), F.lit("product")).alias("page_key"), "at", F.when(F.col("event_id") % 2 == 0, "js").otherwise("static").alias("mode"))
     last = failures.groupBy("page_key").agg(F.max_by(F.struct("at", "mode"), "at").alias("f"))
-    joined = pages_.withColumn("page_key", urls.failure_key("url", F.lit("product"))).join(last, "page_key", "left").crossJoin(F.broadcast(now))  # one row
-    return joined.where(~governance.recently_failed(F.col("f.at"), F.col("f.mode"), F.col("now"), F.lit(True))).select("user_id")
+    joined = pages_.withColumn("page_key", urls.failure_key("url", F.lit("product"))).join(last, "page_key", "left")
+    return joined.where(~governance.recently_failed(F.col("f.at"), F.col("f.mode"), F.lit(now), F.lit(True))).select("user_id")
 
 
 @query("compile_ceiling")

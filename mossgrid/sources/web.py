@@ -79,6 +79,14 @@ def readable_page(static: Column, rendered: Column, has_items: Column | None = N
     return F.when(poor, F.coalesce(rendered, static)).otherwise(static)
 
 
+def standing_rules(fetches: DataFrame, now: float, retry: float = 300.0) -> DataFrame:
+    """``fetches(origin, at, status, body)`` to each origin's newest fetch with ``due``: an origin
+    that could not be read is denied until it is tried again after ``retry`` seconds."""
+    newest = fetches.groupBy("origin").agg(F.max_by(F.struct("at", "status", "body"), "at").alias("f")).select("origin", "f.*")
+    unread = F.col("status").isNull() | (F.col("status") >= 500)
+    return newest.withColumn("due", unread & (F.lit(now) - F.col("at") >= retry))
+
+
 def robots_allow(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
     """``urls(url)`` with ``allowed`` and ``crawl_delay`` from ``robots(origin, status, body)``.
 

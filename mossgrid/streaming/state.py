@@ -3,6 +3,7 @@ that are forgotten, records held until they can be mended, and grants made once.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -74,6 +75,37 @@ def failure_notes(stream: DataFrame) -> DataFrame:
     return stream.groupBy("page_key").applyInPandasWithState(step, "page_key string, at double, note string", "at double, note string", "append", GroupStateTimeout.NoTimeout)
 
 
+def merged(old: dict, fields: dict, modes: dict) -> dict:
+    """A recipe as it stands after one more compile: new selectors first, old ones as alternates."""
+    out = {"fields": dict(fields), "modes": dict(modes), "alternates": {}}
+    for name in dict.fromkeys([*old.get("fields", {}), *old.get("alternates", {})]):
+        known = [old.get("fields", {}).get(name), *old.get("alternates", {}).get(name, [])]
+        rest = [s for s in dict.fromkeys(known) if s and s != out["fields"].get(name)]
+        if name not in out["fields"] and rest:
+            out["fields"][name] = rest.pop(0)
+            if name in old.get("modes", {}):
+                out["modes"].setdefault(name, old["modes"][name])
+        if rest:
+            out["alternates"][name] = rest
+    return out
+
+
+def recipes_learned(stream: DataFrame) -> DataFrame:
+    """``stream(recipe_key, at, fields, modes)`` of compiles to the recipe after each of them; the
+    table they form is what pages are replayed with."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        recipe = json.loads(state.get[0]) if state.exists else {}
+        out = []
+        for at, fields, modes in sorted((r for pdf in batches for r in zip(pdf["at"], pdf["fields"], pdf["modes"])), key=lambda r: r[0]):
+            recipe = merged(recipe, dict(fields or {}), dict(modes or {}))
+            out.append((key[0], at, dict(recipe["fields"]), dict(recipe["modes"]), dict(recipe["alternates"])))
+        state.update((json.dumps(recipe),))
+        yield pd.DataFrame(out, columns=["recipe_key", "at", "fields", "modes", "alternates"])
+
+    return stream.groupBy("recipe_key").applyInPandasWithState(step, "recipe_key string, at double, fields map<string,string>, modes map<string,string>, alternates map<string,array<string>>", "recipe string", "append", GroupStateTimeout.NoTimeout)
+
+
 def mended(stream: DataFrame, fields: list[str], hold: int = 8, least: int = 3) -> DataFrame:
     """``stream(recipe_key, pos, url, has array)`` to ``(recipe_key, url, missing)``: records that lack a
     field others of the key have are held, at most ``hold``; when ``least`` are held, the one that

@@ -73,6 +73,19 @@ def test_sitemaps_robots_redirects(spark):
     assert got == {"a": "c", "x": None, "z": "z"}
 
 
+def test_more_of_the_web(spark):
+    fetches = spark.createDataFrame([("a", 0.0, 200, "x"), ("a", 10.0, None, None), ("b", 0.0, 503, None), ("c", 0.0, 404, None)], "origin string, at double, status int, body string")
+    assert {r["origin"]: r["due"] for r in web.standing_rules(fetches, 305.0).collect()} == {"a": False, "b": True, "c": False}
+    named = spark.createDataFrame([("o", 200, "Sitemap: o/x.xml\nUser-agent: *\nsitemap:  o/sitemap.xml"), ("p", 404, "Sitemap: no")], "origin string, status int, body string")
+    assert {tuple(r) for r in web.sitemap_addresses(named).collect()} == {("o", "o/x.xml"), ("o", "o/sitemap.xml"), ("p", "p/sitemap.xml")}
+    pages_ = spark.createDataFrame([(None, "r"), ("<div id='root'></div>", "r"), ("text " * 300, "r"), ("", None)], "s string, r string")
+    assert [r["v"] for r in pages_.select(web.readable_page(F.col("s"), F.col("r")).alias("v")).collect()] == ["r", "r", "text " * 300, ""]
+    import gzip
+
+    body = spark.createDataFrame([(bytearray(gzip.compress(b"<x/>")),), (bytearray(b"<y/>"),), (None,)], "b binary")
+    assert [r["t"] for r in body.select(web.unzipped("b").alias("t")).collect()] == ["<x/>", "<y/>", None]
+
+
 def test_detection(spark):
     rows = [("https://a.example/x", 200, '<script src="https://CDN.shopify.com/x">', None, None, None), ("https://b.example", 200, "", {"X-Wix-Request-Id": "1"}, None, None), ("https://c.example", 403, "wixstatic.com", None, None, None), ("d.example", 200, "plain", None, None, "[]"), ("https://e.example", 200, "wixstatic.com app.ecwid.com", None, '{"products": []}', None), ("https://f.example", 200, None, None, '{"products": 3}', "{}")]
     df = spark.createDataFrame(rows, "url string, status int, html string, headers map<string,string>, shopify_probe string, woo_probe string")

@@ -92,6 +92,14 @@ def test_failure_notes_and_mending(spark, tmp_path):
     assert [(r["url"], r["missing"]) for r in out] == [("u1", ["salary"])]
 
 
+def test_recipes_are_learned_as_they_are_merged(spark, tmp_path):
+    batches = [[("k", 1.0, {"title": "h1", "price": ".p"}, {"price": "attr:content"})], [("k", 2.0, {"title": ".new"}, {}), ("j", 2.0, {"title": "b"}, None)], [("k", 3.0, {"title": "h1"}, {})]]
+    got = {(r["recipe_key"], r["at"]): (r["fields"], r["modes"], r["alternates"]) for r in stream(spark, tmp_path, batches, "recipe_key string, at double, fields map<string,string>, modes map<string,string>", state.recipes_learned)}
+    assert got["k", 2.0] == ({"title": ".new", "price": ".p"}, {"price": "attr:content"}, {"title": ["h1"]})
+    assert got["k", 3.0] == ({"title": "h1", "price": ".p"}, {"price": "attr:content"}, {"title": [".new"]})
+    assert got["j", 2.0] == ({"title": "b"}, {}, {})
+
+
 def test_grants_are_appended_once(spark, tmp_path):
     schema = "id long, key_id string, delta long, reason string, created_at string, idempotency_key string"
     path, src = str(tmp_path / "ledger"), str(tmp_path / "src")
@@ -110,3 +118,20 @@ def test_windows_and_sessions(spark, tmp_path):
     assert [r["n"] for r in got] == [2]
     got = stream(spark, tmp_path / "b", batches, "user_id long, ts timestamp_ntz, event_type string", state.sessions)
     assert [r["n"] for r in got] == [2]
+
+
+def test_snapshots(spark, tmp_path):
+    one, path, snap = spark.createDataFrame([("a",)], "k string"), str(tmp_path / "t"), str(tmp_path / "s")
+    assert files.backup(one, snap) and not files.backup(one, snap)
+    assert files.restore(spark, path, snap) and not files.restore(spark, path, snap)
+    assert [r["k"] for r in spark.read.parquet(path).collect()] == ["a"]
+    assert not files.restore(spark, str(tmp_path / "u"), str(tmp_path / "none"))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from mossgrid.__main__ import main
+
+    sites = spark.createDataFrame([("https://a.example", 200, "cdn.shopify.com", None, None, None)], "url string, status int, html string, headers map<string,string>, shopify_probe string, woo_probe string")
+    sites.write.parquet(str(tmp_path / "sites"))
+    assert main(["detect", str(tmp_path / "sites")]) == 0
+    assert '"kind":"shopify"' in capsys.readouterr().out
