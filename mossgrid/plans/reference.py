@@ -11,7 +11,7 @@ from mossgrid.functions import money, pages, urls
 from mossgrid.html import extract
 from mossgrid.operators import coverage, detect, frontier, governance, ledger
 from mossgrid.operators.schema import PRODUCT, spec_id_column
-from mossgrid.session import table
+from mossgrid.session import spread, table
 from mossgrid.sinks import files
 from mossgrid.sources import feeds, web
 
@@ -168,7 +168,7 @@ def made_pages(spark: SparkSession, d: str) -> DataFrame:
         F.lit('</span><section id="text"><div class="about"><p class="long">'), e("description"), F.lit('</p></div></section><table><tr><td class="code"><span class="art-no">'), e("sku"),
         F.lit('</span></td></tr></table><div class="pics"><img class="shot" src="/img/a.jpg"><img class="shot" src="/img/b.jpg"></div><ul><li class="mk"><a class="by" href="/b"><span class="maker">'), e("brand"), F.lit("</span></a></li></ul></body></html>"),
     )
-    return _products(spark, d).select("product_id", "url", html.alias("html"))
+    return spread(table(spark, d, "products").select("product_id", "url", "title", "price_text", "description", "sku", "brand")).select("product_id", "url", "price_text", html.alias("html"))
 
 
 _TEXTS = _TRIM.format(r"regexp_replace(coalesce({0}, ''), '', '')")
@@ -208,7 +208,7 @@ def platform_match(spark, d):
 @query("page_features", f"select product_id, {_TRIM.format('title')} as title, 2 + 1 as links, 'https://' || {_HOST.format('url')} || '/all' as nearest from {_P}".replace("'https://' ||", "regexp_extract(url, '^([a-z]+)://', 1) || '://' ||"))
 def page_features(spark, d):
     f = made_pages(spark, d).withColumn("f", extract.page_features(F.col("html"), F.col("url")))
-    return f.select("product_id", F.col("f.title").alias("title"), F.size("f.links").alias("links"), F.get("f.crumbs", F.lit(0)).alias("nearest"))
+    return f.select("product_id", F.col("f.title").alias("title"), F.size("f.links").alias("links"), F.get("f.crumbs", F.lit(0)).alias("nearest")).dropDuplicates(["product_id"])
 
 
 _REPLAY = f"""with r as (select regexp_replace(lower(domain), '^www\\.', '') as domain, arg_max(fields, compiled_at) as fields from recipes where schema_name = 'product' group by 1)
@@ -225,16 +225,16 @@ def recipe_replay(spark, d):
     known = governance.with_recipe(made_pages(spark, d), table(spark, d, "recipes"))
     typed = PRODUCT.typed(extract.replayed(known.where("fields is not null"), PRODUCT).select("product_id", "read"))
     empty = lambda c: F.nullif(c, F.lit("")).alias(c)
-    return typed.select("product_id", empty("title"), empty("description"), empty("sku"), empty("brand"), F.coalesce(F.size("images"), F.lit(0)).alias("images"))
+    return typed.select("product_id", empty("title"), empty("description"), empty("sku"), empty("brand"), F.coalesce(F.size("images"), F.lit(0)).alias("images")).dropDuplicates(["product_id"])
 
 
 @query("recipe_prices", f"""with r as (select regexp_replace(lower(domain), '^www\\.', '') as domain, arg_max(fields, compiled_at) as fields from recipes where schema_name = 'product' group by 1)
 select product_id, case when regexp_matches(coalesce(price_text, ''), '[0-9]') then nullif({_number("regexp_extract(price_text, '" + _AMT + "')")}, 0) end as price from {_P} p join r on {_DOMAIN.format('p.url')} = r.domain where fields['price'] is not null and not regexp_matches(coalesce(price_text, ''), '[0-9]\\D+[0-9]{{2,}}')""")
 def recipe_prices(spark, d):
     known = governance.with_recipe(made_pages(spark, d), table(spark, d, "recipes")).where("fields['price'] is not null")
-    texts = _products(spark, d).select("product_id", "price_text").where(r"not coalesce(price_text, '') rlike '[0-9][^0-9]+[0-9]{2,}'")
-    typed = PRODUCT.typed(extract.replayed(known.join(texts, "product_id"), PRODUCT).select("product_id", "read"))
-    return typed.select("product_id", F.nullif(F.col("price").cast("double"), F.lit(0.0)).alias("price"))
+    known = known.where(r"not coalesce(price_text, '') rlike '[0-9][^0-9]+[0-9]{2,}'")
+    typed = PRODUCT.typed(extract.replayed(known, PRODUCT).select("product_id", "read"))
+    return typed.select("product_id", F.nullif(F.col("price").cast("double"), F.lit(0.0)).alias("price")).dropDuplicates(["product_id"])
 
 
 @query("rows_mode", f"""with p as (select site, product_id, title, row_number() over (partition by site order by product_id) - 1 as card from {_P})
@@ -258,13 +258,13 @@ def _by(key: str, order: str):
 
 @query("json_ld", f"select product_id, title, nullif(brand, '') as brand, cast(price as double) as price, currency, available, nullif(sku, '') as sku, cast(len(images) as integer) as images from {_P} where title <> ''")
 def json_ld(spark, d):
-    p = _products(spark, d).where("title <> ''")
+    p = spread(table(spark, d, "products").where("title <> ''"))
     offer = F.struct(F.col("price").cast("string").alias("price"), F.col("currency").alias("priceCurrency"), F.when(F.col("available"), F.lit("https://schema.org/InStock")).when(~F.col("available"), F.lit("https://schema.org/OutOfStock")).alias("availability"))
     node = F.to_json(F.struct(F.lit("Product").alias("@type"), F.col("title").alias("name"), F.struct(F.col("brand").alias("name")).alias("brand"), offer.alias("offers"), F.col("sku").alias("sku"), F.col("images").alias("image")))
     html = F.concat(F.lit('<script type="application/ld+json">{"@graph": [{"@type": "Thing"}, '), F.replace(node, F.lit("</"), F.lit("<\\/")), F.lit("]}</script>"))
     f = p.select("product_id", extract.page_features(html, F.col("url")).alias("f"))
     v = F.col("f.product")
-    return f.select("product_id", v["title"].alias("title"), v["brand"].alias("brand"), v["price"].try_cast("double").alias("price"), v["currency"].alias("currency"), v["available"].cast("boolean").alias("available"), v["sku"].alias("sku"), F.coalesce(F.size("f.images"), F.lit(0)).alias("images"))
+    return f.select("product_id", v["title"].alias("title"), v["brand"].alias("brand"), v["price"].try_cast("double").alias("price"), v["currency"].alias("currency"), v["available"].cast("boolean").alias("available"), v["sku"].alias("sku"), F.coalesce(F.size("f.images"), F.lit(0)).alias("images")).dropDuplicates(["product_id"])
 
 
 # ── feeds and sources ─────────────────────────────────────────────────────────────────────

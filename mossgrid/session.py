@@ -36,3 +36,11 @@ def cut(df: DataFrame) -> DataFrame:
     read it instead of computing it again and a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` (a scan with filters and projections) for a Python stage: where it has fewer
+    partitions than the session has cores, its rows are dealt out evenly. A large table has
+    more partitions than that and is not moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
