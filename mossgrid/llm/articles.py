@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mossgrid.llm import residue
-from mossgrid.session import cut
+from mossgrid.session import cut, spread
 
 #: The colours, each in the languages of the listings.
 COLOURS = (
@@ -96,7 +97,7 @@ def marks(title: str | None, brand: str | None, sku: str | None, description: st
     t = residue._clean(title or "").casefold()
     d = residue._clean(description or "").casefold()
     own = residue.words_of(site)
-    if _RESIDUE.judge(t, own) or _RESIDUE.judge(d, own):
+    if _RESIDUE.judge(t, own, True) or _RESIDUE.judge(d, own, True):
         return None
     s = _SKU.match((sku or "").casefold().strip())
     if _ACCESSORY.search(t) or s and s[7]:
@@ -123,8 +124,13 @@ def marks(title: str | None, brand: str | None, sku: str | None, description: st
         variant = int(s[4] or s[5] + s[6])
         if colour is None and variant // 10 < len(COLOURS):
             colour = variant // 10
-    name = _SUFFIX_OF_BRAND.sub("", residue._clean(brand or "").casefold().strip())
-    return model, colour, measure, variant, name or None
+    return model, colour, measure, variant, brand_name(brand or "")
+
+
+@lru_cache(maxsize=1 << 14)
+def brand_name(brand: str) -> str | None:
+    """The brand without the words shops add to it."""
+    return _SUFFIX_OF_BRAND.sub("", residue._clean(brand).casefold().strip()) or None
 
 
 Node = tuple[int, str, int | None, str | None, int | None, str | None]  # node, site, colour, measure, variant, brand
@@ -228,7 +234,7 @@ def listing_marks(products: DataFrame) -> DataFrame:
             made = pd.DataFrame(out, columns=["product_id", *_KEY])
             yield made.astype({"colour": "Int32", "variant": "Int32"})
 
-    return products.where("product_id is not null").select("product_id", "site", "title", "brand", "sku", "description").mapInPandas(
+    return spread(products.where("product_id is not null").select("product_id", "site", "title", "brand", "sku", "description")).mapInPandas(
         run, "product_id long, model string, site string, colour int, measure string, variant int, brand string"
     )
 
@@ -238,6 +244,13 @@ def article_classes(products: DataFrame) -> DataFrame:
     listings = cut(listing_marks(products).withColumn("site", F.coalesce("site", F.lit(""))).dropDuplicates(["product_id"]))
     nodes = listings.groupBy(*_KEY).agg(F.min("product_id").alias("node"))
 
+    def block(model: str | None, held: list[Node]) -> list[tuple]:
+        by_node = dict(classes(held)) if held else {}
+        return [(model, *x[1:], by_node[x[0]]) for x in held]
+
+    def made(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[*_KEY, "class_id"]).astype({"colour": "Int32", "variant": "Int32"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[Node] = []
         model = None
@@ -246,29 +259,23 @@ def article_classes(products: DataFrame) -> DataFrame:
             out = []
             for m, *rest in zip(pdf["model"], pdf["node"], pdf["site"], pdf["colour"], pdf["measure"], pdf["variant"], pdf["brand"]):
                 if m != model:
-                    if held:
-                        out += classes(held)
+                    out += block(model, held)
                     held, model = [], m
                 held.append(tuple(rest))
-            yield pd.DataFrame(out, columns=["node", "class_id"])
-        if held:
-            yield pd.DataFrame(classes(held), columns=["node", "class_id"])
+            yield made(out)
+        yield made(block(model, held))
 
     # a block meets in one task as its distinct marks by seller, however many listings it has
-    solved = nodes.repartition("model").sortWithinPartitions("model").select("model", "node", *_KEY[1:]).mapInPandas(run, "node long, class_id long")
-    keyed = nodes.join(solved, "node").select(*_KEY, "class_id")
-    same = [listings[k].eqNullSafe(keyed[k]) for k in _KEY[2:]]
-    on = (listings["model"] == keyed["model"]) & (listings["site"] == keyed["site"])
-    for c in same:
-        on &= c
-    return listings.join(keyed, on).select("product_id", "class_id")
+    solved = nodes.repartition("model").sortWithinPartitions("model").select("model", "node", *_KEY[1:]).mapInPandas(run, "model string, site string, colour int, measure string, variant int, brand string, class_id long")
+    on = (listings["model"] == solved["model"]) & (listings["site"] == solved["site"])
+    for k in _KEY[2:]:
+        on &= listings[k].eqNullSafe(solved[k])
+    return listings.join(solved, on).select("product_id", "class_id")
 
 
 def article_pairs(products: DataFrame) -> DataFrame:
     """``(product_id_a, product_id_b)``: every pair of listings of one article."""
-    member = article_classes(products)
-    twin = member.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id")
-    member = cut(member.join(twin, "class_id"))
+    member = cut(article_classes(products))
     a = member.select("class_id", F.col("product_id").alias("product_id_a"))
     b = member.select("class_id", F.col("product_id").alias("product_id_b"))
     return a.join(b, "class_id").where("product_id_a < product_id_b").select("product_id_a", "product_id_b")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mossgrid.llm import encoding
-from mossgrid.session import cut
+from mossgrid.session import cut, spread
 
 FIELDS = ("title", "brand", "description")
 #: Letters that look alike, Latin beside Cyrillic and Latin beside Greek.
@@ -127,7 +127,7 @@ def _looked_at(products: DataFrame, fields: Sequence[str], key: str) -> DataFram
                 out.append((i, name, text, folded, folded != text, [{"word": w, "result": r} for w, rs in words.items() for r in rs]))
             yield pd.DataFrame(out, columns=[key, "field_name", "text", "folded", "changed", "words"])
 
-    values = products.where(F.col(key).isNotNull()).select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.when(F.col(f).rlike(SUSPECT), F.col(f)).alias("text")) for f in fields])).alias("v"))
+    values = spread(products.where(F.col(key).isNotNull()).select(key, *fields)).select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.when(F.col(f).rlike(SUSPECT), F.col(f)).alias("text")) for f in fields])).alias("v"))
     return values.select(key, "v.*").where("text is not null").mapInPandas(run, f"{key} {kind}, {_SCHEMA}")
 
 

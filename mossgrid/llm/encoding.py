@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -23,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mossgrid.session import spread
+
 #: Fixed values: (encoding the text was written in, encoding it was read with).
 PAIRS = (
     ("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "mac_roman"), ("utf-8", "cp437"), ("utf-8", "cp850"), ("utf-8", "cp1250"), ("utf-8", "iso8859-2"), ("utf-8", "cp1251"), ("utf-8", "koi8-r"), ("utf-8", "cp866"), ("utf-8", "cp1254"), ("utf-8", "cp1253"), ("utf-8", "cp1257"),
@@ -46,6 +49,8 @@ PER_MILLE = (110, 85, 80, 74, 67, 63, 55, 47, 45, 44, 35, 32, 30, 28, 26, 20, 19
 #: Bits a letter that a change between two Cyrillic code pages must save, over so many letters.
 SAVED_BITS = 0.5
 CYRILLIC_LEAST = 6
+#: Below so many bits a letter a text is Russian as it stands.
+ORDINARY_BITS = 4.75
 FREQUENT = frozenset("оеаинтсрвлкмдпуОЕАИНТСРВЛКМДПУ")
 SWAP_GAIN = 0.75
 LAYERS = 4
@@ -269,8 +274,8 @@ _CYRILLIC_WORD = re.compile("(?<![^\\W\\d_])[\u0400-\u052f]{2,}(?![^\\W\\d_])")
 
 def _bits(text: str) -> float:
     """Bits a letter of the text's Cyrillic, by Russian letter frequencies."""
-    letters = "".join(_CYRILLIC_WORD.findall(text)).lower().replace("ё", "е")
-    return sum(_BITS.get(c, 12.0) for c in letters) / max(1, len(letters))
+    letters = Counter("".join(_CYRILLIC_WORD.findall(text)).lower().replace("ё", "е"))
+    return sum(_BITS.get(c, 12.0) * n for c, n in letters.items()) / max(1, letters.total())
 
 
 def _letters(text: str) -> int:
@@ -283,6 +288,8 @@ def _other_cyrillic(text: str) -> str | None:
     if not _CYRILLIC.search(text) or (letters := _letters(text)) < CYRILLIC_LEAST:
         return None
     before, best = _bits(text), None
+    if before < ORDINARY_BITS:
+        return None
     for written, read in (("koi8-r", "cp1251"), ("cp1251", "koi8-r")):
         try:
             out = _CYRILLIC.sub(lambda m: m[0].encode(read).decode(written), text)
@@ -362,4 +369,4 @@ def garbled_fields(products: DataFrame, fields: Sequence[str] = ("title", "descr
 
     # only values with a character beyond ASCII can be garbled; the others stay in the JVM
     only = products.where(F.col(key).isNotNull()).select(key, *[F.when(F.col(f).rlike(r"[^\x00-\x7f]"), F.col(f)).alias(f) for f in fields]).where(" or ".join(f"`{f}` is not null" for f in fields))
-    return only.mapInPandas(run, f"{key} {kind}, field_name string, text string, restored string").dropDuplicates([key, "field_name", "text"])
+    return spread(only).mapInPandas(run, f"{key} {kind}, field_name string, text string, restored string").dropDuplicates([key, "field_name", "text"])

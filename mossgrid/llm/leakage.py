@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mossgrid.session import cut
+from mossgrid.session import cut, spread
 
 SEED = 5
 COVERED = 0.4
@@ -158,7 +158,7 @@ def _by_broadcast(documents: DataFrame, rows: list[tuple[int, str]]) -> DataFram
             out = [(d, k, c) for d, t in zip(pdf["doc_id"], pdf["text"]) if t for k, c in items.found(t)]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "coverage"])
 
-    return documents.select("doc_id", "text").where("doc_id is not null and text is not null").mapInPandas(run, _RESULT)
+    return spread(documents.select("doc_id", "text").where("doc_id is not null and text is not null")).mapInPandas(run, _RESULT)
 
 
 def _seeds(df: DataFrame, key: str) -> DataFrame:

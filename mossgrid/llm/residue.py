@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mossgrid.llm import characters, encoding
+from mossgrid.session import spread
 
 #: The labelled exemplars, by kind. "#" is any number, "§" a placeholder's name.
 EXEMPLARS = {
@@ -152,10 +153,10 @@ class Index:
                 out.append((e, max(0, best[1] - size + 1), best[1] + 1))
         return out
 
-    def judge(self, text: str, own: frozenset[str] = frozenset()) -> str | None:
+    def judge(self, text: str, own: frozenset[str] = frozenset(), folded: bool = False) -> str | None:
         """The kind of residue a text is or contains. ``own``: words of the seller's
-        address, which error pages append."""
-        if not _SIGNS.search(text) and self.first.isdisjoint(_WORDS.findall(text.casefold())):
+        address, which error pages append. ``folded``: the text is in lower case already."""
+        if not _SIGNS.search(text) and self.first.isdisjoint(_WORDS.findall(text if folded else text.casefold())):
             return None
         toks = tokens(text)
         if not toks or self.first.isdisjoint(toks):
@@ -208,7 +209,7 @@ def _frequencies(products: DataFrame, fields: Sequence[str]) -> tuple[dict[str,
                         df.update(vocabulary.intersection(tokens(t)))
         yield pd.DataFrame({"token": [*df, ""], "n": [*df.values(), n]})
 
-    counts = {r["token"]: r["n"] for r in products.select(*fields).mapInPandas(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()}
+    counts = {r["token"]: r["n"] for r in spread(products.select(*fields)).mapInPandas(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()}
     return counts, counts.pop("", 0)
 
 
@@ -228,7 +229,7 @@ def residue_fields(products: DataFrame, fields: Sequence[str] = ("title", "descr
                             out.append((i, f, hit))
             yield pd.DataFrame(out, columns=[key, "field_name", "kind"])
 
-    return products.where(F.col(key).isNotNull()).select(key, seller, *fields).mapInPandas(run, f"{key} {kind_of_key}, field_name string, kind string").dropDuplicates([key, "field_name"])
+    return spread(products.where(F.col(key).isNotNull()).select(key, seller, *fields)).mapInPandas(run, f"{key} {kind_of_key}, field_name string, kind string").dropDuplicates([key, "field_name"])
 
 
 def without_residue(products: DataFrame, fields: Sequence[str] = ("title", "description"), key: str = "product_id") -> DataFrame:

@@ -28,6 +28,8 @@ from itertools import accumulate
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from mossgrid.session import spread
+
 TERMINATORS = ".!?…。！？｡؟۔।॥։።"
 CLOSERS = "”’»“›\"')]}）］】」』》〉"
 OPENERS = "“„«‹‘¿¡\"'([{（［【「『《〈—–-"
@@ -344,4 +346,4 @@ def sentence_units(documents: DataFrame) -> DataFrame:
             out = [(d, e) for d, t in zip(pdf["doc_id"], pdf["text"]) for e in unit_ends(t)]
             yield pd.DataFrame(out, columns=["doc_id", "end_pos"])
 
-    return documents.select("doc_id", "text").where("doc_id is not null and text is not null").mapInPandas(run, "doc_id long, end_pos long")
+    return spread(documents.select("doc_id", "text").where("doc_id is not null and text is not null")).mapInPandas(run, "doc_id long, end_pos long")

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mossgrid.session import spread
+
 #: Where the public vocabularies lie; a parameter of every function here.
 VOCABULARIES = os.environ.get("MOSSGRID_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: how a text is split before merging (the published pattern of the vocabulary).
@@ -153,4 +155,4 @@ def token_ids(text: Column | str, tokenizer: str = "byte_bpe_50k", folder: str =
 
 def corpus_ids(documents: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
     """``(doc_id, ids)``: one row per row of ``documents``."""
-    return documents.select("doc_id", token_ids(F.col("text"), tokenizer, folder).alias("ids"))
+    return spread(documents.select("doc_id", "text")).select("doc_id", token_ids(F.col("text"), tokenizer, folder).alias("ids"))
