@@ -58,21 +58,36 @@ def clean_money(c: Column | str) -> Column:
     An amount of zero says that the price is on request; a text without an amount is
     itself the note.
     """
-    raw = _text(c)
-    found = F.regexp_extract(raw, f"(?iu){NOTE}", 0)
-    note = F.nullif(F.trim(F.regexp_replace(found, r"\s+", " ")), F.lit(""))
-    body = F.when(found == "", raw).otherwise(F.concat(F.substr(raw, F.lit(1), F.position(found, raw) - 1), F.substr(raw, F.position(found, raw) + F.length(found))))
-    amounts = F.regexp_extract_all(body, F.lit(_MONEY), F.lit(0))
-    marked = F.filter(amounts, lambda a: a.rlike(_MARKED))
-    value = F.trim(F.regexp_replace(F.coalesce(F.get(marked, F.lit(0)), F.get(amounts, F.lit(0))), "(?U)\\s+", " "))
-    zero = F.coalesce(parse_price(value) == 0, F.lit(False))
-    return F.when(
-        raw.isNotNull(),
-        F.struct(
+    squeezed = lambda t, flags="": F.trim(F.regexp_replace(t, flags + r"\s+", " "))
+
+    def parts(t: Column) -> Column:
+        raw, found = t["raw"], t["found"]
+        at = F.position(found, raw)
+        body = F.when(found == "", raw).otherwise(F.concat(F.substr(raw, F.lit(1), at - 1), F.substr(raw, at + F.length(found))))
+        return F.struct(raw.alias("raw"), F.nullif(squeezed(found), F.lit("")).alias("note"), F.regexp_extract_all(body, F.lit(_MONEY), F.lit(0)).alias("amounts"))
+
+    def chosen(t: Column) -> Column:
+        marked = F.get(F.filter(t["amounts"], lambda a: a.rlike(_MARKED)), F.lit(0))
+        value = squeezed(F.coalesce(marked, F.get(t["amounts"], F.lit(0))), "(?U)")
+        return F.struct(t["raw"].alias("raw"), t["note"].alias("note"), value.alias("value"))
+
+    def answer(t: Column) -> Column:
+        raw, note, value = t["raw"], t["note"], t["value"]
+        # only a text without a digit above 0 can be zero
+        zero = ~value.rlike("[1-9]") & F.coalesce(parse_price(value) == 0, F.lit(False))
+        return F.struct(
             F.when(~zero, value).alias("value"),
             F.when(value.isNull(), F.coalesce(note, F.nullif(stripped(raw), F.lit("")))).when(zero, F.coalesce(note, F.lit(ON_REQUEST))).otherwise(note).alias("note"),
-        ),
-    )
+        )
+
+    raw = _text(c)
+    first = F.struct(raw.alias("raw"), F.regexp_extract(raw, f"(?iu){NOTE}", 0).alias("found"))
+    return F.when(raw.isNotNull(), _let(_let(_let(first, parts), chosen), answer))
+
+
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def strip_label(c: Column | str) -> Column:

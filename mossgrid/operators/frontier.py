@@ -26,18 +26,18 @@ def item_links(links: DataFrame) -> DataFrame:
     return own.where("direct and is_product").select("page", "pos", "href").unionByName(own.where("not direct and has_image").join(best, ["page", "parent"], "left_semi").select("page", "pos", "href"))
 
 
-def agreement(url: Column, example: Column) -> Column:
+def agreement(steps: Column, example_steps: Column) -> Column:
     """Path segments that agree with the example's in place; null where the depth differs."""
-    a, b = F.split(urls.item_path(url), "/"), F.split(urls.item_path(example), "/")
-    return F.when(F.size(a) == F.size(b), F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x))
+    same = F.filter(F.arrays_zip(steps.alias("a"), example_steps.alias("b")), lambda z: z["a"] == z["b"])
+    return F.when(F.size(steps) == F.size(example_steps), F.size(same))
 
 
 def siblings(links: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """``links(listing, example, href)`` to the links of the example's kind: those that agree
     with it at least as much as most do (of equal crowds the one that agrees more), if they
     make a group; else those of its exact shape."""
-    same_host = urls.host("href") == urls.host("example")
-    scored = links.withColumn("score", F.when(same_host, agreement(F.col("href"), F.col("example"))))
+    paths = links.select("listing", "example", "href", (urls.host("href") == urls.host("example")).alias("_same"), F.split(urls.item_path("href"), "/").alias("_a"), F.split(urls.item_path("example"), "/").alias("_b"))
+    scored = paths.select("listing", "example", "href", F.when(F.col("_same"), agreement(F.col("_a"), F.col("_b"))).alias("score"))
     counts = scored.where("score is not null").groupBy("listing", "example", "score").agg(F.count("*").alias("n"))
     crowd = counts.groupBy("listing", "example").agg(F.max_by("score", F.struct("n", "score")).alias("crowd"))
     size = counts.join(crowd, ["listing", "example"]).where("score >= crowd").groupBy("listing", "example").agg(F.sum("n").alias("size"), F.first("crowd").alias("crowd"))
