@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mossgrid.functions.base import let
+
 #: What counts as a currency sign, a tax note, and a field that holds money.
 CURRENCY = "€|\\$|£|¥|₽|zł|kr|CHF|EUR|USD|GBP|PLN|SEK|NOK|DKK"
 NOTE = r"(?:in[ck]l\.?|ex[ck]l\.?|zzgl\.?|plus|\+)\s*(?:\d+[.,]?\d*\s*%\s*)?(?:btw|vat|mwst|ust|iva|tva|tax|moms)\b\.?"
@@ -82,12 +84,7 @@ def clean_money(c: Column | str) -> Column:
 
     raw = _text(c)
     first = F.struct(raw.alias("raw"), F.regexp_extract(raw, f"(?iu){NOTE}", 0).alias("found"))
-    return F.when(raw.isNotNull(), _let(_let(_let(first, parts), chosen), answer))
-
-
-def _let(value: Column, then) -> Column:
-    """``then(value)`` with the value computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+    return F.when(raw.isNotNull(), let(let(let(first, parts), chosen), answer))
 
 
 def strip_label(c: Column | str) -> Column:

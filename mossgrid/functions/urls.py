@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mossgrid.functions.base import let
+
 #: Path shapes of product pages, and directory index files.
 PRODUCT_PATH = "(?i)/(?:products?|item|itm|prod|p)/[^/?#]+/?$"
 INDEX_FILE = r"(?i)/index\.[a-z0-9]{1,5}$"
@@ -115,12 +117,16 @@ def url_shape(url: Column | str) -> Column:
 
 def same_shape(url: Column | str, shape: Column) -> Column:
     """The address is of the example's kind and not the example itself."""
-    own = url_shape(url)
-    by_query = (own["path"] == shape["path"]) & (own["query_keys"] == shape["query_keys"])
-    tail = F.element_at(F.split(own["path"], "/"), -1)
-    by_path = (own["depth"] == shape["depth"]) & (own["prefix"] == shape["prefix"]) & (tail != "") & (own["tail_is_numeric"] == shape["tail_is_numeric"])
-    itself = (own["path"] == shape["path"]) & (own["query"] == shape["query"])
-    return (own["host"] == shape["host"]) & scheme(url).isin("http", "https") & ~itself & F.when(F.size(shape["query_keys"]) > 0, by_query).otherwise(by_path)
+
+    def alike(t: Column) -> Column:
+        own, want = t["own"], t["want"]
+        by_query = (own["path"] == want["path"]) & (own["query_keys"] == want["query_keys"])
+        tail = F.substring_index(own["path"], "/", -1)
+        by_path = (own["depth"] == want["depth"]) & (own["prefix"] == want["prefix"]) & (tail != "") & (own["tail_is_numeric"] == want["tail_is_numeric"])
+        itself = (own["path"] == want["path"]) & (own["query"] == want["query"])
+        return (own["host"] == want["host"]) & t["scheme"].isin("http", "https") & ~itself & F.when(F.size(want["query_keys"]) > 0, by_query).otherwise(by_path)
+
+    return let(F.struct(url_shape(url).alias("own"), shape.alias("want"), scheme(url).alias("scheme")), alike)
 
 
 def canonical(url: Column | str, keep: Column | None = None) -> Column:

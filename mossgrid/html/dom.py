@@ -16,10 +16,12 @@ VOID = frozenset("area base br col embed hr img input keygen link meta param sou
 class Node:
     """An element; ``children`` holds nodes and strings."""
 
-    __slots__ = ("name", "attrs", "children", "parent")
+    __slots__ = ("name", "attrs", "children", "parent", "order")
 
     def __init__(self, name: str, attrs: dict[str, str], parent: "Node | None") -> None:
         self.name, self.attrs, self.children, self.parent = name, attrs, [], parent
+        #: All elements of the page in document order, at its root alone.
+        self.order: list[Node] | None = None
 
     def get(self, name: str, default: str | None = None) -> str | None:
         return self.attrs.get(name, default)
@@ -30,6 +32,9 @@ class Node:
 
     def walk(self) -> Iterator["Node"]:
         """Elements below this one in document order, without recursion: pages may nest deeply."""
+        if self.order is not None:
+            yield from self.order
+            return
         stack = [iter(self.children)]
         while stack:
             for child in stack[-1]:
@@ -72,11 +77,13 @@ class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("", {}, None)
+        self.root.order = []
         self.open = [self.root]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.open[-1])
         self.open[-1].children.append(node)
+        self.root.order.append(node)
         if tag not in VOID:
             self.open.append(node)
 

@@ -308,16 +308,24 @@ _DROP = frozenset("style onclick onload srcset sizes loading decoding width heig
 def reduced(root: Node, cap: int = 200_000, attr_cap: int = 120) -> str:
     """The markup that matters: no noise, asides, comments or empty elements, short attributes."""
 
-    def render(n: Node) -> str:
-        if n.name in _NOISE or _ASIDE.search(" ".join(n.classes) + " " + (n.get("id") or "")):
-            return ""
-        inner = "".join(c if isinstance(c, str) else render(c) for c in n.children)
-        if not inner.strip() and n.name not in ("img", "input", "meta", "title"):
-            return ""
-        attrs = "".join(f' {k}="{v if k == "content" else v[:attr_cap]}"' for k, v in n.attrs.items() if k not in _DROP)
-        return f"<{n.name}{attrs}>" + (inner + f"</{n.name}>" if n.name not in ("img", "input", "meta") else "")
-
-    return re.sub(r"\s+", " ", "".join(c if isinstance(c, str) else render(c) for c in root.children)).strip()[:cap]
+    # elements are written when their end is reached; open ones wait on a stack
+    open_: list[tuple[Node | None, Iterator, list[str]]] = [(None, iter(root.children), [])]
+    while True:
+        node, rest, parts = open_[-1]
+        for child in rest:
+            if isinstance(child, str):
+                parts.append(child)
+            elif child.name not in _NOISE and not _ASIDE.search(" ".join(child.classes) + " " + (child.get("id") or "")):
+                open_.append((child, iter(child.children), []))
+                break
+        else:
+            open_.pop()
+            inner = "".join(parts)
+            if node is None:
+                return re.sub(r"\s+", " ", inner).strip()[:cap]
+            if inner.strip() or node.name in ("img", "input", "meta", "title"):
+                attrs = "".join(f' {k}="{v if k == "content" else v[:attr_cap]}"' for k, v in node.attrs.items() if k not in _DROP)
+                open_[-1][2].append(f"<{node.name}{attrs}>" + (inner + f"</{node.name}>" if node.name not in ("img", "input", "meta") else ""))
 
 
 _FEATURES = "title string, canonical string, next_page string, links array<struct<href:string,has_image:boolean,text:string>>, crumbs array<string>, product map<string,string>, images array<string>, diet int"

@@ -150,8 +150,7 @@ def siblings_modal(spark, d):
     example = pages_.groupBy("listing").agg(F.min("url").alias("example"))
     found = frontier.siblings(pages_.join(example, "listing").select("listing", "example", F.col("url").alias("href")))
     # small hosts fall back to the example's exact shape; the SQL leaves them out
-    size = found.groupBy("listing").agg(F.count("*").alias("n"))
-    return found.join(size.where("n >= 3").select("listing"), "listing", "left_semi").select("listing", "href")
+    return found.withColumn("n", F.count("*").over(_by("listing", None))).where("n >= 3").select("listing", "href")
 
 
 # ── pages ─────────────────────────────────────────────────────────────────────────────────
@@ -250,10 +249,10 @@ def rows_mode(spark, d):
     return rows.select(F.regexp_extract("url", "//([^/]*)/", 1).alias("site"), (F.regexp_extract("url", r"page=(\d+)", 1).cast("int") * 50 + F.col("card")).alias("card"), F.nullif(money.strip_label(F.col("read")["title"]), F.lit("")).alias("title"))
 
 
-def _by(key: str, order: str):
+def _by(key: str, order: str | None):
     from pyspark.sql import Window
 
-    return Window.partitionBy(key).orderBy(order)
+    return Window.partitionBy(key).orderBy(order) if order else Window.partitionBy(key)
 
 
 @query("json_ld", f"select product_id, title, nullif(brand, '') as brand, cast(price as double) as price, currency, available, nullif(sku, '') as sku, cast(len(images) as integer) as images from {_P} where title <> ''")

@@ -21,14 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
     machine used; on a cluster an unset folder is an error.
     """
     sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if where:
-        return where
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    where = os.path.join(tempfile.gettempdir(), f"mossgrid-{uuid.uuid4().hex[:8]}")
-    sc.setCheckpointDir(where)
-    return sc.getCheckpointDir() or where
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not where:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = os.path.join(tempfile.gettempdir(), f"mossgrid-{uuid.uuid4().hex[:8]}")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(where)
+    return where
 
 
 def cut(df: DataFrame) -> DataFrame:
