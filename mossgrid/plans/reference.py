@@ -236,6 +236,17 @@ def recipe_prices(spark, d):
     return typed.select("product_id", F.nullif(F.col("price").cast("double"), F.lit(0.0)).alias("price")).dropDuplicates(["product_id"])
 
 
+@query("recipe_prices_all", f"""with r as (select regexp_replace(lower(domain), '^www\\.', '') as domain, arg_max(fields, compiled_at) as fields from recipes where schema_name = 'product' group by 1),
+m as ({SQL["money_clean"]})
+select p.product_id, case when len(list_filter(regexp_extract_all(coalesce(price_text, ''), '([0-9][0-9.,]*[0-9]|[0-9])'), lambda t: coalesce({_number('t')} >= 100, false))) < 2 then nullif({_number('m.amount')}, 0) end as price
+from {_P} p join r on {_DOMAIN.format('p.url')} = r.domain join m on m.product_id = p.product_id where fields['price'] is not null""")
+def recipe_prices_all(spark, d):
+    """``recipe_prices`` over every price text; one that holds two prices is left open."""
+    known = governance.with_recipe(made_pages(spark, d), table(spark, d, "recipes")).where("fields['price'] is not null")
+    typed = PRODUCT.typed(extract.replayed(known, PRODUCT).select("product_id", "read"))
+    return typed.select("product_id", F.nullif(F.col("price").cast("double"), F.lit(0.0)).alias("price")).dropDuplicates(["product_id"])
+
+
 @query("rows_mode", f"""with p as (select site, product_id, title, row_number() over (partition by site order by product_id) - 1 as card from {_P})
 select site, cast(card as integer) as card, nullif({_TRIM.format(_LABEL.format(_TRIM.format('title')))}, '') as title from p where regexp_matches(title, '\\S')""")
 def rows_mode(spark, d):
