@@ -111,7 +111,7 @@ def cost(piece: str) -> float:
     """How garbled a piece (no white space inside) looks; 0 for common text."""
     total, n = 0.0, len(piece)
     kinds = [_kind(c) for c in piece]
-    run, shouted = 0, "l" not in kinds and "m" not in kinds
+    run, shouted, dashed = 0, "l" not in kinds and "m" not in kinds, False
     for i, (c, k) in enumerate(zip(piece, kinds)):
         before, after = kinds[i - 1] if i else " ", kinds[i + 1] if i + 1 < n else " "
         if k in "lUd.":
@@ -166,8 +166,9 @@ def cost(piece: str) -> float:
             # a mark of typography inside a word or right after a garbled lead letter
             if c in "”“™…•" and after in "lUum" and (before in "lUum" or c == "™" and not i):
                 total += 2.0
-            elif c in "–—" and before in "lUum" and after in "lUum":
-                total += 0.6
+            elif c in "–—" and before in "lUum" and after in "lUum" and not dashed:
+                # once a piece: dashes alone, as between three names, are no trace
+                total, dashed = total + 0.6, True
             total += 1.0 if piece[i - 1 : i] in ("Ã", "Â", "â", "Å", "Ä", "Ð", "Ñ", "Î", "Ï", "Ĺ", "Ă", "ƒ") and i else 0.0
         elif k == "M":
             total += 0.3 if "\u0300" <= c <= "\u030c" or c in "\u0327\u0328\ufe0f" or not "\u0300" <= c <= "\u036f" else 1.5
@@ -251,19 +252,20 @@ def _word_like(piece: str) -> bool:
     return all(k in "Cc" for k in far) or all(k in "um" for k in far) and len(far) <= near
 
 
-#: Characters that cost nothing, and capitals that cost nothing at the start of a word.
+#: Letters that cost 0.12 and marks that cost nothing, but where _DEAR finds them.
 _HARMLESS = frozenset(map(chr, range(0x80))) | {c for c in LETTERS - ODD - set("ñêœ") if c.islower()} | set("–—’‘")
 _CAPITALS = frozenset(c for c in LETTERS - ODD - set("ÑÊŒ") if c.isupper())
-_RUN = re.compile("[^\\x00-\\x7f–—’‘]{4}")
-_INSIDE = re.compile("(?<=[^\\W\\d_])[" + "".join(sorted(_CAPITALS)) + "]|[" + "".join(sorted(_CAPITALS)) + "][–—’‘]")
+_LOWER = "".join(sorted(c for c in _HARMLESS if c.islower() and not c.isascii()))
+_UPPER = "".join(sorted(_CAPITALS))
+#: Where these characters cost more: a capital inside a word, a small letter between
+#: capitals, a dash between letters, a mark after a lead letter, four in a run, eight in a piece.
+_DEAR = re.compile(f"[^\\x00-\\x7f](?:(?<=[^\\W\\d_][{_UPPER}])|(?<=[A-Z][{_LOWER}])(?=[A-Z])|(?<=[^\\W\\d_][–—])(?=[^\\W\\d_])|(?<=[{_UPPER}â])[–—’‘]|[^\\x00-\\x7f]{{3}}|(?:[!-~]{{0,48}}[^\\x00-\\x7f]){{7}})")
+_PLAIN = _HARMLESS | _CAPITALS
 
 
 def harmless(text: str) -> bool:
-    """No piece of the text can be garbled; most texts leave here."""
-    if text.isascii():
-        return True
-    odd = set(text) - _HARMLESS
-    return odd <= _CAPITALS and not (odd and _INSIDE.search(text)) and not _RUN.search(text)
+    """No piece of the text can be suspicious; most texts leave here."""
+    return text.isascii() or _PLAIN.issuperset(text) and not _DEAR.search(text)
 
 
 _BITS = {c: -math.log2(n / 1000) for c, n in zip(BY_FREQUENCY, PER_MILLE)}

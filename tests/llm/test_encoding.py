@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from mossgrid.llm import encoding
@@ -50,3 +52,21 @@ def test_over_a_table(spark):
     got = {(r["product_id"], r["field_name"]): r["restored"] for r in encoding.garbled_fields(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {(1, "title"): "Früh", (3, "description"): "a" * 50_000 + " Küche"}
     assert encoding.garbled_fields(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("bad, good", [("MEHL AUS DER MšHLE", "MEHL AUS DER MÜHLE"), ("DUFTKERZE FRšHLINGSWIESE", "DUFTKERZE FRÜHLINGSWIESE"), ("LAUTSPRECHER FšR DRAUSSEN", "LAUTSPRECHER FÜR DRAUSSEN")])
+def test_small_letter_between_capitals(bad, good):
+    assert encoding.repair(bad) == (good, True)
+
+
+def test_harmless_texts_have_no_suspicious_piece():
+    rng = random.Random(5)
+    far = sorted(c for c in encoding._HARMLESS | encoding._CAPITALS if not c.isascii())
+    texts = ["".join(c + "aZ-. 7"[: rng.randint(0, 6)] for c in rng.choices(far + list("abNZ ") * 9, k=rng.randint(1, 16))) for _ in range(40_000)]
+    texts += ["".join(rng.choices(far + list("aZ .1-bQ") * 9, k=rng.randint(1, 12))) for _ in range(40_000)] + ["MšHLE", "a–b–c", "ä–ä–ä–ä", "â–", "ä-ö" * 4]
+    assert [t for t in texts if encoding.harmless(t) and any(map(encoding.suspicious, encoding._PIECE.findall(t)))] == []
+    assert sum(map(encoding.harmless, texts)) > 1000
+
+
+def test_dashes_between_names_are_left_alone():
+    assert encoding.repair("Mo–Fr–Sa") == ("Mo–Fr–Sa", False)
