@@ -50,7 +50,9 @@ SPEECH = ("问道", "说道", "写道", "回答", "问", "说", "喊道", "表
 GOES_ON = ("但", "而", "可", "却", "不过", "然后", "所以", "因为", "又", "也", "就")
 #: Japanese particles by which a quote becomes part of the sentence.
 QUOTE_PARTICLES = ("と", "って", "という", "は", "が", "を", "に", "の", "も", "で", "や", "へ", "から", "など")
-#: Thai words, by what they tell about a gap beside them.
+#: Thai words, by what they tell about a gap beside them. Particles end a
+#: sentence whatever follows.
+THAI_PARTICLES = frozenset("ครับ ค่ะ คะ นะ จ้ะ ไหม มั้ย หรือไม่ หรือเปล่า".split())
 THAI_FINAL = "ครับ ค่ะ คะ นะ จ้ะ แล้ว ไหม หรือไม่ หรือเปล่า มั้ย เลย ด้วย ครบ ทุกวัน ทั่วประเทศ รายการ กิโลกรัม วงเล็บ ของ ขา เช้า ไฟ เก่า สอง เดียว เมตร".split()
 THAI_OPENING = "ก่อน หลังจาก หลัง ตาม ใน ร้าน ร้านค้า โคมไฟ ราคา กล่อง ส่งคืน ความสูง ความ ทีมงาน สินค้า ลูกค้า หน้าเว็บ เมื่อ ถ้า หาก กรุณา โปรด ทำไม รุ่น นี่ ที่นี่ เขา เธอ เรา ผม ฉัน คุณ".split()
 THAI_BINDING = "และ หรือ แต่ ที่ ซึ่ง เพราะ โดย กับ ของ เพื่อ จึง ว่า อัน คือ เป็น ประมาณ ภายใน".split()
@@ -100,9 +102,9 @@ def _gap_score(block: str, a: int, b: int) -> float:
         return 1.5 if whole and not block[b].islower() else -3.0
     left = thai_words(re.split(r"\s", block[max(0, a - 40) : a])[-1])
     right = thai_words(re.split(r"\s", block[b : b + 40])[0])
-    score = 1.0 + 0.5 * ("  " in block[a:b] or "\t" in block[a:b])
+    score = 0.5 * ("  " in block[a:b] or "\t" in block[a:b])
     if left[-1] in THAI_FINAL:
-        score += 1.0
+        score += 3.0 if left[-1] in THAI_PARTICLES else 1.0
     if right[0] in THAI_OPENING:
         score += 1.0
     if right[0] in THAI_BINDING and right[0] not in THAI_OPENING or left[-1] in THAI_BINDING and left[-1] not in THAI_FINAL:

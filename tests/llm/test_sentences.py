@@ -67,3 +67,12 @@ def test_over_a_table(spark):
     got = sorted(tuple(r) for r in sentences.sentence_units(spark.createDataFrame(rows, "doc_id long, text string, end_pos long")).collect())
     assert got == [(1, 4), (1, 9), (4, 199_999)]
     assert sentences.sentence_units(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_thai_words_decide_at_gaps():
+    assert split("ผมไปตลาด แมวกินปลา") == ["ผมไปตลาด แมวกินปลา"]
+    assert split("อร่อยมากครับ แต่แพง") == ["อร่อยมากครับ", "แต่แพง"]
+    assert split("โคมไฟสว่างมาก และประหยัดไฟ") == ["โคมไฟสว่างมาก และประหยัดไฟ"]
+    assert split("แมวกินปลา ถ้าหิว") == ["แมวกินปลา", "ถ้าหิว"]
+    assert split("แมวหลับแล้ว หมากินข้าว") == ["แมวหลับแล้ว", "หมากินข้าว"]
+    assert split("แมวกินปลา  หมากินข้าว") == ["แมวกินปลา", "หมากินข้าว"]
