@@ -21,6 +21,7 @@ Defined results
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -34,6 +35,7 @@ TERMINATORS = ".!?…。！？｡؟۔।॥։።"
 CLOSERS = "”’»“›\"')]}）］】」』》〉"
 OPENERS = "“„«‹‘¿¡\"'([{（［【「『《〈—–-"
 _PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "【": "】", "「": "」", "『": "』", "《": "》", "〈": "〉", "«": "»", "„": "“”", "“": "”", "‹": "›"}
+_MARK = re.compile("[" + re.escape("".join([*_PAIRS, *_PAIRS.values()])) + "]")
 #: Abbreviations after which a sentence goes on, also before a capital or a number.
 INSIDE = frozenset(
     "dr mr mrs ms prof st sr sra sres dña hr fr dhr mevr mw mme mlle mm me д-р г-н г-жа fig figs no nos nr vgl abb chap ver vers vol pp cf ca approx est e.g i.e z d bijv núm núms aprox env pág págs см рис стр ок т.е тыс rys por ok np tj tzn ul inkl exkl incl excl zzgl bzw ggf ggü evtl sog s.o s.u z.b d.h u.a m.a.w o.a c.-à-d p.ej ej vs jr ee u.s डॉ रु नं सं श्री د أ".split()
@@ -273,25 +275,24 @@ def _trim(block: str, begin: int, m: re.Match) -> tuple[int, re.Match]:
 
 def _open_spans(block: str) -> list[int]:
     """For each place, how many pairs of an opening mark and its closing one it lies in."""
-    spans, stack = [], []
-    for i, c in enumerate(block):
-        if stack and c in _PAIRS[block[stack[-1]]]:
-            spans.append((stack.pop(), i))
+    spans, stack, awaited = [], [], Counter()
+    for m in _MARK.finditer(block):
+        i, c = m.start(), m[0]
+        if awaited[c]:
+            # it closes the nearest of its kind; what opened after that is given up
+            while True:
+                x = stack.pop()
+                awaited.subtract(_PAIRS[block[x]])
+                if c in _PAIRS[block[x]]:
+                    break
+            spans.append((x, i))
         elif c in _PAIRS:
             stack.append(i)
-            if len(stack) > 200:
-                del stack[0]
-        elif stack and c in ")]」』）»”":
-            for k in range(len(stack) - 1, -1, -1):
-                if c in _PAIRS[block[stack[k]]]:
-                    spans.append((stack[k], i))
-                    del stack[k:]
-                    break
+            awaited.update(_PAIRS[c])
     depth = [0] * (len(block) + 2)
     for x, y in spans:
-        if y - x < 400:
-            depth[x + 1] += 1
-            depth[y] -= 1
+        depth[x + 1] += 1
+        depth[y] -= 1
     return list(accumulate(depth))
 
 

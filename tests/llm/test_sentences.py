@@ -76,3 +76,11 @@ def test_thai_words_decide_at_gaps():
     assert split("แมวกินปลา ถ้าหิว") == ["แมวกินปลา", "ถ้าหิว"]
     assert split("แมวหลับแล้ว หมากินข้าว") == ["แมวหลับแล้ว", "หมากินข้าว"]
     assert split("แมวกินปลา  หมากินข้าว") == ["แมวกินปลา", "หมากินข้าว"]
+
+
+@pytest.mark.parametrize("opening, closing", ["()", "“”", "「」"])
+def test_long_spans_hold_like_short_ones(opening, closing):
+    for n in (2, 40):
+        text = f"It came late {opening}as was said before. " + "Nobody knows why. " * n + f"So it goes{closing} and was sent back."
+        assert split(text) == [text]
+    assert len(split("(" * 300 + "One. Two" + ")" * 300 + " went on.")) == 1
