@@ -128,7 +128,7 @@ class Index:
         self.first = frozenset(self.heads)
 
     def matches(self, toks: list[str]) -> list[tuple[int, int, int]]:
-        """``(exemplar, from, to)`` of the best window of every contained exemplar."""
+        """``(exemplar, from, to)`` of the windows that hold a contained exemplar: the best ones whose words do not overlap."""
         have = Counter(t for t in toks if t in self.postings)
         out = []
         for e in dict.fromkeys(e for t in have if t in self.heads for e in self.heads[t]):
@@ -137,7 +137,7 @@ class Index:
                 continue
             size = self.sizes[e] + (self.sizes[e] > 3) * 2
             window: Counter[str] = Counter()
-            inside, best = 0.0, (0.0, 0)
+            inside, least, full = 0.0, CONTAINED * self.mass[e] - 1e-9, []
             for i, t in enumerate(toks):
                 if t in bag:
                     window[t] += 1
@@ -147,10 +147,20 @@ class Index:
                     if window[old] <= bag[old]:
                         inside -= self.weight[old]
                     window[old] -= 1
-                if inside > best[0] + 1e-9:
-                    best = (inside, i)
-            if best[0] >= CONTAINED * self.mass[e] - 1e-9:
-                out.append((e, max(0, best[1] - size + 1), best[1] + 1))
+                if inside >= least:
+                    full.append((-round(inside, 9), i))
+            taken: set[int] = set()
+            for held, i in sorted(full):
+                # the words at the window's end that make up its weight
+                spare, at = bag.copy(), i + 1
+                while held < -1e-6:
+                    at -= 1
+                    if spare[t := toks[at]] > 0:
+                        spare[t] -= 1
+                        held += self.weight[t]
+                if taken.isdisjoint(range(at, i + 1)):
+                    taken.update(range(at, i + 1))
+                    out.append((e, max(0, i - size + 1), i + 1))
         return out
 
     def judge(self, text: str, own: frozenset[str] = frozenset(), folded: bool = False) -> str | None:

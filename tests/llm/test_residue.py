@@ -52,3 +52,10 @@ def test_over_a_table(spark):
     assert residue.residue_fields(df.limit(0)).count() == 0
     kept = {r["product_id"]: r["title"] for r in residue.without_residue(df.where("product_id in (0, 999) or product_id >= 100")).collect()}
     assert kept[0] is None and kept[999] is None
+
+
+@pytest.mark.parametrize("text", ["Page not found.", "Pagina niet gevonden.", "Nie znaleziono strony."])
+def test_repeated_short_messages(text):
+    for n in (1, 2, 5):
+        assert residue.Index().judge(" ".join([text] * n))
+    assert residue.Index().judge(f"{text} {text} Kettle in red enamel with a long spout, a lid and two handles of oak.") is None
