@@ -323,6 +323,19 @@ def redirect_chains(spark, d):
     return web.resolved_redirects(last, moves)
 
 
+@query("redirect_chains_all", """with n as (select site, row_number() over (order by site) - 1 as n from (select distinct site from sites)),
+c as (select site, n, max(n) over (partition by n // 13) as last from n)
+select c.site as url, case when c.last - c.n <= 10 then e.site end as final_url from c join n e on e.n = c.last""")
+def redirect_chains_all(spark, d):
+    """Every site in order moved to the next, in chains of up to 12 hops; beyond 10 the end stays open."""
+    from pyspark.sql import Window
+
+    sites = table(spark, d, "sites").select(F.col("site").alias("url")).distinct()
+    sites = sites.withColumn("chain", F.floor((F.row_number().over(Window.orderBy("url")) - 1) / 13))
+    moves = sites.withColumn("location", F.lead("url").over(_by("chain", "url"))).where("location is not null")
+    return web.resolved_redirects(sites.select("url"), moves.select("url", "location"))
+
+
 @query("item_links", f"""with l as (select distinct site as page, 'https://' || site || regexp_replace(url, '^[a-z]+://[^/]*', '') as href from products),
 y as (select page, href, regexp_matches({_ITEM.format('href')}, '(?i)/(products?|item|itm|prod|p)/[^/?#]+/?$') as prod, regexp_replace({_ITEM.format('href')}, '/[^/]*$', '') as parent from l),
 d as (select page, bool_or(prod) as direct from y group by 1),
