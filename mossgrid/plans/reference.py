@@ -153,6 +153,14 @@ def siblings_modal(spark, d):
     return found.withColumn("n", F.count("*").over(_by("listing", None))).where("n >= 3").select("listing", "href")
 
 
+@query("siblings_all")
+def siblings_all(spark, d):
+    """``siblings_modal`` with the small hosts, which fall back to the example's exact shape."""
+    pages_ = table(spark, d, "products").select("url").distinct().withColumn("listing", urls.host("url"))
+    example = pages_.groupBy("listing").agg(F.min("url").alias("example"))
+    return frontier.siblings(pages_.join(example, "listing").select("listing", "example", F.col("url").alias("href"))).select("listing", "href")
+
+
 # ── pages ─────────────────────────────────────────────────────────────────────────────────
 def _escaped(c: str) -> Column:
     return F.replace(F.replace(F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
@@ -534,6 +542,16 @@ def recipe_merge(spark, d):
     return governance.merged_recipes(r, r).select("domain", F.col("fields")["title"].alias("title"), F.size("fields").alias("fields"))
 
 
+@query("recipe_merge_halves")
+def recipe_merge_halves(spark, d):
+    """Each recipe's title, price and images merged over its other fields and older selectors."""
+    r = table(spark, d, "recipes").where("schema_name = 'product'")
+    new = r.withColumn("fields", F.map_filter("fields", lambda k, _: k.isin("title", "price", "images")))
+    old = r.withColumn("fields", F.transform_values(F.map_filter("fields", lambda k, _: k != "images"), lambda _, v: F.concat(F.lit("body "), v)))
+    entries = lambda c: F.array_sort(F.map_entries(c)).alias(c)
+    return governance.merged_recipes(old, new).select("domain", entries("fields"), entries("modes"), entries("alternates"))
+
+
 @query("selector_widen", "select domain, e.key as field, e.value as selector from (select domain, unnest(map_entries(fields)) as e from recipes where schema_name = 'product')")
 def selector_widen(spark, d):
     """Selectors given a part that only matches on sale, widened again."""
