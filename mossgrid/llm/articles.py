@@ -1,18 +1,24 @@
 """Listings of the same article, sold by different sellers in different words.
 
-1. Every listing is read into marks: model code and suffix, colour, measure in a common
-   unit, the variant number of its sku, brand; accessories and listings that hold
-   residue in place of content take no part.
-2. Listings that share a model code and suffix form a block. In a block, listings of one
-   seller with equal marks are one node, so groups of copies never form pairs here.
-3. Seller-constrained assignment: for each pair of sellers the cross-seller pairs are
-   scored and a maximum-weight matching is solved; conflicting marks forbid a pair.
-4. Matches are merged from the heaviest down as long as the whole class stays free of
-   conflicts, so that matches consistent around cycles build one class and a match that
-   contradicts the rest of its cycle is left out.
+1. Every listing is read into marks: the model with its suffix, brand, colour, measures
+   in common units, and what its sku adds to the model. Accessories and listings that hold
+   residue in place of content take no part. A model is a run of letters and digits
+   ("GSR 18V-60", "S21 Ultra", "PLD-5625 Mini"); of several in a title the one that other
+   fields of the listing repeat is taken. A listing without one, but with a brand, is known
+   by the brand and the words of its title that are no colour, measure or advertisement.
+2. Listings of one model form a block. The distinct marks of a block (its profiles) are
+   parted into components: profiles that do not contradict each other hang together. Only
+   profiles meet here, not listings.
+3. Seller-constrained assignment: listings of one seller with equal marks are one node. In
+   each component, for each pair of sellers, the pairs of nodes are scored by weighted
+   agreement and a maximum-weight matching is solved; conflicting marks forbid a pair. Where
+   several brands use a model name, the brands must be known and equal.
+4. A match is kept where matches through third sellers agree with it more often than not;
+   kept matches are merged from the heaviest down as long as the whole class stays free of
+   conflicts and holds no seller twice.
 
 Defined results
-* null and empty texts say nothing; a listing without a model code pairs with none;
+* null and empty texts say nothing; a listing without a model pairs with none;
 * repeated rows count once; ties are broken by product id, so results do not depend on
   the order of rows;
 * an empty table gives an empty result; other columns are ignored.
@@ -33,98 +39,161 @@ from pyspark.sql import functions as F
 from mossgrid.llm import residue
 from mossgrid.session import cut, spread
 
-#: The colours, each in the languages of the listings.
-COLOURS = (
-    "schwarz black noir negro zwart czarny czarna svart чёрный черный",
-    "weiß white blanc_cassé blanc blanco wit biały biała vit белый",
-    "rot red rouge rojo rood czerwony czerwona röd красный",
-    "dunkelgrün dark_green vert_foncé donkergroen verde_oscuro ciemnozielony mörkgrön тёмно-зелёный темно-зеленый",
-    "marineblau navy_blue bleu_marine azul_marino marineblauw granatowy marinblå тёмно-синий темно-синий",
-    "gelb yellow jaune_doré jaune żółty żółta geel amarillo gul жёлтый желтый",
-    "grau grey gray gris_argenté gris szary szara grå grijs серый",
-    "braun brown marron_brûlé marron marrón bruin brun brązowy коричневый",
-    "orangefarben orange orange_vif naranja oranje pomarańczowy оранжевый",
-    "violett violet violeta fioletowy paars lila фиолетовый",
-)
+#: Words for colours in the languages of the listings; a shade comes before or after.
+COLOURS = {
+    "black": "black schwarz schwarze schwarzer schwarzes noir noire negro negra zwart zwarte czarny czarna czarne svart svarta nero nera preto preta чёрный черный чёрная черная чёрное черное",
+    "white": "white weiß weiss weiße weißer blanc blanche blanco blanca wit witte biały biała białe vit vita bianco bianca branco branca белый белая белое",
+    "red": "red rot rote roter rotes rouge rojo roja rood rode czerwony czerwona czerwone röd röda rosso rossa vermelho красный красная красное",
+    "green": "green grün grüne grüner vert verte verde groen groene zielony zielona zielone grön gröna зелёный зеленый зелёная зеленая",
+    "blue": "blue blau blaue blauer bleu bleue azul blauw blauwe niebieski niebieska niebieskie blå blåa blu azzurro синий синяя голубой голубая",
+    "yellow": "yellow gelb gelbe gelber jaune amarillo amarilla geel gele żółty żółta żółte gul gula giallo gialla amarelo жёлтый желтый жёлтая желтая",
+    "grey": "grey gray grau graue grauer gris grise grijs grijze szary szara szare grå gråa grigio grigia cinza серый серая",
+    "brown": "brown braun braune brauner marron brun brune marrón bruin bruine brązowy brązowa brązowe bruna marrone castanho коричневый коричневая",
+    "orange": "orange orangefarben orangefarbene naranja oranje pomarańczowy pomarańczowa pomarańczowe orangea arancione laranja оранжевый оранжевая",
+    "violet": "violet violett violette violeta fioletowy fioletowa fioletowe paars paarse lila viola roxo purple фиолетовый фиолетовая",
+    "pink": "pink rosa rose roze różowy różowa rosado rosada розовый розовая",
+    "beige": "beige beżowy beżowa бежевый бежевая",
+    "silver": "silver silber silbern argenté plateado zilver zilveren srebrny srebrna argento серебристый серебристая",
+    "gold": "gold golden doré dorado goud gouden złoty złota guld oro золотой золотистый",
+    "turquoise": "turquoise türkis turquesa turkusowy turkoois turkos бирюзовый",
+}
+#: Words for a blue as dark as the navy's, and what makes a colour dark or light.
+NAVY = ("navy blue", "navy", "marineblau", "bleu marine", "azul marino", "marineblauw", "granatowy", "granatowa", "granatowe", "marinblå", "тёмно-синий", "темно-синий")
+DARK = ("dark ", "dunkel", "donker", "ciemno", "mörk", "тёмно-", "темно-", "foncé", "foncée", "oscuro", "oscura", "escuro", "ciemny")
+LIGHT = ("light ", "hell", "licht", "jasno", "ljus", "светло-", "clair", "claire", "claro", "clara", "jasny")
+#: Words after which a colour names a line of products.
+SERIES = ("seria", "serie", "series", "série", "edition", "édition", "edición", "linie", "línea", "серия")
 #: Words that make a listing an accessory or a spare part.
-ACCESSORY = "schutzhülle|hülle für|ersatzgriff|ersatzteil für|replacement|spare handle|spare part|carry case|case for|poignée de rechange|housse|pièce de rechange|część zamienna|pokrowiec|repuesto|funda|hoes voor|reserveonderdeel|vervangende|reservhandtag|reservdel till|fodral|чехол|запасная|запчасть|сменная|skyddsfodral|los handvat|reservegreep|handvat voor|ручка для"
-#: Units, as the factor to millilitres, milliwatts, millimetres or grams.
+ACCESSORY = (
+    "schutzhülle", "hülle für", "ersatz\\w*", "replacement", "spare handle", "spare part", "carry case", "case for", "cover for", "sleeve for", "charger for", "poignée de rechange", "de rechange", "housse", "étui pour", "część zamienna", "części zamienne",
+    "pokrowiec", "etui na", "repuesto", "recambio", "funda", "hoes voor", "reserveonderdeel", "reservegreep", "vervangende", "los handvat", "handvat voor", "reservhandtag", "reservdel", "fodral", "skyddsfodral", "чехол", "запасная", "запчасть", "сменная", "ручка для",
+)
+#: Units, as the factor to millilitres, milliwatts, millimetres, grams, megabytes, milliampere hours or volts.
 UNITS = {
     "ml": ("v", 1), "cl": ("v", 10), "dl": ("v", 100), "l": ("v", 1000), "liter": ("v", 1000), "litre": ("v", 1000), "litres": ("v", 1000), "liters": ("v", 1000), "litra": ("v", 1000), "litry": ("v", 1000), "litros": ("v", 1000), "litro": ("v", 1000), "л": ("v", 1000), "мл": ("v", 1),
-    "mw": ("p", 1), "w": ("p", 1000), "watt": ("p", 1000), "watts": ("p", 1000), "kw": ("p", 1_000_000), "вт": ("p", 1000), "мвт": ("p", 1),
-    "mm": ("x", 1), "cm": ("x", 10), "m": ("x", 1000), "мм": ("x", 1), "см": ("x", 10), "м": ("x", 1000), "in": ("x", 25.4), "inch": ("x", 25.4), "inches": ("x", 25.4), '"': ("x", 25.4), "”": ("x", 25.4), "″": ("x", 25.4), "ft": ("x", 304.8),
+    "mw": ("p", 1), "w": ("p", 1000), "watt": ("p", 1000), "watts": ("p", 1000), "kw": ("p", 1_000_000), "вт": ("p", 1000), "мвт": ("p", 1), "квт": ("p", 1_000_000),
+    "mm": ("x", 1), "cm": ("x", 10), "m": ("x", 1000), "мм": ("x", 1), "см": ("x", 10), "м": ("x", 1000), "in": ("x", 25.4), "inch": ("x", 25.4), "inches": ("x", 25.4), "zoll": ("x", 25.4), '"': ("x", 25.4), "”": ("x", 25.4), "″": ("x", 25.4), "ft": ("x", 304.8),
     "g": ("g", 1), "kg": ("g", 1000), "г": ("g", 1), "кг": ("g", 1000), "oz": ("g", 28.3495), "lb": ("g", 453.592),
+    "mb": ("b", 1), "gb": ("b", 1000), "tb": ("b", 1_000_000), "гб": ("b", 1000), "mah": ("c", 1), "ah": ("c", 1000), "v": ("u", 1), "volt": ("u", 1),
 }
-SUFFIXES = ("ii", "plus", "mini", "s")
-_COLOUR = {name.replace("_", " ").casefold(): i for i, names in enumerate(COLOURS) for name in names.split()}
-_COLOUR_RE = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(_COLOUR, key=len, reverse=True))) + r")(?!\w)(?! seria)")
-_CODE = re.compile(r"(?<![^\W\d_])([a-z]{3})[ -]?(\d{4})(?!\d)(?:[ -]?(ii|plus|mini|s)(?![\w]))?")
-_SKU = re.compile(r"(?:\w{3}_)?([a-z]{3})-?(\d{4})(ii|plus|mini|s)?(?:-(\d{3})|/(\d\d)/(\d))?(-ac)?$")
-_MEASURE = re.compile(r"(?<![\w.,Ø])(\d+(?:[.,]\d+)?) ?(" + "|".join(map(re.escape, sorted(UNITS, key=len, reverse=True))) + r")(?![\w²³])")
+ROUGH = (25.4, 28.3495, 304.8, 453.592)
+#: Words that belong to a model where they follow its number.
+SUFFIXES = ("ii", "iii", "iv", "plus", "mini", "pro", "max", "ultra", "lite", "air", "neo", "compact", "s", "x", "xl", "se")
+#: Words of advertisement that belong to no product's name.
+ADVERTS = frozenset("new neu nouveau nuevo nieuw nowość ny новинка sale top deal bestseller hit sprzedaży offer angebot offre oferta aanbieding promotion free shipping versandkostenfrei".split())
+
+_COLOUR = {w: c for c, words in COLOURS.items() for w in words.split()}
+_any = lambda words: "|".join(map(re.escape, sorted(words, key=len, reverse=True)))
+_COLOUR_RE = re.compile(rf"(?<!\w)(?:(?P<navy>{_any(NAVY)})|(?P<before>{_any(x for x in DARK + LIGHT if x)})?(?P<word>{_any(_COLOUR)})(?: (?P<after>{_any(x for x in DARK + LIGHT if x[-1] not in ' -')}))?)(?!\w)(?! (?:{_any(SERIES)}))")
+_SUFFIX = rf"(?:[ -]?(?:{_any(SUFFIXES)})(?!-?\w))+"
+_CODE = re.compile(rf"(?<![^\W_])(?P<a>[^\W\d_]{{1,12}})(?P<gap>[ -]?)(?P<d>\d{{1,8}})(?P<rest>(?:[^\W\d_]{{1,3}}\d*(?![^\W_]))?(?:-(?:\d+|[^\W\d_]{{1,3}})(?![^\W_]))*)(?P<suffix>{_SUFFIX})?(?![^\W_])|(?<![^\W_])(?P<n>\d{{1,4}})(?P<b>[^\W\d_]{{2,6}})(?P<e>\d{{2,8}})(?P<f>[^\W\d_]{{0,3}})(?![^\W_])")
+_MEASURE = re.compile(rf"(?<![\w.,Ø])(\d+(?:[.,]\d+)?) ?({_any(UNITS)})(?![\w²³])(?!-\d)")
 _SIZE = re.compile(r"(?<!\w)(?:eu|gr\.?|size|taille|talla|maat|stl\.?|rozm\.?|р\.?|размер|rozmiar|größe|storlek|str\.?) ?(\d{2}|xs|s|m|l|xl|xxl)(?!\w)|(?<!\w)(?:small|medium|large|x-large|xx-large) \((xs|s|m|l|xl|xxl)\)")
-_LABEL_COLOUR = re.compile(r"(?:colour|farbe|couleur|kleur|kolor|color|färg|цвет) ?: ?([^.]*)\.")
-_LABEL_MEASURE = re.compile(r"(?:specification|ausführung|format|uitvoering|wersja|tamaño|utförande|исполнение) ?: ?(.{1,30})")
-_ACCESSORY = re.compile(rf"(?<!\w)(?:{ACCESSORY})")
+_LABEL_COLOUR = re.compile(r"(?:colou?r|farbe|couleur|kleur|kolor|färg|colore|cor|цвет) ?: ?([^.;\n]*)")
+_LABEL_MEASURE = re.compile(r"(?:specification|ausführung|format|uitvoering|wersja|tamaño|utförande|исполнение|size|größe|taille|maat|rozmiar|storlek|размер) ?: ?([^;\n]{1,40})")
+_ACCESSORY = re.compile(rf"(?<!\w)(?:{'|'.join(ACCESSORY)})")
 _SUFFIX_OF_BRAND = re.compile(r" (?:official|gmbh|store|co\.?|ltd\.?|inc\.?|shop)$")
-#: Listings are held against the residue exemplars, all words weighing alike.
-_RESIDUE = residue.Index()
+_NOT_ALNUM = re.compile(r"[\W_]+")
+_LETTERS = re.compile(r"[^\W\d_]{2,}")
+PART = "\x1f"
 
 
-def measure_of(text: str, within: int = 1 << 30) -> str | None:
-    """The first measure in ``text``, in a common unit: "v750", "x1300", "size:m"."""
-    if (m := _SIZE.search(text)) and m.start() <= within:
+def measures_of(text: str, within: int | None = None) -> str | None:
+    """The measures in ``text`` in common units, the first of each kind: "v750", "b128000|x150",
+    "size:m". ``within``: the first must begin in so many characters, and stands alone."""
+    if (m := _SIZE.search(text)) and (within is None or m.start() <= within):
         return f"size:{m[1] or m[2]}"
+    out: dict[str, str] = {}
     for m in _MEASURE.finditer(text):
-        if m.start() > within:
+        if within is not None and m.start() > within:
             break
         if text[: m.start()].rstrip().endswith("ø"):
             continue
         kind, factor = UNITS[m[2]]
         value = float(m[1].replace(",", ".")) * factor
         # written inches and ounces have one decimal; the article's own measure is a round one
-        return f"{kind}{round(value / 10) * 10 if factor in (25.4, 28.3495, 304.8, 453.592) else round(value)}"
-    return None
+        out.setdefault(kind, f"{kind}{round(value / 10) * 10 if factor in ROUGH else round(value)}")
+        if within is not None:
+            break
+    return "|".join(sorted(out.values())) or None
 
 
-def colour_of(text: str) -> int | None:
+def colour_of(text: str) -> str | None:
+    """The first colour in ``text``, as its plain name and shade: "green", "blue/dark"."""
     m = _COLOUR_RE.search(text)
-    return _COLOUR[m[0]] if m else None
-
-
-def marks(title: str | None, brand: str | None, sku: str | None, description: str | None, site: str | None = None) -> tuple[str, int | None, str | None, int | None, str | None] | None:
-    """``(model, colour, measure, variant, brand)`` of a listing; None where it has no model,
+    if not m:
+        return None
+    if m["navy"]:
+        return "blue/dark"
+    shade = m["before"] or m["after"]
+    return _COLOUR[m["word"]] + ("" if not shade else "/dark" if shade in DARK else "/light")
+
+
+def _plain(text: str) -> str:
+    return _NOT_ALNUM.sub("", text)
+
+
+def model_of(texts: list[str]) -> tuple[str, str, re.Match | None, int]:
+    """``(model, suffix, match, field)`` of the first field that names one; empty where none does.
+
+    Sizes and measures are no models. A candidate counts more the more fields repeat it, then
+    if its letters and digits are not parted by a blank, then the longer its number is."""
+    squeezed = [_plain(t) for t in texts]
+    for at, text in enumerate(texts):
+        best = None
+        taken = [m.span() for m in _SIZE.finditer(text)] + [m.span() for m in _MEASURE.finditer(text)] if text else []
+        for m in _CODE.finditer(text):
+            digits, letters = m["d"] or m["e"], m["a"] or m["b"]
+            a, b = m.span("d") if m["d"] else m.span("e")
+            if any(x < b and a < y for x, y in taken) and m["gap"] == " ":
+                continue
+            core = letters + digits
+            rank = (sum(core in s for s in squeezed), m["gap"] != " ", min(len(digits), 3), len(letters) <= 4, -m.start())
+            if best is None or rank > best[0]:
+                best = (rank, m, (m["n"] or "") + core)
+        if best and (best[0][0] > 1 or best[0][1] or best[0][2] > 1):
+            m = best[1]
+            return best[2], _plain((m["rest"] or "") + (m["suffix"] or "") + (m["f"] or "")), m, at
+    return "", "", None, -1
+
+
+def marks(title: str | None, brand: str | None, sku: str | None, description: str | None, site: str | None = None, index: residue.Index | None = None) -> tuple[str, str | None, str | None, str | None, str | None] | None:
+    """``(model, brand, colour, measures, variant)`` of a listing; None where it has no model,
     is an accessory or holds residue instead of content."""
+    index = index or _UNWEIGHTED
     t = residue._clean(title or "").casefold()
     d = residue._clean(description or "").casefold()
     own = residue.words_of(site)
-    if _RESIDUE.judge(t, own, True) or _RESIDUE.judge(d, own, True):
-        return None
-    s = _SKU.match((sku or "").casefold().strip())
-    if _ACCESSORY.search(t) or s and s[7]:
-        return None
-    in_title = _CODE.search(t)
-    code = in_title or _CODE.search(d)
-    if code:
-        model = code[1] + code[2] + (code[3] or "")
-    elif s:
-        model = s[1] + s[2] + (s[3] or "")
-    else:
+    if index.judge(t, own, True) or index.judge(d, own, True) or _ACCESSORY.search(t):
         return None
+    s = (sku or "").casefold().strip()
+    code, suffix, m, field = model_of([t, d, s])
+    named = brand_name(brand or "")
+    rest = t[: m.start()] + " | " + t[m.end() :] if field == 0 else t
     label = _LABEL_COLOUR.search(d)
-    rest = t[: code.start()] + " | " + t[code.end() :] if in_title else t
-    colour = colour_of(label[1]) if label else None
-    if colour is None:
-        colour = colour_of(rest)
+    colour = (colour_of(label[1]) if label else None) or colour_of(rest)
     label = _LABEL_MEASURE.search(d)
-    measure = measure_of(label[1], 2) if label else None
-    if measure is None:
-        measure = measure_of(rest)
+    measure = (measures_of(label[1], 2) if label else None) or measures_of(rest)
+    if not code:
+        bare = _SIZE.sub(" ", _MEASURE.sub(" ", _COLOUR_RE.sub(" ", t)))
+        words = sorted(set(_LETTERS.findall(bare)) - ADVERTS - set(_LETTERS.findall(named or "")))
+        return (f"{named} {' '.join(words)}", named, colour, measure, None) if named and len(words) >= 2 else None
     variant = None
-    if s and (s[4] or s[5]) and s[1] + s[2] == model[:7]:
-        variant = int(s[4] or s[5] + s[6])
-        if colour is None and variant // 10 < len(COLOURS):
-            colour = variant // 10
-    return model, colour, measure, variant, brand_name(brand or "")
+    if s and field != 2:
+        # what the sku adds after the model; a sku without the model is the seller's own number
+        flat = _plain(s)
+        at = flat.find(code + suffix)
+        size = len(code + suffix)
+        if at < 0:
+            at, size = flat.find(code), len(code)
+        variant = (flat[at + size :] or None) if at >= 0 else None
+    elif field == 2:
+        # the sku alone names the model: letters after the number are its suffix
+        flat = _plain(s)
+        tail = flat[flat.find(code) + len(code) :]
+        suffix = re.match(r"[^\W\d_]*", tail)[0]
+        variant = tail[len(suffix) :] or None
+    return code + suffix, named, colour, measure, variant
 
 
 @lru_cache(maxsize=1 << 14)
@@ -133,21 +202,59 @@ def brand_name(brand: str) -> str | None:
     return _SUFFIX_OF_BRAND.sub("", residue._clean(brand).casefold().strip()) or None
 
 
-Node = tuple[int, str, int | None, str | None, int | None, str | None]  # node, site, colour, measure, variant, brand
-_WEIGHTS = (2.0, 2.0, 3.0, 0.5)
+_UNWEIGHTED = residue.Index()
+
+Profile = tuple[str | None, str | None, str | None, str | None]  # brand, colour, measures, variant
+Node = tuple[int, str, Profile]  # least product id, seller, marks
+#: What agreement on the model, and on each mark, is worth.
+_MODEL, _WEIGHTS = 1.0, (0.5, 2.0, 2.0, 3.0)
 
 
-def score(a: Node, b: Node) -> float | None:
-    """The weight of a pair of one model; None where marks contradict each other."""
-    total = 1.0
-    for x, y, w in zip(a[2:], b[2:], _WEIGHTS):
+@lru_cache(maxsize=1 << 16)
+def same_measures(a: str, b: str) -> bool | None:
+    """Whether the kinds of measure that both hold agree; None where they share no kind."""
+    if a == b:
+        return True
+    if a.startswith("size:") or b.startswith("size:"):
+        return False if a[:5] == b[:5] else None
+    x, y = ({p[0]: p for p in s.split("|")} for s in (a, b))
+    shared = x.keys() & y.keys()
+    return all(x[k] == y[k] for k in shared) if shared else None
+
+
+def agreement(a: Profile, b: Profile, several_brands: bool = False) -> float | None:
+    """The weight of two profiles of one model; None where they contradict each other."""
+    if several_brands and (a[0] is None or a[0] != b[0]):
+        return None
+    total = _MODEL
+    for k, (x, y, w) in enumerate(zip(a, b, _WEIGHTS)):
         if x is not None and y is not None:
-            if x != y:
+            same = same_measures(x, y) if k == 2 else x == y
+            if same is False:
                 return None
-            total += w
+            total += w if same else 0
     return total
 
 
+def components(profiles: list[Profile]) -> list[int]:
+    """For each profile the least index of those it hangs together with."""
+    several = len({p[0] for p in profiles if p[0] is not None}) > 1
+    group: list[int] = [-1] * len(profiles)
+    rest = list(range(len(profiles)))
+    while rest:
+        first = rest[0]
+        group[first], reached = first, [first]
+        rest = rest[1:]
+        while reached:
+            p = profiles[reached.pop()]
+            near = [i for i in rest if agreement(p, profiles[i], several) is not None]
+            for i in near:
+                group[i] = first
+            reached += near
+            rest = [i for i in rest if group[i] < 0]
+    return group
+
+
 def best_matching(weights: list[list[float | None]]) -> list[tuple[int, int]]:
     """Maximum-weight matching of a small bipartite graph (Hungarian method); None is no edge."""
     n, m = len(weights), len(weights[0])
@@ -183,8 +290,14 @@ def best_matching(weights: list[list[float | None]]) -> list[tuple[int, int]]:
     return sorted((int(p[j]) - 1, j - 1) for j in range(1, m + 1) if 1 <= p[j] <= n and weights[p[j] - 1][j - 1] is not None)
 
 
-def classes(nodes: list[Node]) -> list[tuple[int, int]]:
-    """``(node, class)`` of the nodes of one block; a class is named by its least node."""
+def _cycles_agree(partner: list[dict[str, int]], i: int, j: int) -> bool:
+    """Of the third sellers in which both ends of a match have a partner, no more than half name different ones."""
+    shared = partner[i].keys() & partner[j].keys()
+    return 2 * sum(partner[i][s] != partner[j][s] for s in shared) <= len(shared)
+
+
+def classes(nodes: list[Node], several_brands: bool = False) -> list[tuple[int, int]]:
+    """``(node, class)`` of the nodes of one component; a class is named by its least node."""
     if len(nodes) == 1:
         return [(nodes[0][0], nodes[0][0])]
     nodes = sorted(nodes)
@@ -192,15 +305,18 @@ def classes(nodes: list[Node]) -> list[tuple[int, int]]:
     for i, x in enumerate(nodes):
         sellers[x[1]].append(i)
     names = list(sellers)
-    matches = []
+    matches, partner = [], [{} for _ in nodes]
     for s, a in enumerate(names):
         for b in names[s + 1 :]:
             left, right = sellers[a], sellers[b]
-            weights = [[score(nodes[i], nodes[j]) for j in right] for i in left]
-            matches += [(-weights[x][y], *sorted((left[x], right[y]))) for x, y in best_matching(weights)]
+            weights = [[agreement(nodes[i][2], nodes[j][2], several_brands) for j in right] for i in left]
+            for x, y in best_matching(weights):
+                i, j = left[x], right[y]
+                partner[i][b], partner[j][a] = j, i
+                matches.append((-weights[x][y], min(i, j), max(i, j)))
     # heaviest first; a class keeps one value of each mark and one node of a seller
     parent = list(range(len(nodes)))
-    known = [list(x[2:]) for x in nodes]
+    known = [x[2] for x in nodes]
     held = [{x[1]} for x in nodes]
 
     def root(i: int) -> int:
@@ -209,73 +325,108 @@ def classes(nodes: list[Node]) -> list[tuple[int, int]]:
             i = parent[i]
         return i
 
-    for _, i, j in sorted(matches):
-        i, j = sorted((root(i), root(j)))
-        if i == j or held[i] & held[j] or any(x is not None and y is not None and x != y for x, y in zip(known[i], known[j])):
+    for _, a, b in sorted(matches):
+        i, j = sorted((root(a), root(b)))
+        if i == j or held[i] & held[j] or agreement(known[i], known[j], several_brands) is None or not _cycles_agree(partner, a, b):
             continue
         parent[j] = i
         held[i] |= held[j]
-        known[i] = [y if x is None else x for x, y in zip(known[i], known[j])]
+        known[i] = tuple(y if x is None else x if k != 2 or y is None else "|".join(sorted(set(x.split("|")) | set(y.split("|")))) for k, (x, y) in enumerate(zip(known[i], known[j])))
     return [(x[0], nodes[root(i)][0]) for i, x in enumerate(nodes)]
 
 
-_KEY = ["model", "site", "colour", "measure", "variant", "brand"]
+def _written(p: Profile) -> str:
+    return PART.join("" if x is None else x for x in p)
+
+
+def _profile(text: str) -> Profile:
+    return tuple(x or None for x in text.split(PART))
+
+
+def _grouped(batches: Iterator[pd.DataFrame], keys: int) -> Iterator[list[tuple]]:
+    """The rows of each group, of batches sorted by the first ``keys`` columns."""
+    held: list[tuple] = []
+    for pdf in batches:
+        for row in pdf.itertuples(index=False, name=None):
+            if held and row[:keys] != held[-1][:keys]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _chunks(rows: Iterator[tuple], columns: list[str], size: int = 20_000) -> Iterator[pd.DataFrame]:
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) >= size:
+            yield pd.DataFrame(held, columns=columns)
+            held = []
+    yield pd.DataFrame(held, columns=columns)
 
 
 def listing_marks(products: DataFrame) -> DataFrame:
-    """``(product_id, model, site, colour, measure, variant, brand)`` of the listings that take part."""
+    """``(product_id, site, model, profile)`` of the listings that take part."""
+    df, n = residue.frequencies(products)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = residue.Index(df, n)
         for pdf in batches:
             out = []
             for i, site, *texts in zip(pdf["product_id"], pdf["site"], pdf["title"], pdf["brand"], pdf["sku"], pdf["description"]):
-                if m := marks(*texts, site):
-                    out.append((i, m[0], site, m[1], m[2], m[3], m[4]))
-            made = pd.DataFrame(out, columns=["product_id", *_KEY])
-            yield made.astype({"colour": "Int32", "variant": "Int32"})
+                if m := marks(*texts, site, index):
+                    out.append((i, site or "", m[0], _written(m[1:])))
+            yield pd.DataFrame(out, columns=["product_id", "site", "model", "profile"])
 
-    return spread(products.where("product_id is not null").select("product_id", "site", "title", "brand", "sku", "description")).mapInPandas(
-        run, "product_id long, model string, site string, colour int, measure string, variant int, brand string"
-    )
+    return spread(products.where("product_id is not null").select("product_id", "site", "title", "brand", "sku", "description")).mapInPandas(run, "product_id long, site string, model string, profile string")
 
 
 def article_classes(products: DataFrame) -> DataFrame:
     """``(product_id, class_id)``: one row per listing that takes part; listings of one article share a class."""
-    listings = cut(listing_marks(products).withColumn("site", F.coalesce("site", F.lit(""))).dropDuplicates(["product_id"]))
-    nodes = listings.groupBy(*_KEY).agg(F.min("product_id").alias("node"))
+    listings = cut(listing_marks(products).dropDuplicates(["product_id"]))
+    nodes = listings.groupBy("model", "profile", "site").agg(F.min("product_id").alias("node"))
 
-    def block(model: str | None, held: list[Node]) -> list[tuple]:
-        by_node = dict(classes(held)) if held else {}
-        return [(model, *x[1:], by_node[x[0]]) for x in held]
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows() -> Iterator[tuple]:
+            for held in _grouped(batches, 1):
+                profiles = [_profile(p) for _, p in held]
+                several = len({p[0] for p in profiles if p[0] is not None}) > 1
+                for (model, p), g in zip(held, components(profiles)):
+                    yield model, p, g, several
 
-    def made(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=[*_KEY, "class_id"]).astype({"colour": "Int32", "variant": "Int32"})
+        yield from _chunks(rows(), ["model", "profile", "part", "several"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[Node] = []
-        model = None
-        for pdf in batches:
-            pdf = pdf.astype(object).where(pdf.notna(), None)
-            out = []
-            for m, *rest in zip(pdf["model"], pdf["node"], pdf["site"], pdf["colour"], pdf["measure"], pdf["variant"], pdf["brand"]):
-                if m != model:
-                    out += block(model, held)
-                    held, model = [], m
-                held.append(tuple(rest))
-            yield made(out)
-        yield made(block(model, held))
-
-    # a block meets in one task as its distinct marks by seller, however many listings it has
-    solved = nodes.repartition("model").sortWithinPartitions("model").select("model", "node", *_KEY[1:]).mapInPandas(run, "model string, site string, colour int, measure string, variant int, brand string, class_id long")
-    on = (listings["model"] == solved["model"]) & (listings["site"] == solved["site"])
-    for k in _KEY[2:]:
-        on &= listings[k].eqNullSafe(solved[k])
-    return listings.join(solved, on).select("product_id", "class_id")
+    # the components of a block, from its distinct marks alone
+    profiles = listings.select("model", "profile").distinct()
+    parts = profiles.repartition("model").sortWithinPartitions("model", "profile").mapInPandas(part, "model string, profile string, part int, several boolean")
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows() -> Iterator[tuple]:
+            for held in _grouped(batches, 2):
+                by_node = dict(classes([(x[3], x[4], _profile(x[5])) for x in held], bool(held[0][2])))
+                for model, _, _, node, site, profile in held:
+                    yield model, profile, site, by_node[node]
+
+        yield from _chunks(rows(), ["model", "profile", "site", "class_id"])
+
+    # a component meets in one task as its distinct marks by seller, however many listings it has
+    placed = nodes.join(parts, ["model", "profile"]).select("model", "part", "several", "node", "site", "profile")
+    solved = placed.repartition("model", "part").sortWithinPartitions("model", "part").mapInPandas(match, "model string, profile string, site string, class_id long")
+    return listings.join(solved, ["model", "profile", "site"]).select("product_id", "class_id")
 
 
 def article_pairs(products: DataFrame) -> DataFrame:
-    """``(product_id_a, product_id_b)``: every pair of listings of one article."""
+    """``(product_id_a, product_id_b)``: every pair of listings of one article. The rows asked for grow
+    with the square of a class, so ``article_classes`` is the form for classes of any size; here a large
+    class is dealt out: its second members by a salt, its first ones to every salt."""
     member = cut(article_classes(products))
-    a = member.select("class_id", F.col("product_id").alias("product_id_a"))
-    b = member.select("class_id", F.col("product_id").alias("product_id_b"))
-    return a.join(b, "class_id").where("product_id_a < product_id_b").select("product_id_a", "product_id_b")
+    size = member.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").withColumn("salts", F.ceil(F.col("n") / SALTED).cast("int"))
+    member = member.join(size, "class_id")
+    a = member.select("class_id", F.col("product_id").alias("product_id_a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    b = member.select("class_id", F.col("product_id").alias("product_id_b"), F.expr("cast(pmod(xxhash64(product_id), salts) as int)").alias("salt"))
+    return a.join(b, ["class_id", "salt"]).where("product_id_a < product_id_b").select("product_id_a", "product_id_b")
+
+
+#: Members of a class that meet in one task when pairs are written out.
+SALTED = 2000

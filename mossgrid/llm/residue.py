@@ -6,6 +6,10 @@ length slides over the text and the TF-IDF containment of the exemplar in the wi
 is taken, with document frequencies counted over all texts. A text is excluded where
 a long exemplar is contained, or where contained exemplars cover most of the text:
 honest texts that speak of such things hold a few words of an exemplar among others.
+Messages in words of their own are told by the containment the other way round: the
+TF-IDF weight of a short text that lies in the pooled words of one kind of exemplars.
+Placeholders are known by their shape: signs that only templates use, or names written
+as identifiers (``product_name``, ``item.title``, ``PRODUCT_TITLE``) in any signs.
 
 Defined results
 * null, empty and blank values are no case;
@@ -36,14 +40,17 @@ EXEMPLARS = {
         "Cookies and scripts must be allowed before this page can load", "Scripts are blocked in your browser; this page works only with scripts switched on", "Scripting disabled – content cannot be shown",
         "Bitte aktivieren Sie JavaScript, um fortzufahren", "Ce site a besoin de JavaScript pour s’afficher", "Activa JavaScript en tu navegador para continuar", "Aktivera JavaScript för att se innehållet",
         "Zet JavaScript aan om deze pagina te bekijken", "Włącz obsługę skryptów, aby zobaczyć ofertę", "Для работы сайта включите JavaScript", "This site requires JavaScript to be enabled", "JavaScript is required to view this page",
+        "Please turn on JavaScript and reload the page", "JavaScript seems to be disabled in your browser. You must have JavaScript enabled in your browser to use this website", "We're sorry but this app doesn't work properly without JavaScript enabled", "Abilita JavaScript per visualizzare questa pagina", "Please enable cookies to continue",
     ],
     "error": [
         "Fatal error: uncaught exception in /srv/shop/view_#.php on line #", "# Bad Gateway", "Service momentanément indisponible", "Database connection failed (#)", "Page introuvable", "The requested item does not exist any more or the link is broken",
         "Access denied – reference no. #", "Internal server error", "Nie znaleziono strony", "Sidan kunde inte hittas", "Wartungsmodus: Der Shop ist gleich wieder da", "# – page not found", "Unexpected token < at position #",
         "Error #: service unavailable", "Checking your browser, one moment", "Pagina niet gevonden", "Zugriff verweigert", "Too many requests, try again in # seconds", "Página no encontrada", "Please prove that you are human",
+        "# Not Found", "Access denied", "Error #", "Service Unavailable", "Site is down for maintenance", "Gateway time-out", "Pagina non trovata", "The page you are looking for could not be found", "The page you requested does not exist", "Sorry, this page isn't available", "Die angeforderte Seite existiert nicht", "La page demandée n'existe pas", "La página solicitada no existe", "Sivua ei löytynyt", "Siden blev ikke funnet", "ページが見つかりません", "页面不存在", "Bad request", "Request timed out", "Connection refused", "An unexpected error occurred, please try again later", "Ein Fehler ist aufgetreten, bitte versuchen Sie es später erneut", "Une erreur est survenue, veuillez réessayer plus tard", "Se ha producido un error, inténtelo de nuevo más tarde", "We are currently performing scheduled maintenance", "You don't have permission to access this resource", "Accès refusé", "Acceso denegado", "Toegang geweigerd", "Odmowa dostępu", "Доступ запрещён", "Åtkomst nekad",
         "Страница не найдена", "Oops! Something went wrong on our side", "Seite nicht gefunden (Fehler #)", "This session has expired, please sign in again", "# Gateway Timeout", "# Forbidden", "Verify you are human to continue", "Site under maintenance, please come back later",
     ],
     "filler": [
+        "Lorem ipsum", "Coming soon", "TODO", "Beispieltext hier einfügen", "Sed ut perspiciatis unde omnis", "Sed ut perspiciatis unde omnis iste natus error sit voluptatem accusantium doloremque", "Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip", "Duis aute irure dolor in reprehenderit in voluptate velit esse cillum", "Placeholder text", "Dummy text", "This is a placeholder", "Description coming soon", "Beschreibung folgt", "Description à venir", "Descripción próximamente", "Platzhaltertext", "Texte de remplissage", "Tekst zastępczy", "Platshållartext", "Add your product description here", "Enter product name",
         "Lorem ipsum dolor", "Lorem ipsum dolor sit amet, consectetur elit, sed tempor #.", "Dolor amet ipsum sed consectetur lorem tempor elit # ut labore.", "xxxx xxxxx xx xxxxxxx # xxx xxxx.", "xxxxx xxx", "asdf asdf jklö qwertz # asdf.", "asdf qwertz",
         "Hier steht später die Beschreibung. Blindtext Nummer #, bitte ersetzen.", "Type your description in this box (max. # characters).", "Text kommt noch. Text kommt noch. Text kommt noch.", "Aquí va el texto del producto, ejemplo #.",
         "Voorbeeldtekst #: vul hier de omschrijving in.", "Здесь будет описание, рыба-текст #.", "This is sample text number #. Replace it with your own words before you publish.", "Texte d’exemple n° #, à remplacer par le vôtre.",
@@ -51,7 +58,7 @@ EXEMPLARS = {
     ],
     "template": [
         "[object Object]", "undefined", "null", "NaN", "(no title set) undefined undefined",
-        "{{§}}", "{{{§}}}", "{%§%}", "<%=§%>", "${§}", "#{§}", "{§:s}", "[[§]]", "[§]", "*|§|*", "%%§%%", "%§%", "$§$", "__§__", "&lt;§&gt;", "<§ here>", "«§»_TBD", "@Model.§", "t('§')", "##§##", "[%§%]",
+        "{§}", "@@§@@", "$§", "{{§}}", "{{{§}}}", "{%§%}", "<%=§%>", "${§}", "#{§}", "{§:s}", "[[§]]", "[§]", "*|§|*", "%%§%%", "%§%", "$§$", "__§__", "&lt;§&gt;", "<§ here>", "«§»_TBD", "@Model.§", "t('§')", "##§##", "[%§%]",
     ],
     # what stands around residue; it counts as covered but is none itself
     "frame": ["Home > Shop >", "Back to the start page.", "Buy online"],
@@ -60,11 +67,19 @@ EXEMPLARS = {
 SLOT_WORDS = frozenset("title name product heading variant label attr size spec shop city colour color first last item price brand sku image description text model here user date category".split())
 
 CONTAINED = 0.8
+#: A message in words of its own: at most so many words, so much of their weight in one
+#: kind's pool; telling words stand in at most this share of all texts.
+MESSAGE, POOLED, TELLING = 16, 0.85, 0.02
 LONG = 4
+#: The bound of the labelled sample.
+MOST_EXEMPLARS = 5000
 COVERED = 0.6
 _NAME = r"\s*[A-Za-z][\w.]*(?:[ ][A-Za-z][\w.]*){0,3}\s*"
-_SHAPES = [("{{{", "}}}"), ("{{", "}}"), ("{%", "%}"), ("<%=", "%>"), ("[%", "%]"), ("${", "}"), ("#{", "}"), ("[[", "]]"), ("*|", "|*"), ("%%", "%%"), ("##", "##"), ("__", "__"), ("&lt;", "&gt;"), ("«", "»_tbd"), ("t('", "')"), ("{", ":s}"), ("<", " here>"), ("[", "]"), ("%", "%"), ("$", "$"), ("@model.", "")]
-_WEAK = {("[", "]"), ("%", "%"), ("$", "$"), ("&lt;", "&gt;"), ("<", " here>")}
+_SHAPES = [("{{{", "}}}"), ("{{", "}}"), ("{%", "%}"), ("<%=", "%>"), ("[%", "%]"), ("${", "}"), ("#{", "}"), ("[[", "]]"), ("*|", "|*"), ("%%", "%%"), ("##", "##"), ("@@", "@@"), ("__", "__"), ("&lt;", "&gt;"), ("«", "»_tbd"), ("t('", "')"), ("{", ":s}"), ("<", " here>"), ("{", "}"), ("[", "]"), ("%", "%"), ("$", "$"), ("@model.", ""), ("$", "")]
+#: Signs that honest text uses too: what stands in them must be an identifier or name a field.
+_WEAK = {("{", "}"), ("[", "]"), ("%", "%"), ("$", "$"), ("&lt;", "&gt;"), ("<", " here>"), ("$", "")}
+#: An identifier: words joined by "_" or ".", or by capitals inside a word.
+_IDENTIFIER = re.compile(r"\s*(?:[A-Za-z]\w*[_.][A-Za-z][\w.]*|[a-z]+(?:[A-Z][a-z]+)+)\s*")
 _LEX = re.compile("|".join(f"(?P<s{i}>{re.escape(a)}{_NAME if b else r'[A-Za-z][\w.]*'}{re.escape(b)})" for i, (a, b) in enumerate(_SHAPES)) + r"|(?P<w>[^\W\d_]+)|(?P<n>\d+(?:[.,]\d+)*)", re.IGNORECASE)
 _SIGNS = re.compile(r"[{}\[\]%$«@&*#]|__|<|t\('", re.IGNORECASE)
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -86,7 +101,7 @@ def tokens(text: str) -> list[str]:
             a, b = _SHAPES[int(kind[1:])]
             name = m[0][len(a) : len(m[0]) - len(b)] if b else m[0][len(a) :]
             words = [w.casefold() for w in re.findall(r"[^\W\d_]+", name)]
-            if (a, b) in _WEAK and not (words and all(w in SLOT_WORDS for w in words)):
+            if (a, b) in _WEAK and not _IDENTIFIER.fullmatch(name) and not (b and words and all(w in SLOT_WORDS for w in words)):
                 out += [w for w in words]
             else:
                 out += [f"⟦{a}", "§", f"{b}⟧"]
@@ -94,18 +109,18 @@ def tokens(text: str) -> list[str]:
 
 
 def _exemplar_tokens(text: str) -> list[str]:
-    text = text.replace("#", "0") if "§" not in text else text.replace("§", "title")
+    text = text.replace("#", "0") if "§" not in text else text.replace("§", "product_title")
     return tokens(text)
 
 
 class Index:
     """The inverted index of the exemplars, weighted by ``df`` of ``n`` texts."""
 
-    def __init__(self, df: dict[str, int] | None = None, n: int = 0) -> None:
+    def __init__(self, df: dict[str, int] | None = None, n: int = 0, exemplars: dict[str, Sequence[str]] | None = None) -> None:
         self.kinds, self.bags, self.sizes, self.mass = [], [], [], []
         self.postings: dict[str, list[int]] = defaultdict(list)
         df = df or {}
-        for kind, texts in EXEMPLARS.items():
+        for kind, texts in (exemplars or EXEMPLARS).items():
             for t in texts:
                 toks = [x for x in _exemplar_tokens(t) if x != "#"]
                 bag = Counter(toks)
@@ -126,6 +141,10 @@ class Index:
                 if left < CONTAINED * self.mass[e] - 1e-9:
                     break
         self.first = frozenset(self.heads)
+        # the pooled words of the messages, and those of them that few texts and one kind hold
+        self.rarest = 1.0 + math.log(n + 1)
+        self.pools = {k: frozenset(t for kind, bag in zip(self.kinds, self.bags) if kind == k for t in bag) for k in ("notice", "error", "filler")}
+        self.telling = {k: frozenset(t for t in pool if len(t) > 3 and df.get(t, 0) <= TELLING * n) for k, pool in self.pools.items()}
 
     def matches(self, toks: list[str]) -> list[tuple[int, int, int]]:
         """``(exemplar, from, to)`` of the windows that hold a contained exemplar: the best ones whose words do not overlap."""
@@ -171,6 +190,9 @@ class Index:
         toks = tokens(text)
         if not toks or self.first.isdisjoint(toks):
             return None
+        return self._contained(toks, own) or self.pooled(toks, own)
+
+    def _contained(self, toks: list[str], own: frozenset[str]) -> str | None:
         kinds, covered, long = [], set(), None
         for e, a, b in self.matches(toks):
             kind, bag = self.kinds[e], self.bags[e]
@@ -184,9 +206,21 @@ class Index:
             return None
         if long:
             return long[1]
-        words = [i for i, t in enumerate(toks) if t != "#" and t not in own and t not in ("example",)]
+        words = [i for i, t in enumerate(toks) if t != "#" and t not in own]
         return max(kinds)[1] if words and sum(i in covered for i in words) >= COVERED * len(words) else None
 
+    def pooled(self, toks: list[str], own: frozenset[str]) -> str | None:
+        """The kind of exemplars in whose pooled words most of a short text's weight lies. One word
+        of a message alone says nothing, nor do its everyday words: two telling ones must be there."""
+        words = [t for t in toks if t != "#" and t not in own]
+        if not 2 <= len(words) <= MESSAGE:
+            return None
+        weights = [self.weight.get(t, self.rarest) for t in words]
+        for kind, pool in self.pools.items():
+            if len({t for t in words if t in self.telling[kind]}) >= 2 and sum(w for t, w in zip(words, weights) if t in pool) >= POOLED * sum(weights):
+                return kind
+        return None
+
 
 @lru_cache(maxsize=4096)
 def words_of(seller: str | None) -> frozenset[str]:
@@ -204,32 +238,33 @@ def _clean(text: str) -> str:
     return text
 
 
-def _frequencies(products: DataFrame, fields: Sequence[str]) -> tuple[dict[str, int], int]:
-    """Over all texts: their number, and how many hold each token of the exemplars
-    (at most as many rows come to the driver as the exemplars have tokens)."""
-    vocabulary = Index().rare
+def labelled(table: DataFrame, most: int = MOST_EXEMPLARS) -> dict[str, list[str]]:
+    """Exemplars from a table ``(kind, text)`` of labelled rows; at most ``most`` of them are fitted."""
+    out: dict[str, list[str]] = defaultdict(list)
+    for r in table.where("kind is not null and text <> ''").select("kind", "text").distinct().orderBy("kind", "text").limit(most).collect():
+        out[r["kind"]].append(r["text"])
+    return dict(out)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df, n = Counter(), 0
-        for pdf in batches:
-            for f in fields:
-                for t in pdf[f]:
-                    if t:
-                        n += 1
-                        df.update(vocabulary.intersection(tokens(t)))
-        yield pd.DataFrame({"token": [*df, ""], "n": [*df.values(), n]})
 
-    counts = {r["token"]: r["n"] for r in spread(products.select(*fields)).mapInPandas(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()}
+def frequencies(products: DataFrame, fields: Sequence[str] = ("title", "description"), exemplars: dict[str, Sequence[str]] | None = None) -> tuple[dict[str, int], int]:
+    """Over all texts: their number, and how many hold each word of the exemplars (at most
+    as many rows come to the driver as the exemplars have words). Built-in expressions only."""
+    vocabulary = sorted(Index(exemplars=exemplars).rare)
+    texts = products.select(F.explode(F.array(*[F.col(f) for f in fields])).alias("text")).where("text <> ''")
+    words = F.array_intersect(F.split(F.lower("text"), r"[^\p{L}]+"), F.lit(vocabulary))
+    counted = texts.select(F.explode(F.concat(words, F.array(F.lit("")))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    counts = {r["token"]: r["n"] for r in counted.collect()}
     return counts, counts.pop("", 0)
 
 
-def residue_fields(products: DataFrame, fields: Sequence[str] = ("title", "description"), key: str = "product_id", seller: str = "site") -> DataFrame:
-    """``(key, field_name, kind)`` of every field value that is or contains residue, once."""
-    df, n = _frequencies(products, fields)
+def residue_fields(products: DataFrame, fields: Sequence[str] = ("title", "description"), key: str = "product_id", seller: str = "site", exemplars: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """``(key, field_name, kind)`` of every field value that is or contains residue, once.
+    ``exemplars`` replaces the labelled exemplars of this module (see :func:`labelled`)."""
+    df, n = frequencies(products, fields, exemplars)
     kind_of_key = dict(products.dtypes)[key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = Index(df, n)
+        index = Index(df, n, exemplars)
         for pdf in batches:
             out = []
             for f in fields:

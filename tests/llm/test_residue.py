@@ -27,6 +27,36 @@ def test_honest_text(text):
     assert residue.Index().judge(text) is None
 
 
+PROBES = [
+    "Lorem ipsum", "404 Not Found", "Service Unavailable", "Placeholder text", "{product_name}", "$PRODUCT_TITLE", "@@PRODUCT_NAME@@", "Please turn JavaScript on and reload the page.", "Pagina non trovata", "The page you are looking for could not be found",
+    "Sed ut perspiciatis unde omnis iste natus error", "HTTP 500 Internal Server Error", "Access Denied", "[PRODUCT_TITLE]", "{item.title}", "${name}", "Sorry, the page you requested was not found", "JavaScript must be enabled to view this page", "Your browser must support scripts",
+    "Site is down for maintenance", "Internal error, try again later", "Sorry, this page could not be loaded. Please try again", "Gateway Time-out",
+]
+HONEST = [
+    "Error 404 Hoodie – the tee for lost pages", "Page Not Found art print, framed", "[NEW] kettle in red", "a set of {curly} brackets", "price $5 or $PRO for members", "Browser game for two, with a page to view", "Please try it again: error-free service", "A service page for your car, available now", "Not found in nature: glass fruit",
+]
+
+
+@pytest.mark.parametrize("text", PROBES)
+def test_residue_in_other_words(text):
+    assert residue.Index().judge(text)
+
+
+@pytest.mark.parametrize("text", HONEST)
+def test_honest_text_in_other_words(text):
+    df = {"page": 900, "not": 400, "found": 200, "the": 50_000, "for": 40_000, "please": 500, "try": 300, "a": 60_000, "in": 40_000, "error": 300, "service": 900}
+    assert residue.Index().judge(text) is None and residue.Index(df, 120_000).judge(text) is None
+
+
+def test_labelled_exemplars_and_frequencies(spark):
+    table = spark.createDataFrame([("error", "Aisle closed for cleaning"), ("error", "Aisle closed for cleaning"), (None, "x"), ("filler", "")], "kind string, text string")
+    own = residue.labelled(table)
+    assert own == {"error": ["Aisle closed for cleaning"]}
+    df = spark.createDataFrame([(1, "s", "Aisle closed for cleaning", "a fine, fine kettle for tea"), (2, "s", "null", None)], "product_id long, site string, title string, description string")
+    assert [tuple(r) for r in residue.residue_fields(df, exemplars=own).collect()] == [(1, "title", "error")]
+    assert residue.frequencies(df, exemplars=own) == ({"aisle": 1, "closed": 1, "cleaning": 1, "for": 2}, 3)
+
+
 def test_containment_against_brute_force():
     """Prefix-filtered retrieval finds what comparing every exemplar with every window finds."""
     ix = residue.Index({"page": 900, "not": 500, "found": 300, "the": 5000}, 6000)

@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import pytest
 
 from mossgrid.llm import sentences
@@ -57,8 +60,10 @@ def test_positions_cover_the_text_in_order():
 
 
 def test_thai_lattice():
-    words = sentences.thai_words("กล่องนี้มีสกรูและประแจให้ครบ")
-    assert "".join(words) == "กล่องนี้มีสกรูและประแจให้ครบ" and words[0] == "กล่อง" and words[-1] == "ครบ" and "และ" in words
+    phrase = "กล่องนี้มีสกรูและประแจให้ครบ"
+    words = sentences.thai_words(phrase, sentences.Lexicon(["กล่อง", "นี้", "สกรู", "ประแจ"]))
+    assert words == ("กล่อง", "นี้", "ม", "ี", "สกรู", "และ", "ประแจ", "ใ", "ห", "้", "ครบ")
+    assert "".join(sentences.thai_words(phrase)) == phrase
     assert sentences.thai_words("") == ()
 
 
@@ -84,3 +89,75 @@ def test_long_spans_hold_like_short_ones(opening, closing):
         text = f"It came late {opening}as was said before. " + "Nobody knows why. " * n + f"So it goes{closing} and was sent back."
         assert split(text) == [text]
     assert len(split("(" * 300 + "One. Two" + ")" * 300 + " went on.")) == 1
+
+
+def test_no_window_of_characters():
+    for n in (1, 70, 700):
+        assert split("It costs approx." + " " * n + "5 euros today.") == ["It costs approx." + " " * n + "5 euros today."]
+        assert split("Geliefert am" + " " * n + "3. Mai in Kisten.") == ["Geliefert am" + " " * n + "3. Mai in Kisten."]
+    text = "See https://x.example/" + "a" * 500 + ".Html for more. Next."
+    assert split(text) == [text[: -len(" Next.")], "Next."]
+    inner = "One thing. " * 40
+    assert split(f"It (as {inner}said) came. Then it went.") == [f"It (as {inner}said) came.", "Then it went."]
+    assert len(split('"' + "word " * 300 + 'end." Then.')) == 2
+
+
+def test_khmer_and_burmese():
+    assert split("ខ្ញុំទៅផ្សារ។ គាត់ទៅផ្ទះ។") == ["ខ្ញុំទៅផ្សារ។", "គាត់ទៅផ្ទះ។"]
+    assert split("သူသွားတယ်။ ငါလာတယ်။") == ["သူသွားတယ်။", "ငါလာတယ်။"]
+    assert split("今天天气很好了 我们去公园") == ["今天天气很好了", "我们去公园"]
+
+
+def _value(block, cuts):
+    """The score of one path: what is cut counts for it, what is passed over against it."""
+    b = sentences._Block(block, sentences.Lexicon())
+    total, start, wanted = 0.0, 0, list(cuts)
+    for m in sentences._END.finditer(block):
+        if m.start() < start:
+            continue
+        at, cut, _ = sentences._trim(b, start, m)
+        score = b.terminator_score(start, cut)[0] - 6.0 * bool(b.inside[at])
+        if at <= start or not any(c.isalnum() for c in block[start:at]):
+            continue
+        if wanted and wanted[0] == at:
+            total, start = total + score, at
+            wanted.pop(0)
+        else:
+            total -= score
+    return total if not wanted else float("-inf")
+
+
+def _greedy(block):
+    b, out, start = sentences._Block(block, sentences.Lexicon()), [], 0
+    for m in sentences._END.finditer(block):
+        if m.start() < start:
+            continue
+        at, cut, _ = sentences._trim(b, start, m)
+        if b.terminator_score(start, cut)[0] - 6.0 * bool(b.inside[at]) > 0 and any(c.isalnum() for c in block[start:at]):
+            out.append(at)
+            start = at
+    return out
+
+
+def test_the_path_is_the_best_one():
+    pieces = ["“好!”", "他说……", "“好。”", "「是。」", "她走了。", "Dr. ", "No. 5 ", "“Stop!” ", "he said. ", "(see p. 3.) ", "Wait… ", "ОК. ", "т. д. ", "Yes! ", "«¿Qué?» ", "سأل. "]
+    rng, better = random.Random(7), 0
+    for _ in range(300):
+        block = "".join(rng.choices(pieces, k=rng.randint(2, 6))).strip()
+        got = sentences._cuts(block, 0)
+        places = sorted({sentences._trim(sentences._Block(block, sentences.Lexicon()), s, m)[0] for m in sentences._END.finditer(block) for s in range(m.start())})
+        best = max(_value(block, c) for n in range(len(places) + 1) for c in itertools.combinations(places, n))
+        assert _value(block, got) == pytest.approx(best), block
+        better += best > _value(block, _greedy(block)) + 1e-9
+    assert better  # somewhere a cut that pays at once spoils the rest
+
+
+def test_words_are_learned(spark):
+    noun = ["แมว", "หมา", "ปลา", "นก", "ช้าง", "เสือ"]
+    verb = ["กินข้าว", "นอนหลับ", "วิ่งเร็ว"]
+    rows = [(i, f"{noun[i % 6]}{verb[i % 3]} {noun[(i + 2) % 6]}{verb[(i + i // 6) % 3]}") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lexicon = sentences.learned(df)
+    assert set(noun) <= set(lexicon.openings) and set(verb) <= set(lexicon.finals)
+    assert sentences.unit_ends("แมวกินข้าว นกนอนหลับ", lexicon) == [10, 20]
+    assert sentences.learned(df.limit(0)).words == sentences.Lexicon().words
