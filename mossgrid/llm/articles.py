@@ -89,8 +89,11 @@ _SUFFIX = rf"(?:[ -]?(?:{_any(SUFFIXES)})(?!-?\w))+"
 _CODE = re.compile(rf"(?<![^\W_])(?P<a>[^\W\d_]{{1,12}})(?P<gap>[ -]?)(?P<d>\d{{1,8}})(?P<rest>(?:[^\W\d_]{{1,3}}\d*(?![^\W_]))?(?:-(?:\d+|[^\W\d_]{{1,3}})(?![^\W_]))*)(?P<suffix>{_SUFFIX})?(?![^\W_])|(?<![^\W_])(?P<n>\d{{1,4}})(?P<b>[^\W\d_]{{2,6}})(?P<e>\d{{2,8}})(?P<f>[^\W\d_]{{0,3}})(?![^\W_])")
 _MEASURE = re.compile(rf"(?<![\w.,Ø])(\d+(?:[.,]\d+)?) ?({_any(UNITS)})(?![\w²³])(?!-\d)")
 _SIZE = re.compile(r"(?<!\w)(?:eu|gr\.?|size|taille|talla|maat|stl\.?|rozm\.?|р\.?|размер|rozmiar|größe|storlek|str\.?) ?(\d{2}|xs|s|m|l|xl|xxl)(?!\w)|(?<!\w)(?:small|medium|large|x-large|xx-large) \((xs|s|m|l|xl|xxl)\)")
-_LABEL_COLOUR = re.compile(r"(?:colou?r|farbe|couleur|kleur|kolor|färg|colore|cor|цвет) ?: ?([^.;\n]*)")
-_LABEL_MEASURE = re.compile(r"(?:specification|ausführung|format|uitvoering|wersja|tamaño|utförande|исполнение|size|größe|taille|maat|rozmiar|storlek|размер) ?: ?([^;\n]{1,40})")
+#: Labels before a colour and before a measure in a description.
+COLOUR_LABELS = frozenset("colour color farbe couleur kleur kolor färg colore cor цвет".split())
+MEASURE_LABELS = frozenset("specification ausführung format uitvoering wersja tamaño utförande исполнение size größe taille maat rozmiar storlek размер".split())
+_LABEL = re.compile(r"([^\W\d_]+) ?$")
+_VALUE = re.compile(r" ?([^;\n]*)")
 _ACCESSORY = re.compile(rf"(?<!\w)(?:{'|'.join(ACCESSORY)})")
 _SUFFIX_OF_BRAND = re.compile(r" (?:official|gmbh|store|co\.?|ltd\.?|inc\.?|shop)$")
 _NOT_ALNUM = re.compile(r"[\W_]+")
@@ -133,22 +136,38 @@ def _plain(text: str) -> str:
     return _NOT_ALNUM.sub("", text)
 
 
+def labelled(text: str) -> tuple[str | None, str | None]:
+    """What a description states after a label for the colour, and for the measure."""
+    colour = measure = None
+    at = text.find(":")
+    while at >= 0:
+        if m := _LABEL.search(text, max(0, at - 24), at):
+            if colour is None and m[1] in COLOUR_LABELS:
+                colour = _VALUE.match(text, at + 1)[1].partition(".")[0]
+            elif measure is None and m[1] in MEASURE_LABELS:
+                measure = _VALUE.match(text, at + 1)[1]
+        at = text.find(":", at + 1)
+    return colour, measure
+
+
 def model_of(texts: list[str]) -> tuple[str, str, re.Match | None, int]:
     """``(model, suffix, match, field)`` of the first field that names one; empty where none does.
 
     Sizes and measures are no models. A candidate counts more the more fields repeat it, then
     if its letters and digits are not parted by a blank, then the longer its number is."""
-    squeezed = [_plain(t) for t in texts]
+    squeezed = None
     for at, text in enumerate(texts):
+        found = [m for m in _CODE.finditer(text)] if text else []
+        if any(m["gap"] == " " for m in found):
+            taken = [m.span() for m in _SIZE.finditer(text)] + [m.span() for m in _MEASURE.finditer(text)]
+            found = [m for m in found if m["gap"] != " " or not any(x < m.end("d") and m.start("d") < y for x, y in taken)]
         best = None
-        taken = [m.span() for m in _SIZE.finditer(text)] + [m.span() for m in _MEASURE.finditer(text)] if text else []
-        for m in _CODE.finditer(text):
+        for m in found:
             digits, letters = m["d"] or m["e"], m["a"] or m["b"]
-            a, b = m.span("d") if m["d"] else m.span("e")
-            if any(x < b and a < y for x, y in taken) and m["gap"] == " ":
-                continue
-            core = letters + digits
-            rank = (sum(core in s for s in squeezed), m["gap"] != " ", min(len(digits), 3), len(letters) <= 4, -m.start())
+            core, alone = letters + digits, len(found) == 1
+            if not alone and squeezed is None:
+                squeezed = [_plain(t) for t in texts]
+            rank = (1 if alone else sum(core in s for s in squeezed), m["gap"] != " ", min(len(digits), 3), len(letters) <= 4, -m.start())
             if best is None or rank > best[0]:
                 best = (rank, m, (m["n"] or "") + core)
         if best and (best[0][0] > 1 or best[0][1] or best[0][2] > 1):
@@ -170,10 +189,9 @@ def marks(title: str | None, brand: str | None, sku: str | None, description: st
     code, suffix, m, field = model_of([t, d, s])
     named = brand_name(brand or "")
     rest = t[: m.start()] + " | " + t[m.end() :] if field == 0 else t
-    label = _LABEL_COLOUR.search(d)
-    colour = (colour_of(label[1]) if label else None) or colour_of(rest)
-    label = _LABEL_MEASURE.search(d)
-    measure = (measures_of(label[1], 2) if label else None) or measures_of(rest)
+    said_colour, said_measure = labelled(d)
+    colour = (colour_of(said_colour) if said_colour else None) or colour_of(rest)
+    measure = (measures_of(said_measure, 2) if said_measure else None) or measures_of(rest)
     if not code:
         bare = _SIZE.sub(" ", _MEASURE.sub(" ", _COLOUR_RE.sub(" ", t)))
         words = sorted(set(_LETTERS.findall(bare)) - ADVERTS - set(_LETTERS.findall(named or "")))

@@ -3,7 +3,7 @@
 Labelled exemplars of residue stand in an inverted index (token to exemplars). A text
 retrieves the exemplars most of whose weight it holds; a window of the exemplar's
 length slides over the text and the TF-IDF containment of the exemplar in the window
-is taken, with document frequencies counted over all texts. A text is excluded where
+is taken, with word frequencies counted over all texts. A text is excluded where
 a long exemplar is contained, or where contained exemplars cover most of the text:
 honest texts that speak of such things hold a few words of an exemplar among others.
 Messages in words of their own are told by the containment the other way round: the
@@ -247,14 +247,13 @@ def labelled(table: DataFrame, most: int = MOST_EXEMPLARS) -> dict[str, list[str
 
 
 def frequencies(products: DataFrame, fields: Sequence[str] = ("title", "description"), exemplars: dict[str, Sequence[str]] | None = None) -> tuple[dict[str, int], int]:
-    """Over all texts: their number, and how many hold each word of the exemplars (at most
+    """Over all texts: how often each word of the exemplars occurs, and the number of texts (at most
     as many rows come to the driver as the exemplars have words). Built-in expressions only."""
     vocabulary = sorted(Index(exemplars=exemplars).rare)
-    texts = products.select(F.explode(F.array(*[F.col(f) for f in fields])).alias("text")).where("text <> ''")
-    words = F.array_intersect(F.split(F.lower("text"), r"[^\p{L}]+"), F.lit(vocabulary))
-    counted = texts.select(F.explode(F.concat(words, F.array(F.lit("")))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    texts = spread(products.select(*fields)).select(F.explode(F.array(*fields)).alias("text")).where("text <> ''")
+    counted = texts.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("token")).where(F.col("token").isin(vocabulary)).groupBy("token").agg(F.count("*").alias("n"))
     counts = {r["token"]: r["n"] for r in counted.collect()}
-    return counts, counts.pop("", 0)
+    return counts, texts.count()
 
 
 def residue_fields(products: DataFrame, fields: Sequence[str] = ("title", "description"), key: str = "product_id", seller: str = "site", exemplars: dict[str, Sequence[str]] | None = None) -> DataFrame:
