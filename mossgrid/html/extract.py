@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from html import escape
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mossgrid.html.css import SelectorError, select
-from mossgrid.html.dom import Node, parse
+from mossgrid.html.dom import VOID, Node, parse
 from mossgrid.operators.schema import Schema
 
 #: Attributes that describe markup; signs of struck prices, of carts, of stated prices.
@@ -286,10 +287,14 @@ def declared_canonical(root: Node, url: str) -> str | None:
     return None
 
 
-def breadcrumbs(root: Node, url: str, most: int = 8) -> list[str]:
-    """Addresses of the page's breadcrumbs, the nearest first; longer lists are no trails."""
+def is_trail(n: Node) -> bool:
+    """Named like a trail of breadcrumbs."""
+    return "breadcrumb" in (n.get("class") or "") or "breadcrumb" in (n.get("id") or "") or n.name == "nav" and "readcrumb" in (n.get("aria-label") or "")
+
+
+def _trails(boxes: list[Node], url: str, most: int = 8) -> list[str]:
     out: dict[str, None] = {}
-    for box in select(root, "[class*=breadcrumb], [id*=breadcrumb], nav[aria-label*=readcrumb]"):
+    for box in boxes:
         anchors = [n for n in box.walk() if n.name == "a" and n.get("href") is not None]
         if 0 < len(anchors) <= most:
             for a in anchors:
@@ -299,52 +304,118 @@ def breadcrumbs(root: Node, url: str, most: int = 8) -> list[str]:
     return list(reversed(out))
 
 
-#: Fixed values for reducing a page before it is shown to a compiler of recipes.
-_NOISE = frozenset("script style noscript svg iframe nav footer header form template canvas object".split())
-_ASIDE = re.compile(r"cookie|consent|newsletter|related|recommend|upsell|cross-sell|popup|modal|sidebar|social|share", re.IGNORECASE)
-_DROP = frozenset("style onclick onload srcset sizes loading decoding width height tabindex target rel role aria-hidden".split())
+def breadcrumbs(root: Node, url: str, most: int = 8) -> list[str]:
+    """Addresses of the page's breadcrumbs, the nearest first; longer lists are no trails."""
+    return _trails([n for n in root.walk() if is_trail(n)], url, most)
+
+
+#: Fixed values for reducing a page before it is shown to a compiler of recipes: elements and
+#: blocks without an item's own data, attributes without meaning, elements kept though empty.
+_NOISE = frozenset("script style svg noscript template iframe nav footer aside picture source link".split())
+_ASIDE = re.compile(r"related|recommend|upsell|cross[-_]?sell|also[-_](?:bought|viewed|like)|similar[-_]product|breadcrumb|cookie|cmplz|newsletter|subscribe|(?:^|[-_ ])(?:menu|megamenu)(?:[-_ ]|$)", re.IGNORECASE)
+_DROP = frozenset("srcset data-srcset sizes style title loading decoding width height target rel tabindex aria-describedby aria-labelledby".split())
+_KEPT_EMPTY = frozenset(("img", "input", "meta", "title"))
 
 
 def reduced(root: Node, cap: int = 200_000, attr_cap: int = 120) -> str:
     """The markup that matters: no noise, asides, comments or empty elements, short attributes."""
 
-    # elements are written when their end is reached; open ones wait on a stack
-    open_: list[tuple[Node | None, Iterator, list[str]]] = [(None, iter(root.children), [])]
+    # elements are written when their end is reached; open ones wait on a stack with what they
+    # hold and whether that is worth keeping
+    open_: list[list] = [[None, iter(root.children), [], False]]
     while True:
-        node, rest, parts = open_[-1]
+        node, rest, parts, _ = open_[-1]
         for child in rest:
             if isinstance(child, str):
-                parts.append(child)
+                parts.append(escape(child, quote=False))
+                open_[-1][3] |= bool(child.strip())
             elif child.name not in _NOISE and not _ASIDE.search(" ".join(child.classes) + " " + (child.get("id") or "")):
-                open_.append((child, iter(child.children), []))
+                open_.append([child, iter(child.children), [], child.name in _KEPT_EMPTY])
                 break
         else:
-            open_.pop()
+            held = open_.pop()[3]
             inner = "".join(parts)
             if node is None:
-                return re.sub(r"\s+", " ", inner).strip()[:cap]
-            if inner.strip() or node.name in ("img", "input", "meta", "title"):
-                attrs = "".join(f' {k}="{v if k == "content" else v[:attr_cap]}"' for k, v in node.attrs.items() if k not in _DROP)
-                open_[-1][2].append(f"<{node.name}{attrs}>" + (inner + f"</{node.name}>" if node.name not in ("img", "input", "meta") else ""))
+                return re.sub(r"\s+", " ", inner)[:cap]
+            if held:
+                attrs = "".join(f' {k}="{escape(v[:attr_cap])}"' for k, v in node.attrs.items() if k not in _DROP)
+                open_[-1][2].append(f"<{node.name}{attrs}/>" if node.name in VOID else f"<{node.name}{attrs}>{inner}</{node.name}>")
+                open_[-1][3] = True
+
 
+_PARTS = {
+    "title": "string", "canonical": "string", "next_page": "string", "links": "array<struct<href:string,has_image:boolean,text:string>>", "crumbs": "array<string>", "product": "map<string,string>", "images": "array<string>", "diet": "int",
+}
 
-_FEATURES = "title string, canonical string, next_page string, links array<struct<href:string,has_image:boolean,text:string>>, crumbs array<string>, product map<string,string>, images array<string>, diet int"
+
+def page_parts(root: Node, url: str, want: frozenset[str]) -> dict:
+    """The parts of a page that are wanted, from one walk of its tree."""
+    title = canonical = None
+    nexts: dict[int, str] = {}
+    anchors: list[Node] = []
+    boxes: list[Node] = []
+    pictured: set[int] = set()
+    for n in root.walk():
+        name = n.name
+        if name == "a":
+            anchors.append(n)
+        elif name == "img":
+            for up in n.up():
+                if up.name == "a":
+                    pictured.add(id(up))
+        elif name == "title" and title is None:
+            title = n.text()
+        elif name == "link" and n.get("href"):
+            kinds = (n.get("rel") or "").split()
+            if "next" in kinds:
+                nexts.setdefault(0, n.get("href"))
+            if canonical is None and "canonical" in kinds and n.get("href").strip():
+                canonical = urljoin(url, n.get("href").strip().split("#")[0])
+        if is_trail(n):
+            boxes.append(n)
+    texts = [a.text() for a in anchors] if want & {"links", "next_page"} else []
+    out: dict = {"title": title, "canonical": canonical}
+    if "next_page" in want:
+        for a, text in zip(anchors, texts):
+            if a.get("href"):
+                if "next" in (a.get("rel") or "").split():
+                    nexts.setdefault(1, a.get("href"))
+                elif text.lower() in NEXT_LABELS:
+                    nexts.setdefault(2, a.get("href"))
+        out["next_page"] = urljoin(url, nexts[min(nexts)]) if nexts else None
+    if "links" in want:
+        found: dict[str, dict] = {}
+        for a, text in zip(anchors, texts):
+            if a.get("href") is not None:
+                try:
+                    full = urljoin(url, a.get("href").split("#")[0])
+                except ValueError:
+                    continue
+                found.setdefault(full, {"href": full, "has_image": id(a) in pictured, "text": text})
+        out["links"] = list(found.values())
+    if "crumbs" in want:
+        out["crumbs"] = _trails(boxes, url)
+    if want & {"product", "images"}:
+        node = product_node(root)
+        values = product_values(node, url) if node is not None else None
+        out["images"] = values.pop("images") if values else None
+        out["product"] = values
+    if "diet" in want:
+        out["diet"] = len(reduced(root))
+    return out
 
 
-def page_features(html: Column | str, url: Column | str) -> Column:
-    """Everything that only needs the page, from one parse."""
+def page_features(html: Column | str, url: Column | str, want: tuple[str, ...] = tuple(_PARTS)) -> Column:
+    """The parts of a page that are asked for, from one parse."""
+    asked = frozenset(want)
 
-    @F.pandas_udf(_FEATURES)
+    @F.pandas_udf(", ".join(f"{p} {_PARTS[p]}" for p in want))
     def run(htmls: pd.Series, urls: pd.Series) -> pd.DataFrame:
         out = []
         for h, u in zip(htmls, urls):
-            root, u = parse(h), u or ""
-            title = next((n.text() for n in root.walk() if n.name == "title"), None)
-            node = product_node(root)
-            values = product_values(node, u) if node is not None else None
-            images = values.pop("images") if values else None
-            out.append((title, declared_canonical(root, u), next_page(root, u), [{"href": a, "has_image": b, "text": c} for a, b, c in links(root, u)], breadcrumbs(root, u), values, images, len(reduced(root))))
-        return pd.DataFrame(out, columns=["title", "canonical", "next_page", "links", "crumbs", "product", "images", "diet"])
+            parts = page_parts(parse(h), u or "", asked)
+            out.append(tuple(parts[p] for p in want))
+        return pd.DataFrame(out, columns=list(want))
 
     return run(html, url)
 

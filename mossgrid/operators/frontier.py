@@ -39,8 +39,10 @@ def siblings(links: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     paths = links.select("listing", "example", "href", (urls.host("href") == urls.host("example")).alias("_same"), F.split(urls.item_path("href"), "/").alias("_a"), F.split(urls.item_path("example"), "/").alias("_b"))
     scored = paths.select("listing", "example", "href", F.when(F.col("_same"), agreement(F.col("_a"), F.col("_b"))).alias("score"))
     counts = scored.where("score is not null").groupBy("listing", "example", "score").agg(F.count("*").alias("n"))
-    crowd = counts.groupBy("listing", "example").agg(F.max_by("score", F.struct("n", "score")).alias("crowd"))
-    size = counts.join(crowd, ["listing", "example"]).where("score >= crowd").groupBy("listing", "example").agg(F.sum("n").alias("size"), F.first("crowd").alias("crowd"))
+    # what follows runs over the few different scores of a listing, not over its links
+    own = Window.partitionBy("listing", "example")
+    counts = counts.withColumn("crowd", F.max_by("score", F.struct("n", "score")).over(own))
+    size = counts.groupBy("listing", "example").agg(F.sum(F.when(F.col("score") >= F.col("crowd"), F.col("n"))).alias("size"), F.first("crowd").alias("crowd"))
     judged = scored.join(size, ["listing", "example"], "left")
     grouped = F.coalesce(F.col("size") >= min_group, F.lit(False))
     strict = urls.same_shape(F.col("href"), urls.url_shape(F.col("example")))

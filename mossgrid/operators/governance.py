@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mossgrid.functions.money import ON_REQUEST
 from mossgrid.functions.urls import cache_key, failure_key
 from mossgrid.html import extract
 from mossgrid.html.dom import parse
@@ -112,7 +113,8 @@ def covers_enough(fields: Column, schema: Schema, share: float = 0.5) -> Column:
 def sound_fields(recipe: extract.Recipe, schema: Schema, html: str, url: str) -> dict[str, str]:
     """The recipe's selectors that its sample page does not prove wrong: none that read markup
     attributes, stock fields that only find a cart or a long text, or money fields that find
-    words without a digit. A selector without a match proves nothing."""
+    words without a digit, unless they say that the price is on request. A selector without a
+    match proves nothing."""
     root = parse(html)
     kept = {k: s for k, s in recipe.fields.items() if recipe.mode(k).partition(":")[2].strip().lower() not in extract.PLUMBING}
     values = extract.page_values(root, recipe, schema, url)
@@ -125,20 +127,23 @@ def sound_fields(recipe: extract.Recipe, schema: Schema, html: str, url: str) ->
             found = extract._safe(root, kept[f.name])
             if found and all(map(extract.is_cart, found)) or len(said or "") > extract.MAX_STOCK_TEXT:
                 del kept[f.name]
-        elif f.is_money and said and not re.search(r"\d", said):
+        elif f.is_money and said and not re.search(r"\d", said) and said.strip() != ON_REQUEST:
             del kept[f.name]
     return kept
 
 
 def pruned(samples: DataFrame, schema: Schema) -> DataFrame:
-    """``samples(recipe_key, url, html, fields, modes, alternates)`` with ``fields`` reduced to the sound ones."""
+    """``samples(recipe_key, url, html, fields, modes, alternates)`` with ``fields`` reduced to the sound
+    ones, and ``modes`` without those of the fields that went."""
 
     @F.pandas_udf("map<string,string>")
     def run(html: pd.Series, url: pd.Series, fields: pd.Series, modes: pd.Series, alternates: pd.Series) -> pd.Series:
         d = extract._dict
         return pd.Series([sound_fields(extract.Recipe(d(f), d(m), d(a)), schema, h, u) for h, u, f, m, a in zip(html, url, fields, modes, alternates)])
 
-    return samples.withColumn("fields", run("html", "url", "fields", "modes", "alternates"))
+    gone = F.array_except(F.map_keys("fields"), F.map_keys("_sound"))
+    modes = F.map_filter("modes", lambda k, _: ~F.coalesce(F.array_contains(gone, k), F.lit(False)))
+    return samples.withColumn("_sound", run("html", "url", "fields", "modes", "alternates")).withColumn("modes", modes).withColumn("fields", F.col("_sound")).drop("_sound")
 
 
 def to_mend(records: DataFrame, fields: tuple[str, ...], least: int = 3) -> DataFrame:

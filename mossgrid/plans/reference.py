@@ -139,23 +139,18 @@ def next_page_guess(spark, d):
     return table(spark, d, "products").select("url").distinct().select("url", urls.next_page_guess("url", F.lit(2)).alias("next_page"))
 
 
-@query("siblings_modal", f"""with l as (select distinct {_HOST.format('url')} as host, url, string_split({_ITEM.format('url')}, '/') as s from products),
-e as (select host, min(url) as example from l group by 1), es as (select e.host, e.example, l.s as es from e join l on l.url = e.example and l.host = e.host),
-sc as (select l.host, l.url, len(list_filter(range(1, len(l.s) + 1), lambda i: l.s[i] = es.es[i])) as score from l join es using (host) where len(l.s) = len(es.es)),
-c as (select host, score, count(*) as n from sc group by all), m as (select host, arg_max(score, n * 1000 + score) as crowd from c group by 1),
+@query("siblings_modal", f"""with l as (select distinct {_HOST.format('url')} as host, url, string_split({_ITEM.format('url')}, '/') as s, {_ITEM.format('url')} as p, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) as q from products),
+k as (select *, list_sort(list_distinct(list_transform(list_filter(string_split(q, '&'), lambda x: regexp_matches(x, '^[^=]+=.+')), lambda x: split_part(x, '=', 1)))) as keys from l),
+e as (select host, min(url) as example from l group by 1), es as (select e.host, e.example, l.s as es, l.p as ep, l.q as eq, l.keys as ekeys from e join k l on l.url = e.example and l.host = e.host),
+sc as (select l.*, es.*, case when len(l.s) = len(es.es) then len(list_filter(range(1, len(l.s) + 1), lambda i: l.s[i] = es.es[i])) end as score from k l join es using (host)),
+c as (select host, score, count(*) as n from sc where score is not null group by all), m as (select host, arg_max(score, n * 1000 + score) as crowd from c group by 1),
 z as (select c.host, sum(n) as size from c join m using (host) where score >= crowd group by 1)
-select sc.host as listing, url as href from sc join m using (host) join z using (host) where size >= 3 and score >= crowd""")
+select sc.host as listing, url as href from sc join m using (host) join z using (host)
+where case when size >= 3 then coalesce(score >= crowd, false)
+ else not (p = ep and q = eq) and case when len(ekeys) > 0 then p = ep and keys = ekeys
+  else len(s) = len(es) and s[1:len(s) - 1] = es[1:len(es) - 1] and s[-1] <> '' and regexp_matches(s[-1], '^[0-9]+$') = regexp_matches(es[-1], '^[0-9]+$') end end""")
 def siblings_modal(spark, d):
-    pages_ = table(spark, d, "products").select("url").distinct().withColumn("listing", urls.host("url"))
-    example = pages_.groupBy("listing").agg(F.min("url").alias("example"))
-    found = frontier.siblings(pages_.join(example, "listing").select("listing", "example", F.col("url").alias("href")))
-    # small hosts fall back to the example's exact shape; the SQL leaves them out
-    return found.withColumn("n", F.count("*").over(_by("listing", None))).where("n >= 3").select("listing", "href")
-
-
-@query("siblings_all")
-def siblings_all(spark, d):
-    """``siblings_modal`` with the small hosts, which fall back to the example's exact shape."""
+    """Links of the example's kind; hosts with few of them fall back to the example's exact shape."""
     pages_ = table(spark, d, "products").select("url").distinct().withColumn("listing", urls.host("url"))
     example = pages_.groupBy("listing").agg(F.min("url").alias("example"))
     return frontier.siblings(pages_.join(example, "listing").select("listing", "example", F.col("url").alias("href"))).select("listing", "href")
@@ -214,8 +209,8 @@ def platform_match(spark, d):
 
 @query("page_features", f"select product_id, {_TRIM.format('title')} as title, 2 + 1 as links, 'https://' || {_HOST.format('url')} || '/all' as nearest from {_P}".replace("'https://' ||", "regexp_extract(url, '^([a-z]+)://', 1) || '://' ||"))
 def page_features(spark, d):
-    f = made_pages(spark, d).withColumn("f", extract.page_features(F.col("html"), F.col("url")))
-    return f.select("product_id", F.col("f.title").alias("title"), F.size("f.links").alias("links"), F.get("f.crumbs", F.lit(0)).alias("nearest")).dropDuplicates(["product_id"])
+    f = made_pages(spark, d).dropDuplicates(["product_id"]).withColumn("f", extract.page_features(F.col("html"), F.col("url"), ("title", "links", "crumbs")))
+    return f.select("product_id", F.col("f.title").alias("title"), F.size("f.links").alias("links"), F.get("f.crumbs", F.lit(0)).alias("nearest"))
 
 
 _REPLAY = f"""with r as (select regexp_replace(lower(domain), '^www\\.', '') as domain, arg_max(fields, compiled_at) as fields from recipes where schema_name = 'product' group by 1)
@@ -235,21 +230,12 @@ def recipe_replay(spark, d):
     return typed.select("product_id", empty("title"), empty("description"), empty("sku"), empty("brand"), F.coalesce(F.size("images"), F.lit(0)).alias("images")).dropDuplicates(["product_id"])
 
 
-@query("recipe_prices", f"""with r as (select regexp_replace(lower(domain), '^www\\.', '') as domain, arg_max(fields, compiled_at) as fields from recipes where schema_name = 'product' group by 1)
-select product_id, case when regexp_matches(coalesce(price_text, ''), '[0-9]') then nullif({_number("regexp_extract(price_text, '" + _AMT + "')")}, 0) end as price from {_P} p join r on {_DOMAIN.format('p.url')} = r.domain where fields['price'] is not null and not regexp_matches(coalesce(price_text, ''), '[0-9]\\D+[0-9]{{2,}}')""")
-def recipe_prices(spark, d):
-    known = governance.with_recipe(made_pages(spark, d), table(spark, d, "recipes")).where("fields['price'] is not null")
-    known = known.where(r"not coalesce(price_text, '') rlike '[0-9][^0-9]+[0-9]{2,}'")
-    typed = PRODUCT.typed(extract.replayed(known, PRODUCT).select("product_id", "read"))
-    return typed.select("product_id", F.nullif(F.col("price").cast("double"), F.lit(0.0)).alias("price")).dropDuplicates(["product_id"])
-
-
-@query("recipe_prices_all", f"""with r as (select regexp_replace(lower(domain), '^www\\.', '') as domain, arg_max(fields, compiled_at) as fields from recipes where schema_name = 'product' group by 1),
+@query("recipe_prices", f"""with r as (select regexp_replace(lower(domain), '^www\\.', '') as domain, arg_max(fields, compiled_at) as fields from recipes where schema_name = 'product' group by 1),
 m as ({SQL["money_clean"]})
 select p.product_id, case when len(list_filter(regexp_extract_all(coalesce(price_text, ''), '([0-9][0-9.,]*[0-9]|[0-9])'), lambda t: coalesce({_number('t')} >= 100, false))) < 2 then nullif({_number('m.amount')}, 0) end as price
 from {_P} p join r on {_DOMAIN.format('p.url')} = r.domain join m on m.product_id = p.product_id where fields['price'] is not null""")
-def recipe_prices_all(spark, d):
-    """``recipe_prices`` over every price text; one that holds two prices is left open."""
+def recipe_prices(spark, d):
+    """The price of every page; a text that holds two prices is left open."""
     known = governance.with_recipe(made_pages(spark, d), table(spark, d, "recipes")).where("fields['price'] is not null")
     typed = PRODUCT.typed(extract.replayed(known, PRODUCT).select("product_id", "read"))
     return typed.select("product_id", F.nullif(F.col("price").cast("double"), F.lit(0.0)).alias("price")).dropDuplicates(["product_id"])
@@ -274,30 +260,30 @@ def _by(key: str, order: str | None):
     return Window.partitionBy(key).orderBy(order) if order else Window.partitionBy(key)
 
 
-@query("json_ld", f"select product_id, title, nullif(brand, '') as brand, cast(price as double) as price, currency, available, nullif(sku, '') as sku, cast(len(images) as integer) as images from {_P} where title <> ''")
+@query("json_ld", f"select product_id, coalesce(title, '') as title, nullif(brand, '') as brand, cast(price as double) as price, nullif(currency, '') as currency, available, nullif(sku, '') as sku, cast(len(coalesce(images, [])) as integer) as images from {_P}")
 def json_ld(spark, d):
-    p = spread(table(spark, d, "products").where("title <> ''"))
+    p = spread(_products(spark, d))
     offer = F.struct(F.col("price").cast("string").alias("price"), F.col("currency").alias("priceCurrency"), F.when(F.col("available"), F.lit("https://schema.org/InStock")).when(~F.col("available"), F.lit("https://schema.org/OutOfStock")).alias("availability"))
     node = F.to_json(F.struct(F.lit("Product").alias("@type"), F.col("title").alias("name"), F.struct(F.col("brand").alias("name")).alias("brand"), offer.alias("offers"), F.col("sku").alias("sku"), F.col("images").alias("image")))
     html = F.concat(F.lit('<script type="application/ld+json">{"@graph": [{"@type": "Thing"}, '), F.replace(node, F.lit("</"), F.lit("<\\/")), F.lit("]}</script>"))
-    f = p.select("product_id", extract.page_features(html, F.col("url")).alias("f"))
+    f = p.select("product_id", extract.page_features(html, F.col("url"), ("product", "images")).alias("f"))
     v = F.col("f.product")
-    return f.select("product_id", v["title"].alias("title"), v["brand"].alias("brand"), v["price"].try_cast("double").alias("price"), v["currency"].alias("currency"), v["available"].cast("boolean").alias("available"), v["sku"].alias("sku"), F.coalesce(F.size("f.images"), F.lit(0)).alias("images")).dropDuplicates(["product_id"])
+    return f.select("product_id", v["title"].alias("title"), v["brand"].alias("brand"), v["price"].try_cast("double").alias("price"), v["currency"].alias("currency"), v["available"].cast("boolean").alias("available"), v["sku"].alias("sku"), F.coalesce(F.size("f.images"), F.lit(0)).alias("images"))
 
 
 # ── feeds and sources ─────────────────────────────────────────────────────────────────────
 @query("woo_feed", f"""select product_id, cast(cast(json_extract_string(raw, '$.prices.price') as decimal(28,0)) / pow(10, cast(json_extract_string(raw, '$.prices.currency_minor_unit') as integer)) as double) as price, json_extract_string(raw, '$.prices.currency_code') as currency from {_P} where raw is not null""")
 def woo_feed(spark, d):
     p = _products(spark, d).where("raw is not null")
-    item = F.concat(F.lit('[{"permalink": "'), F.col("product_id").cast("string"), F.lit('", '), F.substring("raw", 2, 1_000_000), F.lit("]"))
+    item = F.concat(F.lit('[{"permalink": "'), F.col("product_id").cast("string"), F.lit('", '), F.substr("raw", F.lit(2)), F.lit("]"))
     made = feeds.woocommerce(p.select(item.alias("payload")))
     return made.select(F.col("url").cast("long").alias("product_id"), F.col("price").cast("double").alias("price"), "currency")
 
 
-@query("shopify_feed", f"select 'https://' || site || '/products/' || cast(product_id as varchar) as url, title, nullif(brand, '') as brand, cast(floor(price) as double) as price, available, nullif(sku, '') as sku, sizes from {_P}")
+@query("shopify_feed", f"select 'https://' || site || '/products/' || cast(product_id as varchar) as url, title, nullif(brand, '') as brand, cast(cast(price as decimal(18,2)) as double) as price, available, nullif(sku, '') as sku, sizes from {_P}")
 def shopify_feed(spark, d):
     p = _products(spark, d)
-    variants = F.transform(F.when(F.size("sizes") > 0, F.col("sizes")).otherwise(F.array(F.lit("Default Title"))), lambda s: F.struct(s.alias("title"), F.floor("price").cast("string").alias("price"), F.col("sku").alias("sku"), F.col("available").alias("available")))
+    variants = F.transform(F.when(F.size("sizes") > 0, F.col("sizes")).otherwise(F.array(F.lit("Default Title"))), lambda s: F.struct(s.alias("title"), F.col("price").cast("decimal(18,2)").cast("string").alias("price"), F.col("sku").alias("sku"), F.col("available").alias("available")))
     body = F.to_json(F.struct(F.array(F.struct(F.col("product_id").cast("string").alias("handle"), F.col("title").alias("title"), F.col("brand").alias("vendor"), variants.alias("variants"))).alias("products")))
     made = feeds.shopify(p.select(F.concat(F.lit("https://"), "site").alias("base"), body.alias("payload")))
     stock = p.select(F.concat(F.lit("https://"), "site", F.lit("/products/"), F.col("product_id").cast("string")).alias("url"), F.col("available").isNull().alias("open"))
@@ -321,20 +307,10 @@ def robots_gate(spark, d):
     return web.robots_allow(_products(spark, d).select("product_id", "url"), robots, "mossgrid").select("product_id", "allowed")
 
 
-@query("redirect_chains", "select site as url, case when row_number() over (order by site) is null then null else (select max(site) from sites) end as final_url from sites where site >= (select site from sites order by site desc limit 1 offset 8)")
-def redirect_chains(spark, d):
-    """The nine last sites in order, each moved to the next."""
-    from pyspark.sql import Window
-
-    last = table(spark, d, "sites").select(F.col("site").alias("url")).orderBy(F.desc("url")).limit(9)
-    moves = last.withColumn("location", F.lead("url").over(Window.orderBy("url"))).where("location is not null")
-    return web.resolved_redirects(last, moves)
-
-
-@query("redirect_chains_all", """with n as (select site, row_number() over (order by site) - 1 as n from (select distinct site from sites)),
+@query("redirect_chains", """with n as (select site, row_number() over (order by site) - 1 as n from (select distinct site from sites)),
 c as (select site, n, max(n) over (partition by n // 13) as last from n)
 select c.site as url, case when c.last - c.n <= 10 then e.site end as final_url from c join n e on e.n = c.last""")
-def redirect_chains_all(spark, d):
+def redirect_chains(spark, d):
     """Every site in order moved to the next, in chains of up to 12 hops; beyond 10 the end stays open."""
     from pyspark.sql import Window
 

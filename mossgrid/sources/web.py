@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import gzip
 import xml.etree.ElementTree as ET
+from urllib.parse import quote, unquote, urlparse, urlunparse
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,13 +48,17 @@ def locations(xml: pd.Series) -> pd.Series:
 
 def sitemap_pages(sitemaps: DataFrame, most: int = 25) -> DataFrame:
     """``sitemaps(origin, url, xml)`` to ``(origin, url, loc)``: pages reachable from each origin's
-    ``/sitemap.xml`` through sitemap indexes, each map once, level by level."""
-    parsed = cut(sitemaps.select("origin", "url", F.explode(locations("xml")).alias("l")).select("origin", "url", "l.loc", "l.is_nested"))
-    level = sitemaps.where(F.col("url") == F.concat("origin", F.lit("/sitemap.xml"))).select("origin", "url").distinct()
+    ``/sitemap.xml`` through sitemap indexes, each map once, level by level; of an origin at most
+    ``most`` maps are read, nearer ones and those that an index names first."""
+    each = sitemaps.select("origin", "url", F.posexplode(locations("xml")).alias("pos", "l"))
+    parsed = cut(each.select("origin", "url", "pos", "l.loc", "l.is_nested"))
+    level = sitemaps.where(F.col("url") == F.concat("origin", F.lit("/sitemap.xml"))).select("origin", "url").distinct().withColumn("place", F.lit(1).cast("long"))
     seen = level
-    for _ in range(most):
-        further = parsed.where("is_nested").join(level, ["origin", "url"]).select("origin", F.col("loc").alias("url")).distinct().join(seen, ["origin", "url"], "left_anti")
-        level = cut(further)
+    while True:
+        named = parsed.where("is_nested").join(level, ["origin", "url"]).groupBy("origin", F.col("loc").alias("url")).agg(F.min(F.struct("place", "pos")).alias("at")).join(seen, ["origin", "url"], "left_anti")
+        held = seen.groupBy("origin").agg(F.count("*").alias("held"))
+        placed = named.withColumn("n", F.row_number().over(Window.partitionBy("origin").orderBy("at", "url"))).join(held, "origin")
+        level = cut(placed.where(F.col("n") + F.col("held") <= most).select("origin", "url", (F.col("n") + F.col("held")).alias("place")))
         if level.isEmpty():
             break
         seen = cut(seen.unionByName(level))
@@ -87,43 +92,71 @@ def standing_rules(fetches: DataFrame, now: float, retry: float = 300.0) -> Data
     return newest.withColumn("due", unread & (F.lit(now) - F.col("at") >= retry))
 
 
+_RULE = T.StructType([T.StructField("path", T.StringType()), T.StructField("allow", T.BooleanType())])
+
+
+@F.pandas_udf(T.StructType([T.StructField("rules", T.ArrayType(_RULE)), T.StructField("delay", T.DoubleType())]))
+def _rules(body: pd.Series, agent: pd.Series) -> pd.DataFrame:
+    """The rules of one robots file for an agent, in order; each file is parsed here once."""
+    out = []
+    for b, a in zip(body, agent):
+        parser = RobotFileParser()
+        parser.parse((b or "").splitlines())
+        entry = next((e for e in parser.entries if e.applies_to(a)), parser.default_entry)
+        delay = parser.crawl_delay(a)
+        out.append(([{"path": r.path, "allow": r.allowance} for r in entry.rulelines] if entry else [], None if delay is None else float(delay)))
+    return pd.DataFrame(out, columns=["rules", "delay"]).astype({"delay": "float64"})
+
+
+@F.pandas_udf(T.StringType())
+def _robots_path(url: pd.Series) -> pd.Series:
+    """An address as robots rules are held against it: quoted, without scheme and host."""
+
+    def one(u: str | None) -> str | None:
+        if u is None:
+            return None
+        try:
+            p = urlparse(unquote(u))
+        except ValueError:
+            return "/"
+        return quote(urlunparse(("", "", p.path, p.params, p.query, p.fragment))) or "/"
+
+    return pd.Series([one(u) for u in url])
+
+
 def robots_allow(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
-    """``urls(url)`` with ``allowed`` and ``crawl_delay`` from ``robots(origin, status, body)``.
+    """``urls(url)`` with ``allowed`` and ``crawl_delay`` from ``robots(origin, status, body, at?)``.
 
     A server error (status null or 5xx) denies all, any other failure allows all; an
-    origin without a row denies all, for nothing is known of it.
+    origin without a row denies all, for nothing is known of it. Of several rows of an
+    origin the newest by ``at`` holds, else the greatest. Each file is parsed once; only
+    its short rules, not its body, meet the addresses.
     """
-    rules = robots.dropDuplicates(["origin"]).select("origin", "status", F.when(F.col("status") == 200, F.col("body")).alias("body"), F.lit(True).alias("known"))
-    joined = urls.withColumn("origin", base_of("url")).join(rules, "origin", "left")
-
-    @F.pandas_udf("allowed boolean, crawl_delay double")
-    def judge(url: pd.Series, status: pd.Series, body: pd.Series, known: pd.Series) -> pd.DataFrame:
-        parsers: dict[str, RobotFileParser] = {}
-        out = []
-        for u, s, b, k in zip(url, status, body, known):
-            if not k or pd.isna(s) or s >= 500:
-                out.append((False, None))
-            elif b is None:
-                out.append((True, None))
-            else:
-                if b not in parsers:
-                    parsers[b] = RobotFileParser()
-                    parsers[b].parse(b.splitlines())
-                out.append((parsers[b].can_fetch(agent, u), parsers[b].crawl_delay(agent)))
-        return pd.DataFrame(out, columns=["allowed", "crawl_delay"]).astype({"crawl_delay": "float64"})
-
-    return joined.withColumn("_r", judge("url", "status", "body", "known")).select(*urls.columns, "_r.allowed", "_r.crawl_delay")
+    body = F.when(F.col("status") == 200, F.col("body"))
+    newest = ([F.col("at")] if "at" in robots.columns else []) + [F.col("status"), F.col("body")]
+    held = robots.groupBy("origin").agg(F.max_by(F.struct("status", body.alias("body")), F.struct(*newest)).alias("r")).select("origin", "r.*")
+    rules = held.select("origin", "status", F.lit(True).alias("known"), _rules("body", F.lit(agent)).alias("r")).select("origin", "status", "known", "r.*")
+    joined = urls.withColumn("origin", base_of("url")).join(rules, "origin", "left").withColumn("_path", _robots_path("url"))
+    first = F.get(F.filter("rules", lambda r: (r["path"] == "*") | F.col("_path").startswith(r["path"])), F.lit(0))
+    readable = F.col("known") & F.coalesce(F.col("status") < 500, F.lit(False))
+    allowed = F.coalesce(readable, F.lit(False)) & F.coalesce(first["allow"], F.lit(True))
+    return joined.select(*urls.columns, allowed.alias("allowed"), F.when(readable, F.col("delay")).alias("crawl_delay"))
 
 
 def resolved_redirects(requests: DataFrame, redirects: DataFrame, most: int = 10) -> DataFrame:
     """``requests(url)`` with ``final_url`` after following ``redirects(url, location)``; null where
-    more than ``most`` hops do not end. One join a hop, on the addresses still moving."""
-    hop = redirects.dropDuplicates(["url"]).select(F.col("url").alias("at"), "location")
-    now = requests.select("url").distinct().withColumn("at", F.col("url")).withColumn("done", F.lit(False))
-    for _ in range(most):
-        now = now.join(hop, "at", "left").select("url", F.coalesce("location", "at").alias("at"), (F.col("done") | F.col("location").isNull()).alias("done"))
-    last = now.join(hop.select("at", F.lit(True).alias("moves")), "at", "left")
-    return last.select("url", F.when(F.col("moves").isNull(), F.col("at")).alias("final_url"))
+    more than ``most`` hops do not end. One join a hop, with the addresses still moving alone:
+    those that have ended are set aside, and the walk ends when none moves."""
+    hop = cut(redirects.groupBy(F.col("url").alias("at")).agg(F.min("location").alias("location")))
+    now, done = requests.select("url").distinct().withColumn("at", F.col("url")), None
+    for _ in range(most + 1):
+        step = cut(now.join(hop, "at", "left").select("url", "at", "location"))
+        ended = step.where("location is null").select("url", F.col("at").alias("final_url"))
+        done = ended if done is None else done.unionByName(ended)
+        now = step.where("location is not null").select("url", F.col("location").alias("at"))
+        if now.isEmpty():
+            break
+    return done.unionByName(now.select("url", F.lit(None).cast("string").alias("final_url")))
 
 
 def with_origin(df: DataFrame, url: str = "url") -> DataFrame:

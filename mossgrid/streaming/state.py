@@ -34,20 +34,34 @@ def sessions(stream: DataFrame, key: str = "user_id", ts: str = "ts", gap: str =
     return stream.withColumn("at", F.col(ts).cast("timestamp")).withWatermark("at", LATE).groupBy(key, F.session_window("at", gap)).agg(F.count("*").alias("n"))
 
 
+def _timed(stream: DataFrame, late: str = LATE) -> DataFrame:
+    """``stream`` with a watermark on its epoch seconds, by which state that is over is let go."""
+    return stream.withColumn("_time", F.timestamp_seconds("at")).withWatermark("_time", late)
+
+
+def _expire(state: GroupState, at: float) -> None:
+    """Lets the state go when the watermark has passed ``at`` (epoch seconds)."""
+    state.setTimeoutTimestamp(max(int(at * 1000), state.getCurrentWatermarkMs() + 1))
+
+
 def compile_windows(stream: DataFrame, cap: int = 2) -> DataFrame:
     """``stream(key, at)`` (epoch seconds) to ``(key, at, n, allowed)``: the count in the day that
     began with a key's first event; the next event after that day begins a new one."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         since, n = state.get if state.exists else (0.0, 0)
         out = []
         for at in sorted(a for pdf in batches for a in pdf["at"]):
             since, n = (at, 1) if n == 0 or at - since >= DAY else (since, n + 1)
             out.append((key[0], at, n, n <= cap))
         state.update((since, n))
+        _expire(state, since + DAY)
         yield pd.DataFrame(out, columns=["key", "at", "n", "allowed"])
 
-    return stream.groupBy("key").applyInPandasWithState(step, "key string, at double, n int, allowed boolean", "since double, n int", "append", GroupStateTimeout.NoTimeout)
+    return _timed(stream).groupBy("key").applyInPandasWithState(step, "key string, at double, n int, allowed boolean", "since double, n int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def failure_notes(stream: DataFrame) -> DataFrame:
@@ -55,6 +69,9 @@ def failure_notes(stream: DataFrame) -> DataFrame:
     it or a week has passed; a browser's failure is not weakened by a later static one."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         note = state.get if state.exists else None
         out = []
         for at, ok, mode in sorted((r for pdf in batches for r in zip(pdf["at"], pdf["ok"], pdf["mode"])), key=lambda r: r[0]):
@@ -70,9 +87,10 @@ def failure_notes(stream: DataFrame) -> DataFrame:
                 state.remove()
         else:
             state.update(note)
+            _expire(state, note[0] + FAILURE_DAYS * DAY)
         yield pd.DataFrame(out, columns=["page_key", "at", "note"])
 
-    return stream.groupBy("page_key").applyInPandasWithState(step, "page_key string, at double, note string", "at double, note string", "append", GroupStateTimeout.NoTimeout)
+    return _timed(stream).groupBy("page_key").applyInPandasWithState(step, "page_key string, at double, note string", "at double, note string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def merged(old: dict, fields: dict, modes: dict) -> dict:
@@ -107,9 +125,9 @@ def recipes_learned(stream: DataFrame) -> DataFrame:
 
 
 def mended(stream: DataFrame, fields: list[str], hold: int = 8, least: int = 3) -> DataFrame:
-    """``stream(recipe_key, pos, url, has array)`` to ``(recipe_key, url, missing)``: records that lack a
-    field others of the key have are held, at most ``hold``; when ``least`` are held, the one that
-    lacks most is given out once to be compiled again."""
+    """``stream(recipe_key, pos, url, has array)`` to ``(recipe_key, url, missing)``: a record that lacks a
+    field that the key's records up to it have is held, at most ``hold`` of them; complete ones pass.
+    When ``least`` are held, the one that lacks most is given out once to be compiled again."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, urls, lacks, done = state.get if state.exists else ([], [], [], False)
@@ -117,29 +135,40 @@ def mended(stream: DataFrame, fields: list[str], hold: int = 8, least: int = 3)
         out = []
         for _, url, has in sorted((r for pdf in batches for r in zip(pdf["pos"], pdf["url"], pdf["has"])), key=lambda r: r[0]):
             seen |= set(has)
-            if len(held) < hold:
-                held.append((url, set(has)))
-        missing = [(u, [f for f in fields if f in seen and f not in h]) for u, h in held]
-        open_ = [m for m in missing if m[1]]
-        if not done and len(open_) >= least:
-            best = max(open_, key=lambda m: len(m[1]))
-            out.append((key[0], best[0], best[1]))
-            done = True
+            lacking = [f for f in fields if f in seen and f not in has]
+            if done or not lacking or len(held) >= hold:
+                continue
+            held.append((url, set(has)))
+            if len(held) >= least:
+                missing = [(u, [f for f in fields if f in seen and f not in h]) for u, h in held]
+                best = max(missing, key=lambda m: len(m[1]))
+                out.append((key[0], best[0], best[1]))
+                held, done = [], True
         state.update((sorted(seen), [u for u, _ in held], ["\x1f".join(sorted(h)) for _, h in held], done))
         yield pd.DataFrame(out, columns=["recipe_key", "url", "missing"])
 
     return stream.groupBy("recipe_key").applyInPandasWithState(step, "recipe_key string, url string, missing array<string>", "seen array<string>, urls array<string>, lacks array<string>, done boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+#: Folders of a ledger that grants are appended to, by a hash of their keys.
+BUCKETS = 64
+
+
 def append_grants(stream: DataFrame, path: str, checkpoint: str):
     """A started query that appends each batch's entries to the ledger at ``path`` unless their key is
-    already there; the ledger itself is the memory, so keys are never forgotten."""
+    already there; the ledger itself is the memory, so keys are never forgotten. The ledger lies in
+    folders by a hash of the key and by batch: a batch reads only the folders of its own keys, and one
+    that is run again after a failure replaces what it wrote, entries without a key included."""
 
-    def batch(df: DataFrame, _: int) -> None:
+    def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
         jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         there = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath)
-        known = spark.read.schema(df.schema).parquet(path) if there else df.limit(0)
-        ledger.append_once(known, df).write.mode("append").parquet(path)
+        new = df.withColumn("bucket", F.expr(f"cast(pmod(xxhash64(idempotency_key), {BUCKETS}) as int)"))
+        mine = [r["bucket"] for r in new.select("bucket").distinct().collect()]
+        schema = new.withColumn("batch", F.lit(0).cast("long")).schema
+        known = spark.read.schema(schema).parquet(path).where(F.col("bucket").isin(mine) & (F.col("batch") != number)) if there and mine else new.limit(0)
+        out = ledger.append_once(known, new).withColumn("batch", F.lit(number).cast("long"))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -94,7 +94,7 @@ def test_page_parts():
     assert x.next_page(root, url) == "https://s.example/l?page=2"
     assert x.next_page(parse("<a href=/n>Older</a>"), url) == "https://s.example/n"
     assert [(h, i) for h, i, _ in x.links(root, url)][2] == ("https://s.example/p/1", True)
-    assert x.reduced(parse("<nav>n</nav><!--c--><div class=cookie-bar>x</div><p style=a data-k=v></p><b>t</b><img src=q>")) == '<b>t</b><img src="q">'
+    assert x.reduced(parse("<nav>n</nav><!--c--><div class=cookie-bar>x</div><p style=a data-k=v></p><b>t</b><img src=q>")) == '<b>t</b><img src="q"/>'
 
 
 def test_replay_over_a_table(spark):

@@ -15,5 +15,5 @@ def test_merge_of_halves(spark, tmp_path):
 def test_small_hosts_keep_the_shape_of_the_example(spark, tmp_path):
     urls = ["https://b.example/p/a", "https://b.example/p/b", "https://c.example/p/a", "https://c.example/q/r/s"] + [f"https://d.example/p/{i}" for i in range(5)]
     spark.createDataFrame([(u,) for u in urls], "url string").write.parquet(f"{tmp_path}/products.parquet")
-    got = {r["href"] for r in registry.queries()["siblings_all"](spark, str(tmp_path)).collect()}
+    got = {r["href"] for r in registry.queries()["siblings_modal"](spark, str(tmp_path)).collect()}
     assert got - {urls[0], urls[2]} == {urls[1], *urls[4:]}

@@ -71,6 +71,12 @@ def test_sitemaps_robots_redirects(spark):
     moves = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")], "url string, location string")
     got = {r["url"]: r["final_url"] for r in web.resolved_redirects(spark.createDataFrame([("a",), ("x",), ("z",)], "url string"), moves).collect()}
     assert got == {"a": "c", "x": None, "z": "z"}
+    two = spark.createDataFrame([("https://a.example", 1.0, 200, "User-agent: *\nDisallow: /"), ("https://a.example", 2.0, 200, "User-agent: *\nAllow: /p/a b\nDisallow: /p")], "origin string, at double, status int, body string")
+    u = spark.createDataFrame([("https://a.example/p/a%20b",), ("https://a.example/p/c",), ("https://a.example",), (None,)], "url string")
+    assert {r["url"]: r["allowed"] for r in web.robots_allow(u, two, "bot").collect()} == {"https://a.example/p/a%20b": True, "https://a.example/p/c": False, "https://a.example": True, None: False}
+    index = "<sitemapindex>" + "".join(f"<sitemap><loc>o/{i}.xml</loc></sitemap>" for i in range(9)) + "</sitemapindex>"
+    many = spark.createDataFrame([("o", "o/sitemap.xml", index)] + [("o", f"o/{i}.xml", ns.replace(" a ", f"p{i}")) for i in range(9)], "origin string, url string, xml string")
+    assert {r["loc"] for r in web.sitemap_pages(many, 4).collect()} == {"p0", "p1", "p2"}
 
 
 def test_more_of_the_web(spark):
@@ -147,6 +153,11 @@ def test_recipes(spark):
     html = '<meta name=d content="words only"><i class=p>9 €</i><button class=s>Add</button><b class="c">x</b>'
     assert governance.sound_fields(Recipe({"price": "meta", "stock": ".s", "cls": "b"}, {"price": "attr:content", "cls": "attr:class"}), schema, html, "") == {}
     assert governance.sound_fields(Recipe({"price": ".p", "stock": ".none"}), schema, html, "") == {"price": ".p", "stock": ".none"}
+    request = '<i class=p>price on request</i><i class=q>call us</i>'
+    assert governance.sound_fields(Recipe({"price": ".p"}), schema, request, "") == {"price": ".p"} and governance.sound_fields(Recipe({"price": ".q"}), schema, request, "") == {}
+    sample = spark.createDataFrame([("k", "u", html, {"price": "meta", "stock": ".none"}, {"price": "attr:content", "stock": "text"}, {})], "recipe_key string, url string, html string, fields map<string,string>, modes map<string,string>, alternates map<string,array<string>>")
+    r = governance.pruned(sample, schema).first()
+    assert (r["fields"], r["modes"]) == ({"stock": ".none"}, {"stock": "text"})
     text = spark.createDataFrame([('Sure: {"fields": {"title": "h1", "price": null}, "item": ".c"} done',), ('{"title": "h1", "price": 3}',), ("no",), (None,)], "t string")
     assert [(r["r"]["fields"], r["r"]["item"]) for r in text.select(governance.recipe_from_text("t").alias("r")).collect()] == [({"title": "h1"}, ".c"), ({"title": "h1"}, None), (None, None), (None, None)]
 

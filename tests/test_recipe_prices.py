@@ -24,7 +24,7 @@ def test_every_price_text(spark, tmp_path):
     spark.createDataFrame(rows, "product_id long, url string, title string, price_text string, description string, sku string, brand string").write.parquet(f"{tmp_path}/products.parquet")
     recipe = [("shop.example", "product", {"price": "p.sum .val"}, {}, {}, None, False, time.time())]
     spark.createDataFrame(recipe, "domain string, schema_name string, fields map<string,string>, modes map<string,string>, alternates map<string,array<string>>, item string, needs_js boolean, compiled_at double").write.parquet(f"{tmp_path}/recipes.parquet")
-    got = {r["product_id"]: r["price"] for r in registry.queries()["recipe_prices_all"](spark, str(tmp_path)).collect()}
+    got = {r["product_id"]: r["price"] for r in registry.queries()["recipe_prices"](spark, str(tmp_path)).collect()}
     assert {p: got[i] for i, p in enumerate(PRICES)} == {p: None if v is None else pytest.approx(v) for p, v in PRICES.items()}
 
 
