@@ -38,6 +38,13 @@ def coverage(df: DataFrame, by: Sequence[str] = (), core: Sequence[str] = CORE)
     return df.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(usable(df, core)).alias("usable"), *[share(c).alias(c) for c in core])
 
 
+def meets(df: DataFrame, threshold: float, by: Sequence[str] = (), core: Sequence[str] = CORE) -> DataFrame:
+    """The share of usable rows, and whether it reaches the threshold; no rows have a share of 0."""
+    c = df.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(usable(df, core)).alias("usable"))
+    ratio = F.when(F.col("total") > 0, F.col("usable") / F.col("total")).otherwise(F.lit(0.0))
+    return c.select(*by, ratio.alias("usable_ratio"), (ratio >= threshold).alias("meets"))
+
+
 def answered_fields(df: DataFrame, fields: Sequence[str]) -> Column:
     """The number of fields that answer, as one expression."""
     kinds = dict(df.dtypes)

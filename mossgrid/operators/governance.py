@@ -31,6 +31,11 @@ def with_recipe(pages: DataFrame, recipes: DataFrame, schema: str = "product") -
     return pages.withColumn("recipe_key", cache_key("url", F.lit(schema))).join(newest, "recipe_key", "left").select(*pages.columns, "recipe_key", "r.*")
 
 
+def known_domains(recipes: DataFrame) -> DataFrame:
+    """The domains that have a recipe, each once."""
+    return recipes.select(F.regexp_replace(F.lower("domain"), r"^www\.", "").alias("domain")).distinct()
+
+
 def recently_failed(at: Column, mode: Column, now: Column, can_js: Column) -> Column:
     """A failure younger than a week, unless it was a static one and a browser is at hand."""
     return F.coalesce((now - at < FAILURE_DAYS * DAY) & ~(can_js & (mode == "static")), F.lit(False))
@@ -157,8 +162,8 @@ def to_mend(records: DataFrame, fields: tuple[str, ...], least: int = 3) -> Data
     return lacking.groupBy("recipe_key").agg(F.count("*").alias("held"), F.max_by(F.struct("url", "missing"), F.struct(F.size("missing"), -F.col("pos"))).alias("r")).where(F.col("held") >= least).select("recipe_key", "held", "r.*")
 
 
-def outcome(df: DataFrame, satisfied: Column, html: str = "html", final: str | None = "final_url") -> Column:
-    """What came of a page: refused, gone, recipe, sold, empty or needs_synthesis."""
+def outcome(df: DataFrame, satisfied: Column, html: str = "html", final: str | None = "final_url", declared: Column | None = None) -> Column:
+    """What came of a page: refused, gone, recipe, json_ld (``declared``), sold, empty or needs_synthesis."""
     from mossgrid.functions import pages, urls
 
     gone = urls.redirected_away("url", final) if final in df.columns else F.lit(False)
@@ -166,6 +171,7 @@ def outcome(df: DataFrame, satisfied: Column, html: str = "html", final: str | N
         F.when(pages.challenge_marker(html).isNotNull(), "refused")
         .when(F.coalesce(gone, F.lit(False)), "gone")
         .when(F.coalesce(satisfied, F.lit(False)), "recipe")
+        .when(F.coalesce(declared, F.lit(False)) if declared is not None else F.lit(False), "json_ld")
         .when(pages.sold_marker(html).isNotNull(), "sold")
         .when(F.coalesce(F.length(html), F.lit(0)) == 0, "empty")
         .otherwise("needs_synthesis")

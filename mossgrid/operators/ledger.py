@@ -83,6 +83,11 @@ def reconciled(payments: DataFrame, ledger: DataFrame, keys: DataFrame) -> DataF
     return p.select("session_id", "amount", outcome.alias("outcome"), F.when(outcome == "applied", F.col("own_id")).when(outcome == "recovered", F.col("other_id")).alias("key_id"))
 
 
+def outcome_counts(outcomes: DataFrame) -> DataFrame:
+    """Payments and amounts by outcome."""
+    return outcomes.groupBy("outcome").agg(F.count("*").alias("payments"), F.sum("amount").cast("long").alias("amount"))
+
+
 def usage_by_day(usage: DataFrame, measures: tuple[str, ...] = ("requests", "pages", "renders", "syntheses", "records")) -> DataFrame:
     """Sums by key and day, each flush once, null counts as 0."""
     once = usage.where("key_id is not null").dropDuplicates(["flush_id"])

@@ -185,11 +185,6 @@ def visible_text(spark, d):
     return df.select("product_id", pages.visible_text_length("html").alias("chars"), pages.looks_js_shelled("html").alias("shelled"))
 
 
-@query("challenge_mark", "select product_id, case when lower(title) like '%checking your browser%' then 'checking your browser' end as marker from (select distinct product_id, title from products) where title is not null")
-def challenge_mark(spark, d):
-    return _products(spark, d).where("title is not null").select("product_id", pages.challenge_marker("title").alias("marker"))
-
-
 @query("sold_mark", r"""with w as (select product_id, ' ' || regexp_replace(lower(regexp_replace(case when product_id % 7 = 0 then description || ' <b>Verkocht!</b>' else description end, '<[^>]+>', ' ', 'g')), '[^\p{L}\p{N}]', ' ', 'g') || ' ' as w from (select distinct product_id, description from products))
 select product_id, case """ + " ".join(f"when w like '% {m} %' then '{m}'" for m in pages.SOLD) + " end as marker from w")
 def sold_mark(spark, d):
@@ -301,12 +296,6 @@ def sitemap_pages(spark, d):
     return web.sitemap_pages(parts.unionByName(index)).select("origin", "loc").distinct()
 
 
-@query("robots_gate", f"select product_id, not ({_PATH.format('url')} like '/p/%') as allowed from {_P}")
-def robots_gate(spark, d):
-    robots = table(spark, d, "sites").select(F.explode(F.array(*[F.concat(F.lit(s), "site") for s in ("https://", "http://", "https://www.", "http://www.")])).alias("origin")).withColumn("status", F.lit(200)).withColumn("body", F.lit("User-agent: *\nDisallow: /p/\nCrawl-delay: 2\n"))
-    return web.robots_allow(_products(spark, d).select("product_id", "url"), robots, "mossgrid").select("product_id", "allowed")
-
-
 @query("redirect_chains", """with n as (select site, row_number() over (order by site) - 1 as n from (select distinct site from sites)),
 c as (select site, n, max(n) over (partition by n // 13) as last from n)
 select c.site as url, case when c.last - c.n <= 10 then e.site end as final_url from c join n e on e.n = c.last""")
@@ -354,19 +343,6 @@ def job_labels(spark, d):
     return _products(spark, d).select("product_id", urls.job_label("url", F.lit("rows"), F.date_format("fetched_at", "yyyy-MM-dd")).alias("label"))
 
 
-@query("decoded_bodies", f"select product_id, title as text from {_P} where title is not null")
-def decoded_bodies(spark, d):
-    """Bytes without a declared charset that are valid UTF-8 are read as such."""
-    return _products(spark, d).where("title is not null").select("product_id", pages.decoded(F.encode("title", "UTF-8")).alias("text"))
-
-
-@query("mend_candidates")
-def mend_candidates(spark, d):
-    """Of each shop's records that lack a field others have, the one to compile again."""
-    p = _products(spark, d).select(F.col("site").alias("recipe_key"), F.col("product_id").alias("pos"), "url", F.create_map(F.lit("brand"), F.coalesce("brand", F.lit("")), F.lit("sku"), F.coalesce("sku", F.lit("")), F.lit("description"), F.coalesce("description", F.lit(""))).alias("read"))
-    return governance.to_mend(p, ("brand", "sku", "description"))
-
-
 @query("event_windows", "select event_type, date_trunc('day', ts) as day, count(*) as n from events group by all")
 def event_windows(spark, d):
     w = F.window(F.col("ts").cast("timestamp"), "1 day")
@@ -503,38 +479,6 @@ def failure_filter(spark, d):
     return joined.where(~governance.recently_failed(F.col("f.at"), F.col("f.mode"), F.lit(now), F.lit(True))).select("user_id")
 
 
-@query("compile_ceiling")
-def compile_ceiling(spark, d):
-    """Windows that begin with a key's first event; a fold, which SQL has no form for."""
-    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
-    return governance.compile_windows(e)
-
-
-@query("recipe_merge", """with o as (select domain, schema_name, fields from recipes where schema_name = 'product')
-select domain, fields['title'] as title, cast(len(map_keys(fields)) as integer) as fields from o""")
-def recipe_merge(spark, d):
-    """A recipe merged with itself stays as it is."""
-    r = table(spark, d, "recipes").where("schema_name = 'product'")
-    return governance.merged_recipes(r, r).select("domain", F.col("fields")["title"].alias("title"), F.size("fields").alias("fields"))
-
-
-@query("recipe_merge_halves")
-def recipe_merge_halves(spark, d):
-    """Each recipe's title, price and images merged over its other fields and older selectors."""
-    r = table(spark, d, "recipes").where("schema_name = 'product'")
-    new = r.withColumn("fields", F.map_filter("fields", lambda k, _: k.isin("title", "price", "images")))
-    old = r.withColumn("fields", F.transform_values(F.map_filter("fields", lambda k, _: k != "images"), lambda _, v: F.concat(F.lit("body "), v)))
-    entries = lambda c: F.array_sort(F.map_entries(c)).alias(c)
-    return governance.merged_recipes(old, new).select("domain", entries("fields"), entries("modes"), entries("alternates"))
-
-
-@query("selector_widen", "select domain, e.key as field, e.value as selector from (select domain, unnest(map_entries(fields)) as e from recipes where schema_name = 'product')")
-def selector_widen(spark, d):
-    """Selectors given a part that only matches on sale, widened again."""
-    r = table(spark, d, "recipes").where("schema_name = 'product'").select("domain", F.explode("fields").alias("field", "selector"))
-    return r.select("domain", "field", governance.widened(F.concat(F.lit(".sale-box "), "selector")).alias("selector"))
-
-
 @query("site_graph", """with recursive e as (select distinct site as src, lead(site, 1, site) over (order by site) as dst from sites union select site, lead(site, 7, site) over (order by site) from sites),
 r as (select (select min(site) from sites) as page, 0 as hop union select e.dst, r.hop + 1 from r join e on e.src = r.page where r.hop < 5)
 select page, cast(min(hop) as integer) as hop from r group by 1""")

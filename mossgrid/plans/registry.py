@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mossgrid.plans import problems, reference
+from mossgrid.plans import problems, records, reference  # noqa: F401  (records adds to reference.Q)
 
 Query = Callable[[SparkSession, str], DataFrame]
 

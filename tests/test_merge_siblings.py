@@ -7,9 +7,9 @@ def test_merge_of_halves(spark, tmp_path):
     row = ("a.example", "product", {"title": "h1", "images": ".pics img", "sku": ".code"}, {"images": "attr:src", "sku": "text"}, {"title": ["h1.t"]}, None, False, None, 1.0)
     spark.createDataFrame([row], RECIPE).write.parquet(f"{tmp_path}/recipes.parquet")
     (got,) = registry.queries()["recipe_merge_halves"](spark, str(tmp_path)).collect()
-    assert {k: v for k, v in got["fields"]} == {"title": "h1", "images": ".pics img", "sku": "body .code"}
-    assert {k: v for k, v in got["modes"]} == {"images": "attr:src", "sku": "text"}
-    assert {k: v for k, v in got["alternates"]} == {"title": ["h1.t", "body h1"]}
+    assert got["fields"] == "images=.pics img;sku=body .code;title=h1"
+    assert got["modes"] == "images=attr:src;sku=text"
+    assert got["alternates"] == "title=h1.t|body h1"
 
 
 def test_small_hosts_keep_the_shape_of_the_example(spark, tmp_path):
