@@ -10,12 +10,15 @@ Defined results
   a listing without either has no row;
 * a currency the row leaves open is the seller's home currency; a seller that is
   not in ``sites`` and a row that names no currency give no row;
+* a row whose currency is spelled in a way that is not understood has no row, whatever
+  the seller's home currency;
 * a unit that is not in ``price_units`` gives no row;
 * repeated rows give one row; null and empty texts say nothing.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import defaultdict
 from functools import lru_cache
@@ -63,14 +66,18 @@ DIGITS = {"JPY": 0, "KWD": 3}
 #: Unit ids of minor units in price_units are found by rate, not by name: eur_per_unit × 10^digits.
 MAX_COST = 0.3
 GRAM = 2
-#: No unit is spelled longer.
-LONGEST = 40
+#: Other currencies, known so that they are told apart from a spelling nobody
+#: understands; without a row in price_units they give none.
+OTHERS = {
+    "CZK": ["Kč", "korun"], "HUF": ["Ft", "forint"], "RON": ["lei"], "INR": ["₹", "Rs."], "RUB": ["₽", "руб.", "рублей"], "BRL": ["R$", "reais"], "KRW": ["₩", "won"], "TRY": ["₺", "TL"], "UAH": ["₴", "грн"], "ILS": ["₪"], "CNY": ["元", "yuan", "RMB"],
+    "THB": ["฿", "บาท"], "VND": ["₫"], "AUD": ["A$", "AU$"], "CAD": ["C$", "CA$"], "MXN": ["MX$"],
+}
 
 
 def _seeds() -> list[tuple[str, str, str]]:
-    out = [(s, c, "main") for c, all_ in MAIN.items() for s in all_]
+    out = [(s, c, "main") for c, all_ in (MAIN | OTHERS).items() for s in all_]
     out += [(s, c, "minor") for c, all_ in MINOR.items() for s in all_]
-    for code in MAIN:
+    for code in MAIN | OTHERS:
         if code != "KR":
             out += [(s, code, "main") for s in (code, code.lower(), code.capitalize())]
     return out
@@ -121,25 +128,29 @@ class Speller:
         for i, (s, _, _) in enumerate(self.seeds):
             for g in _grams(s):
                 self.index[g].append(i)
+        self.exact = {s: (c, scale) for s, c, scale in self.seeds if scale == "main" and (not s[0].isalpha() or s.isupper() and len(s) == 3 or s in ("Kč", "zł", "R$", "US$", "A$", "C$", "AU$", "CA$", "MX$"))}
         self.notes = sorted({n.casefold() for n in NOTES}, key=len, reverse=True)
         self.unit = lru_cache(maxsize=4096)(self._unit)
 
     def _unit(self, s: str) -> tuple[str, str] | None:
-        if len(s) > LONGEST:
-            return None
         shared: dict[int, int] = defaultdict(int)
         grams = _grams(s)
         for g in grams:
             for i in self.index.get(g, ()):
                 shared[i] += 1
         best: tuple[float, int] | None = None
+        own = sum(map(_drop, s))
         for i, n in shared.items():
             seed = self.seeds[i][0]
             if 2 * n < min(len(grams), len(_grams(seed))):
                 continue
-            cost = weighted_distance(s, seed)
             letters = min(len(s), len(seed))
-            if cost <= (MAX_COST * letters if letters >= 4 else 0.25) and (best is None or (cost, i) < best):
+            most = MAX_COST * letters if letters >= 4 else 0.25
+            # what one spelling holds more than the other has to be dropped at least
+            if abs(own - sum(map(_drop, seed))) > most + 1e-9:
+                continue
+            cost = weighted_distance(s, seed)
+            if cost <= most and (best is None or (cost, i) < best):
                 best = (cost, i)
         return self.seeds[best[1]][1:] if best else None
 
@@ -175,16 +186,22 @@ class Speller:
                         return ("", "k")
                     if (hit := self.unit(rest)) and hit[1] == "main":
                         return (hit[0], "k")
-        return None
+        # among other words a currency's sign or code still tells, if only one is there
+        named = {self.exact[w] for w in _SIGN.findall(s) if w in self.exact}
+        return next(iter(named)) if len(named) == 1 else None
 
-    def spelling(self, text: str) -> tuple[str | None, str | None]:
-        """The unit of a spelling; a number's two sides are parted by U+001E."""
+    def spelling(self, text: str) -> tuple[str | None, str | None, bool]:
+        """The unit of a spelling, and whether it names one that is not understood; a number's two sides
+        are parted by U+001E, and what stands without a number is a unit's name and nothing else."""
         currency = scale = None
+        unread = False
         for part in text.split("\x1e"):
             if hit := self.side(part):
                 currency = hit[0] or currency
                 scale = "k" if "k" in (hit[1], scale) else scale if hit[1] == "main" and scale else hit[1]
-        return currency, scale
+            elif "\x1e" not in text and any(c.isalnum() for c in part) or any(unicodedata.category(c) == "Sc" for c in part):
+                unread = True
+        return currency, scale, unread and currency is None
 
 
 def alias_dictionary(spellings: DataFrame) -> DataFrame:
@@ -194,9 +211,13 @@ def alias_dictionary(spellings: DataFrame) -> DataFrame:
         speller = Speller()
         for pdf in batches:
             hits = [speller.spelling(s) for s in pdf["spelling"]]
-            yield pd.DataFrame({"spelling": pdf["spelling"], "said": [h[0] for h in hits], "scale": [h[1] for h in hits]})
+            yield pd.DataFrame({"spelling": pdf["spelling"], "said": [h[0] for h in hits], "scale": [h[1] for h in hits], "unread": [h[2] for h in hits]})
+
+    return spellings.select("spelling").where("spelling is not null").distinct().mapInPandas(run, "spelling string, said string, scale string, unread boolean")
+
 
-    return spellings.select("spelling").where("spelling is not null").distinct().mapInPandas(run, "spelling string, said string, scale string")
+#: A currency's sign with the letters before it, or a word.
+_SIGN = re.compile(r"[A-Z]{0,3}[€$£¥₸¢₹₽₩₺₴₪฿₫元円]|[^\W\d_]+")
 
 
 _SPACES = r"[\s  -  　]+"
@@ -233,15 +254,17 @@ def recorded_units(products: DataFrame, sites: DataFrame, price_units: DataFrame
     )
     distinct = rows.select(F.explode(F.array("currency", "around")).alias("spelling"))
     alias = alias_dictionary(distinct)
-    column = alias.select(F.col("spelling").alias("currency"), F.col("said").alias("c_said"), F.col("scale").alias("c_scale"))
-    beside = alias.select(F.col("spelling").alias("around"), F.col("said").alias("t_said"), F.col("scale").alias("t_scale"))
+    column = alias.select(F.col("spelling").alias("currency"), F.col("said").alias("c_said"), F.col("scale").alias("c_scale"), F.col("unread").alias("c_unread"))
+    beside = alias.select(F.col("spelling").alias("around"), F.col("said").alias("t_said"), F.col("scale").alias("t_scale"), F.col("unread").alias("t_unread"))
     home = sites.select("site", "home_currency").dropDuplicates(["site"])
     known = rows.join(column, "currency", "left").join(beside, "around", "left").join(home, "site", "left")
 
     said = F.coalesce("c_said", "t_said", "raw.prices.currency_code")
     kin = [F.col("c_said"), F.col("t_said"), F.col("raw.prices.currency_code"), F.col("home_currency")]
     family = list(FAMILY["KR"])
-    code = F.coalesce(F.when(said == "KR", F.coalesce(*[F.when(k.isin(family), k) for k in kin], F.lit(family[0]))), said, F.col("home_currency"))
+    # a unit that is named but not understood is no open one: the seller's own does not stand in for it
+    unread = F.coalesce("c_unread", F.lit(False)) | F.coalesce("t_unread", F.lit(False))
+    code = F.coalesce(F.when(said == "KR", F.coalesce(*[F.when(k.isin(family), k) for k in kin], F.lit(family[0]))), said, F.when(~unread, F.col("home_currency")))
     known = known.withColumn("code", code)
     fraction = F.coalesce(*[F.when(F.col("code") == c, F.lit(n)) for c, n in DIGITS.items()], F.lit(2))
     step = F.pow(F.lit(10.0), fraction)

@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
         where = os.path.join(tempfile.gettempdir(), f"mossgrid-{uuid.uuid4().hex[:8]}")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(where)
+        # files of a checkpoint go when no plan refers to it any more
+        sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return where
 
 

@@ -21,7 +21,7 @@ RATES = [("eur", "EUR", "1"), ("eur_cent", "EUR", "0.01"), ("eur_k", "EUR", "100
     ],
 )
 def test_spellings(spelling, want):
-    assert units.Speller().spelling(spelling) == want
+    assert units.Speller().spelling(spelling)[:2] == want
 
 
 def test_weighted_distance_is_small_for_case_accents_and_marks():
@@ -70,3 +70,13 @@ def test_units_and_amounts_of_rows(spark):
 def test_empty_tables(spark):
     e = lambda s: spark.createDataFrame([], s)
     assert units.recorded_units(e(PRODUCTS), e(SITES), e(UNITS)).count() == 0
+
+
+@pytest.mark.parametrize("text, want", [("ca. €\x1e", "EUR"), ("Prezzo: €\x1e", "EUR"), ("\x1e€ pro Stück", "EUR"), ("\x1e€/Stk", "EUR"), ("R$\x1e", "BRL"), ("₹\x1e", "INR"), ("\x1eKč", "CZK"), ("\x1eEUR / Stück", "EUR")])
+def test_units_among_other_words(text, want):
+    assert units.Speller().spelling(text) == (want, "main", False)
+
+
+@pytest.mark.parametrize("text, unread", [("foo bar", True), ("¤\x1e", True), ("x" * 5000, True), ("\x1eStück", False), ("", False), ("\x1e", False)])
+def test_spellings_that_are_not_understood(text, unread):
+    assert units.Speller().spelling(text) == (None, None, unread)
