@@ -38,20 +38,12 @@ INVISIBLE = "­͏؜ᅟᅠ឴឵᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤
 SPACES = "               　  "
 HYPHENS = "‐‑﹣－"
 CYRILLIC_TWINS.pop("З", None)
-_TO_LATIN = CYRILLIC_TWINS | GREEK_TWINS
-_FROM_LATIN = {"C": {v: k for k, v in CYRILLIC_TWINS.items() if k in "аеорсухАВЕКМНОРСТУХ"}, "G": {v: k for k, v in GREEK_TWINS.items()}}
+#: Letters of other scripts and of extended Latin that look like plain Latin ones.
+OTHER_TWINS = dict(zip("օոսհցՕՍᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃɡɑϲϳѵӏӀ", "onuhgOU" + "ABCDEGHJKLMPRSTVWZ" + "gacjvlI"))
+_TO_LATIN = CYRILLIC_TWINS | GREEK_TWINS | OTHER_TWINS
+_FROM_LATIN = {"C": {v: k for k, v in CYRILLIC_TWINS.items() if k in "аеорсухАВЕКМНОРСТУХ"}, "G": {v: k for k, v in GREEK_TWINS.items()}, "A": {v: k for k, v in OTHER_TWINS.items() if "\u0530" <= k < "\u0590"}}
 _EMOJI_JOIN = re.compile("(?<=[☀-➿️\U0001f300-\U0001faff])‍(?=[☀-➿️\U0001f300-\U0001faff])")
 _WORD = re.compile("(?:[^\\W\\d_][\u0300-\u036f]*)+")
-#: JVM-side test: a value without any of these needs no look.
-SUSPECT = (
-    r"[ ­ĲĳǄ-ǌǱ-ǳ̀-ͯ؜ ᠎ -‑ -  -⁤ΩKÅ　ﬀ-ﬆ﹣﻿＀-￯]"
-    r"|[\x{1d400}-\x{1d7ff}]|[Ͱ-ԯ]\p{M}*[A-Za-zÀ-ɏ]|[A-Za-zÀ-ɏ]\p{M}*[Ͱ-ԯ]"
-)
-
-#: The same test for Python.
-SUSPECT_CHARS = re.compile(SUSPECT.replace(r"\x{1d400}-\x{1d7ff}", "\U0001d400-\U0001d7ff").replace(r"\p{M}", "[\u0300-\u036f]"))
-
-
 @lru_cache(maxsize=65536)
 def _fold_char(c: str) -> str:
     o = ord(c)
@@ -79,7 +71,54 @@ def fold(text: str) -> str:
 
 def _script(c: str) -> str:
     o = ord(c)
-    return "M" if 0x300 <= o < 0x370 else "L" if o < 0x250 or 0x1E00 <= o < 0x1F00 else "C" if 0x400 <= o < 0x530 else "G" if 0x370 <= o < 0x400 else "O"
+    if c in _EXTENDED or 0x13A0 <= o < 0x1400:
+        return "X"  # twins of Latin letters that make no word of their own here
+    return "A" if 0x530 <= o < 0x590 else "M" if 0x300 <= o < 0x370 else "L" if o < 0x250 or 0x1E00 <= o < 0x1F00 else "C" if 0x400 <= o < 0x530 else "G" if 0x370 <= o < 0x400 else "O"
+
+
+_EXTENDED = frozenset("ɡɑ")
+
+
+@lru_cache(maxsize=1)
+def _folded_ranges() -> list[tuple[int, int]]:
+    """Every code point that :func:`fold` changes by itself, or that joins the one before it into
+    one letter, as ranges: found by asking it, so that the prefilter leaves out nothing."""
+    hits = set()
+    for low, high in ((0xA0, 0xD800), (0xF900, 0x10000), (0x10000, 0x20000), (0x2F800, 0x2FA20)):
+        for o in range(low, high):
+            c = chr(o)
+            if fold(c) != c:
+                hits.add(o)
+            parts = unicodedata.decomposition(c).split(" ")
+            if len(parts) == 2 and parts[0][:1] != "<":
+                hits.add(int(parts[1], 16))
+    # Hangul jamo join by rule, not by table
+    hits.update(range(0x1161, 0x1176)), hits.update(range(0x11A8, 0x11C3)), hits.update(range(0x300, 0x370))
+    out: list[tuple[int, int]] = []
+    for o in sorted(hits):
+        if out and o == out[-1][1] + 1:
+            out[-1] = (out[-1][0], o)
+        else:
+            out.append((o, o))
+    return out
+
+
+_LATIN = "A-Za-z\u00c0-\u024f"
+_TWIN_SCRIPTS = "\u0370-\u058f\u13a0-\u13ff"
+
+
+@lru_cache(maxsize=1)
+def suspect() -> str:
+    """JVM-side test: a value without a match needs no look."""
+    folded = "".join(f"\\x{{{a:x}}}" + (f"-\\x{{{b:x}}}" if b > a else "") for a, b in _folded_ranges())
+    return rf"[{folded}ɡɑ]|[{_TWIN_SCRIPTS}]\p{{M}}*[{_LATIN}]|[{_LATIN}]\p{{M}}*[{_TWIN_SCRIPTS}]"
+
+
+@lru_cache(maxsize=1)
+def suspect_chars() -> re.Pattern:
+    """The same test for Python."""
+    folded = "".join(re.escape(chr(a)) + ("-" + re.escape(chr(b)) if b > a else "") for a, b in _folded_ranges())
+    return re.compile(f"[{folded}ɡɑ]|[{_TWIN_SCRIPTS}][\u0300-\u036f]*[{_LATIN}]|[{_LATIN}][\u0300-\u036f]*[{_TWIN_SCRIPTS}]")
 
 
 def twin_spellings(word: str) -> tuple[str, ...]:
@@ -95,8 +134,8 @@ def _twins(word: str) -> tuple[str, ...]:
         return ()
     word = unicodedata.normalize("NFD", word)
     scripts = [_script(c) for c in word]
-    n = {s: scripts.count(s) for s in "LCG"}
-    if sum(v > 0 for v in n.values()) < 2 or "O" in scripts:
+    n = {s: scripts.count(s) for s in "LCGA"}
+    if sum(v > 0 for v in n.values()) + ("X" in scripts) < 2 or "O" in scripts:
         return ()
     out = []
     for s in sorted((s for s in n if n[s]), key=lambda s: -n[s]):
@@ -127,19 +166,27 @@ def _looked_at(products: DataFrame, fields: Sequence[str], key: str) -> DataFram
                 out.append((i, name, text, folded, folded != text, [{"word": w, "result": r} for w, rs in words.items() for r in rs]))
             yield pd.DataFrame(out, columns=[key, "field_name", "text", "folded", "changed", "words"])
 
-    values = spread(products.where(F.col(key).isNotNull()).select(key, *fields)).select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.when(F.col(f).rlike(SUSPECT), F.col(f)).alias("text")) for f in fields])).alias("v"))
+    values = spread(products.where(F.col(key).isNotNull()).select(key, *fields)).select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.when(F.col(f).rlike(suspect()), F.col(f)).alias("text")) for f in fields])).alias("v"))
     return values.select(key, "v.*").where("text is not null").mapInPandas(run, f"{key} {kind}, {_SCHEMA}")
 
 
+#: Words go to every task only up to this many; beyond, they meet the corpus by a shuffle.
+BROADCAST_WORDS = 200_000
+
+
 def vocabulary_hits(products: DataFrame, words: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Those of ``words(result)`` that occur as words of the corpus (case aside).
 
-    The corpus words are counted map-side, so a word that a third of all rows hold
-    reaches the shuffle once a task.
+    Their number is counted first. Few of them filter the corpus words where these are read;
+    many meet them by a shuffle, where each word of a task counts once.
     """
     text = F.lower(F.concat_ws(" ", *fields, *[c for c in ("sku",) if c in products.columns]))
-    corpus = products.select(F.explode(F.split(text, r"[^\p{L}\p{M}]+")).alias("lower_result")).where("lower_result <> ''").distinct()
-    return words.select("result", F.lower("result").alias("lower_result")).distinct().join(corpus, "lower_result", "left_semi").select("result")
+    corpus = products.select(F.explode(F.split(text, r"[^\p{L}\p{M}]+")).alias("lower_result")).where("lower_result <> ''")
+    wanted = words.select("result", F.lower("result").alias("lower_result")).distinct()
+    keys = wanted.select("lower_result").distinct()
+    if keys.count() <= BROADCAST_WORDS:
+        corpus = corpus.join(F.broadcast(keys), "lower_result", "left_semi")
+    return wanted.join(corpus.distinct(), "lower_result", "left_semi").select("result")
 
 
 def consistent_form(products: DataFrame, fields: Sequence[str] = FIELDS, key: str = "product_id") -> DataFrame:

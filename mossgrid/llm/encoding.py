@@ -30,6 +30,7 @@ from mossgrid.session import spread
 PAIRS = (
     ("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "mac_roman"), ("utf-8", "cp437"), ("utf-8", "cp850"), ("utf-8", "cp1250"), ("utf-8", "iso8859-2"), ("utf-8", "cp1251"), ("utf-8", "koi8-r"), ("utf-8", "cp866"), ("utf-8", "cp1254"), ("utf-8", "cp1253"), ("utf-8", "cp1257"),
     ("cp1250", "cp1252"), ("iso8859-2", "cp1252"), ("cp1251", "cp1252"), ("koi8-r", "cp1252"), ("cp866", "cp1252"), ("cp850", "cp1252"), ("cp437", "cp1252"), ("mac_roman", "cp1252"), ("cp1253", "cp1252"), ("iso8859-5", "cp1252"),
+    ("iso8859-7", "cp1252"), ("cp949", "cp1252"), ("cp932", "cp1252"), ("euc-jp", "cp1252"), ("gbk", "cp1252"), ("big5", "cp1252"), ("cp874", "cp1252"),
     ("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp1251", "mac_roman"), ("cp1252", "cp1250"), ("cp1252", "cp1251"), ("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1251", "cp850"), ("cp1251", "cp437"),
 )
 #: Letters beyond ASCII of the languages written in Latin script here.
@@ -302,6 +303,98 @@ def _other_cyrillic(text: str) -> str | None:
     return best
 
 
+#: Greek letters by frequency, and how often each comes in a thousand.
+GREEK_BY_FREQUENCY = "αοιετσνηυρπκμλςωγδχθφβξζψ"
+GREEK_PER_MILLE = (120, 98, 93, 90, 91, 49, 79, 52, 43, 50, 50, 42, 44, 33, 30, 20, 20, 17, 14, 10, 8, 6, 6, 5, 2)
+_GREEK_BITS = {c: -math.log2(n / 1000) for c, n in zip(GREEK_BY_FREQUENCY, GREEK_PER_MILLE)}
+#: Bits a letter of other scripts: what is rare in their texts costs RARE_BITS, a capital after a small letter CASE_BITS more.
+RARE_BITS, CASE_BITS, MIXED_BITS, PLAIN_BITS = 10.0, 6.0, 8.0, 4.5
+#: Readings that win this share of the best one's gain are told apart by their letters, and left
+#: alone where two scripts differ by less than TIE_BITS; a gain in cost saves GAIN_BITS.
+CLOSE, TIE_BITS, GAIN_BITS = 0.6, 0.05, 0.3
+
+
+#: Thai letters that hardly any word holds; what the national standards hold as common, by lead byte.
+RARE_THAI = frozenset("ฃฅฆฌฎฏฐฑฒฬฤฦ")
+COMMON_HAN = (("gb2312", 0xB0, 0xD7), ("euc-jp", 0xB0, 0xCF), ("big5", 0xA4, 0xC6))
+
+
+@lru_cache(maxsize=1 << 16)
+def _letter_bits(c: str) -> tuple[float, str] | None:
+    """Bits of one letter beyond ASCII by how common it is in its script, and the script; None for what is no letter."""
+    if not c.isalpha() or c.isascii():
+        return None
+    low = c.lower()
+    if "\u0400" <= c < "\u0530":
+        return _BITS.get(low.replace("ё", "е"), RARE_BITS), "cyrillic"
+    if "\u0370" <= c < "\u0400":
+        return RARE_BITS if low in "ΐΰ" else _GREEK_BITS.get(unicodedata.normalize("NFD", low)[0], RARE_BITS), "greek"
+    if "\u0e00" <= c < "\u0e80":
+        return RARE_BITS if c in RARE_THAI else 4.3, "thai"
+    if "\uac00" <= c < "\ud7a4":
+        try:
+            # the standard holds what is in use, a narrower range than the others'; the codec spells out the rest
+            return (PLAIN_BITS - 0.5 if len(c.encode("euc-kr")) == 2 else RARE_BITS), "hangul"
+        except UnicodeEncodeError:
+            return RARE_BITS, "hangul"
+    if "\u3040" <= c < "\u3100":
+        return 3.5 if c < "\u30a0" else 4.0, "han"
+    if "\u4e00" <= c < "\ua000":
+        return PLAIN_BITS, "han"  # whether it is common only the text's others tell
+    return (PLAIN_BITS, "latin") if ord(c) < 0x250 else (RARE_BITS, "other")
+
+
+_GREEK_WORD, _TONOS = re.compile("[\u0370-\u03ff]{4,}"), re.compile("[\u0300\u0301\u0342]")
+
+
+def _main_script(text: str) -> str:
+    scripts = Counter(x[1] for c in text if (x := _letter_bits(c)))
+    return scripts.most_common(1)[0][0] if scripts else ""
+
+
+@lru_cache(maxsize=1 << 16)
+def _common_in(c: str) -> frozenset[str]:
+    """The standards in which a Chinese character is one of the common ones."""
+    out = set()
+    for page, first, last in COMMON_HAN:
+        try:
+            if first <= c.encode(page)[0] <= last:
+                out.add(page)
+        except UnicodeEncodeError:
+            pass
+    return frozenset(out)
+
+
+def reading_bits(text: str) -> float:
+    """Bits a letter of a reading's letters beyond ASCII; capitals inside words, a final sigma before
+    a letter and letters of a second script cost more."""
+    total, before, scripts = 0.0, "", Counter()
+    stray = 0
+    for c in text:
+        said = _letter_bits(c)
+        if said is not None:
+            total += said[0]
+            scripts[said[1]] += 1
+            if c.isupper() and before.islower() or before == "ς":
+                total += CASE_BITS
+        elif c >= "\u0370" and not (unicodedata.category(c)[0] == "M" and before.isalpha() and not before.isascii()) and not (c in "ー・、。" and before >= "\u3000") and not "\u2010" <= c <= "\u2122":
+            # a mark without its letter, a digit or sign of another script
+            stray += 1
+            total += RARE_BITS
+        before = c
+    # a Greek word of several syllables has an accent
+    total += CASE_BITS * sum(not _TONOS.search(unicodedata.normalize("NFD", w)) and not w.isupper() for w in _GREEK_WORD.findall(text))
+    n = scripts.total() + stray
+    if not scripts:
+        return RARE_BITS if stray else PLAIN_BITS
+    if han := [_common_in(c) for c in text if "\u4e00" <= c < "\ua000"]:
+        # all characters of a text are common in one language
+        total += (RARE_BITS - PLAIN_BITS) * (len(han) - max(sum(page in x for x in han) for page, *_ in COMMON_HAN))
+    if n == 1 and not scripts["latin"]:
+        total += MIXED_BITS  # one letter alone is no word of another script
+    return (total + MIXED_BITS * (n - stray - max(scripts.values()))) / n
+
+
 def repair(text: str | None) -> tuple[str | None, bool]:
     """``(text, found)``: the text with garbled pieces restored where possible, and whether any piece is garbled."""
     if not text or harmless(text):
@@ -317,8 +410,8 @@ def repair(text: str | None) -> tuple[str | None, bool]:
         for p, q in now.items():
             now[p] = _peel(q)[1]
         # one code page read as another: the same pair for the whole text, whichever helps most
-        left = {p: q for p, q in now.items() if "\ufffd" not in q and suspicious(q)}
-        best, gain = None, SWAP_GAIN
+        left = {p: q for p, q in now.items() if "\ufffd" not in q and q not in LONE and suspicious(q)}
+        best, readings = None, []
         for pair in PAIRS:
             if pair[0] != "utf-8" and left:
                 take, won = {}, 0.0
@@ -327,8 +420,18 @@ def repair(text: str | None) -> tuple[str | None, bool]:
                     if r is not None and r != q and _one_script(r) and (less := cost_of(q) - cost_of(r)) >= DROP and cost_of(r) <= cost_of(q) / 3:
                         take[p] = r
                         won += less
-                if take and won > gain + 1e-9:
-                    best, gain, used = take, won, pair
+                if take and won > SWAP_GAIN + 1e-9:
+                    readings.append((won, len(readings), take, pair))
+        if readings:
+            top = max(readings)[0]
+            # what a reading leaves as it is counts against it
+            far = {p: sum(c >= "\x80" for c in q) for p, q in left.items()}
+            share = lambda take: sum(far[p] for p in take) / sum(far.values())
+            close = sorted((reading_bits(" ".join(take.values())) * share(take) + RARE_BITS * (1 - share(take)) - GAIN_BITS * won, i, won, take, pair) for won, i, take, pair in readings if won >= CLOSE * top)
+            bits, _, _, best, used = close[0]
+            script = _main_script(" ".join(best.values()))
+            if any(c[0] - bits < TIE_BITS and _main_script(" ".join(c[3].values())) not in ("", script) for c in close[1:]):
+                found, best = True, None  # readings in two scripts are as good as each other: neither is taken
         if best:
             # the rest of the text was read the same way
             rest = set(_PIECE.findall(text)) - now.keys()

@@ -233,7 +233,7 @@ def _clean(text: str) -> str:
     if encoding.harmless(text):
         return text
     text = encoding.repair(text)[0]
-    if characters.SUSPECT_CHARS.search(text):
+    if characters.suspect_chars().search(text):
         text = characters._WORD.sub(lambda m: next(iter(characters.twin_spellings(m[0])), m[0]), characters.fold(text))
     return text
 

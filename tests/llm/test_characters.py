@@ -51,3 +51,33 @@ def test_only_words_of_the_vocabulary_are_substituted(spark):
     assert {tuple(r) for r in characters.inconsistent_fields(df).collect()} == set(got)
     empty = df.limit(0)
     assert characters.consistent_form(empty).count() == 0 and characters.inconsistent_fields(empty).count() == 0
+
+
+def test_the_prefilter_leaves_out_nothing():
+    # what fold changes, alone or after the letter before it, is looked at
+    pattern = characters.suspect_chars()
+    for o in [*range(0xA0, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x2F800, 0x2FA20)]:
+        c = chr(o)
+        if characters.fold(c) != c:
+            assert pattern.search(c), hex(o)
+        split = unicodedata.normalize("NFD", c)
+        if split != c and characters.fold(split) != split:
+            assert pattern.search(split), hex(o)
+
+
+@pytest.mark.parametrize("word, plain", [("Gօօgle", "Google"), ("Ꭺpple", "Apple"), ("Ꮪony", "Sony"), ("ɡoogle", "google"), ("pаpеr", "paper"), ("Αlpha", "Alpha")])
+def test_twins_of_other_scripts(word, plain):
+    assert plain in characters.twin_spellings(word)
+    assert characters.suspect_chars().search(word)
+
+
+def test_words_of_one_script_stay():
+    for word in ("Բարեւ", "ᏣᎳᎩ", "Москва", "Αθήνα", "Straße"):
+        assert characters.twin_spellings(word) == ()
+
+
+def test_many_candidates_meet_the_corpus_by_a_shuffle(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "Pаper lamp", "x", None), (2, "paper", None, None)], "product_id long, title string, brand string, description string")
+    few = {tuple(r) for r in characters.consistent_form(df).collect()}
+    monkeypatch.setattr(characters, "BROADCAST_WORDS", 0)
+    assert few == {tuple(r) for r in characters.consistent_form(df).collect()} == {(1, "title", "Pаper lamp", "Paper lamp")}

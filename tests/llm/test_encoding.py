@@ -1,6 +1,8 @@
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from mossgrid.llm import encoding
 
@@ -70,3 +72,50 @@ def test_harmless_texts_have_no_suspicious_piece():
 
 def test_dashes_between_names_are_left_alone():
     assert encoding.repair("Mo–Fr–Sa") == ("Mo–Fr–Sa", False)
+
+
+#: Texts, the encoding they were written in, and those they were read with.
+WRITTEN = [
+    ("Καφετιέρα εσπρέσο με αντλία", "iso8859-7"), ("Υψηλή ποιότητα για κάθε μέρα", "cp1253"), ("무선 청소기 필터 교체용", "euc-kr"), ("어린이용 자전거 헬멧", "cp949"), ("ステンレス製の水筒です", "shift_jis"), ("不锈钢保温杯 容量大", "gbk"), ("儿童自行车头盔", "gbk"), ("不鏽鋼保溫杯", "big5"),
+    ("Чайник электрический белый", "cp1251"), ("Чайник электрический белый", "koi8-r"), ("Бутылка для воды красная", "cp1251"), ("กระเป๋าเดินทาง", "cp874"), ("mieć łóżko dębowe", "cp1250"), ("Küchenmesser mit Öse für Gäste", "cp850"), ("sac à dos de randonnée", "mac_roman"),
+]
+
+
+def test_exact_restorations():
+    done = tried = 0
+    for text, written in WRITTEN:
+        for read in ("latin-1", "cp1252"):
+            try:
+                garbled = text.encode(written).decode(read)
+            except UnicodeDecodeError:
+                continue
+            tried += 1
+            done += encoding.repair(garbled) == (text, True)
+    for text in [t for t, _ in WRITTEN]:
+        for read in ("latin-1", "cp1252"):
+            try:
+                garbled = text.encode("utf-8").decode(read)
+            except UnicodeDecodeError:
+                continue
+            tried += 1
+            done += encoding.repair(garbled) == (text, True)
+    assert tried > 30 and done >= 0.9 * tried, (done, tried)
+
+
+def test_readings_as_good_as_each_other_leave_the_text_alone():
+    garbled = "軽量".encode("euc-jp").decode("latin-1")
+    text, found = encoding.repair(garbled)
+    assert found and text in (garbled, "軽量")
+
+
+def test_plain_texts_stay():
+    for text, _ in WRITTEN:
+        assert encoding.repair(text) == (text, False)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=sorted(encoding._PLAIN | set("éüßżÖ–’ ")), max_size=60))
+def test_the_early_exit_leaves_out_nothing(text):
+    if encoding.harmless(text):
+        assert not any(map(encoding.suspicious, encoding._PIECE.findall(text)))
+        assert encoding._other_cyrillic(text) is None
