@@ -41,7 +41,9 @@ def main(argv: list[str] | None = None) -> int:
 
         print(write(df, args.out))
     else:
-        for line in df.select(F.to_json(F.struct(*df.columns))).toLocalIterator():
+        # decimals leave as text, with the digits as recorded
+        text = [F.col(c).cast("string").alias(c) if kind.startswith("decimal") else F.col(c) for c, kind in df.dtypes]
+        for line in df.select(F.to_json(F.struct(*text))).toLocalIterator():
             print(line[0])
     return 0
 

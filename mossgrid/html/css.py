@@ -76,18 +76,19 @@ def _pseudo(name: str, arg: str | None):
 
 @lru_cache(maxsize=4096)
 def compiled(selector: str) -> tuple:
-    """Chains of ``(combinator, tests)``, the last compound first."""
-    chains, chain, tests, comb, at = [], [], [], None, 0
+    """Chains of ``(combinator, tests, hint)``, the last compound first; the hint, a kind and a value, is
+    what an element must have to match the compound."""
+    chains, chain, tests, hints, comb, at = [], [], [], [], None, 0
     text = selector.strip()
     if not text:
         raise SelectorError("empty selector")
 
     def close() -> None:
-        nonlocal tests
+        nonlocal tests, hints
         if not tests:
             raise SelectorError(selector)
-        chain.append((comb, tuple(tests)))
-        tests = []
+        chain.append((comb, tuple(tests), min(hints) if hints else None))
+        tests, hints = [], []
 
     while at < len(text):
         m = _PART.match(text, at)
@@ -104,8 +105,10 @@ def compiled(selector: str) -> tuple:
         elif m["any"]:
             tests.append(lambda n: True)
         elif m["id"]:
+            hints.append((0, m["id"].replace("\\", "")))
             tests.append(lambda n, v=m["id"].replace("\\", ""): n.attrs.get("id") == v)
         elif m["cls"]:
+            hints.append((1, m["cls"].replace("\\", "")))
             tests.append(lambda n, v=m["cls"].replace("\\", ""): v in n.classes)
         elif m["attr"]:
             value = next((v for v in (m["dq"], m["sq"], m["bare"]) if v is not None), "")
@@ -113,6 +116,7 @@ def compiled(selector: str) -> tuple:
         elif m["pseudo"]:
             tests.append(_pseudo(m["pseudo"].lower(), m["arg"]))
         else:
+            hints.append((2, m["type"].lower()))
             tests.append(lambda n, v=m["type"].lower(): n.name == v)
     close()
     chains.append(tuple(reversed(chain)))
@@ -120,7 +124,7 @@ def compiled(selector: str) -> tuple:
 
 
 def _matches(node: Node, chain: tuple, step: int = 0) -> bool:
-    comb, tests = chain[step]
+    comb, tests, _ = chain[step]
     if not all(t(node) for t in tests):
         return False
     if step + 1 == len(chain):
@@ -144,4 +148,7 @@ def _matches(node: Node, chain: tuple, step: int = 0) -> bool:
 def select(root: Node, selector: str) -> list[Node]:
     """Elements below ``root`` that match, in document order."""
     chains = compiled(selector)
+    if len(chains) == 1 and chains[0][0][2] is not None and root.order is not None:
+        chain = chains[0]
+        return [n for n in root.found().get(chain[0][2], ()) if _matches(n, chain)]
     return [n for n in root.walk() if any(_matches(n, c) for c in chains)]

@@ -16,16 +16,29 @@ VOID = frozenset("area base br col embed hr img input keygen link meta param sou
 class Node:
     """An element; ``children`` holds nodes and strings."""
 
-    __slots__ = ("name", "attrs", "children", "parent", "order")
+    __slots__ = ("name", "attrs", "children", "parent", "order", "_found")
 
     def __init__(self, name: str, attrs: dict[str, str], parent: "Node | None") -> None:
         self.name, self.attrs, self.children, self.parent = name, attrs, [], parent
         #: All elements of the page in document order, at its root alone.
         self.order: list[Node] | None = None
+        self._found: dict[tuple[int, str], list[Node]] | None = None
 
     def get(self, name: str, default: str | None = None) -> str | None:
         return self.attrs.get(name, default)
 
+    def found(self) -> dict[tuple[int, str], list["Node"]]:
+        """At a page's root: its elements by id (0), class (1) and name (2), in document order."""
+        if self._found is None:
+            self._found = {}
+            for n in self.order or ():
+                self._found.setdefault((2, n.name), []).append(n)
+                if own := n.attrs.get("id"):
+                    self._found.setdefault((0, own), []).append(n)
+                for c in dict.fromkeys(n.classes):
+                    self._found.setdefault((1, c), []).append(n)
+        return self._found
+
     @property
     def classes(self) -> list[str]:
         return (self.attrs.get("class") or "").split()

@@ -161,7 +161,7 @@ def _escaped(c: str) -> Column:
     return F.replace(F.replace(F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
 
 
-def made_pages(spark: SparkSession, d: str) -> DataFrame:
+def made_pages(spark: SparkSession, d: str, listings: DataFrame | None = None, kept: tuple[str, ...] = ()) -> DataFrame:
     """One page per listing, holding its fields under every selector that the recipes use."""
     e = _escaped
     html = F.concat(
@@ -170,7 +170,14 @@ def made_pages(spark: SparkSession, d: str) -> DataFrame:
         F.lit('</span><section id="text"><div class="about"><p class="long">'), e("description"), F.lit('</p></div></section><table><tr><td class="code"><span class="art-no">'), e("sku"),
         F.lit('</span></td></tr></table><div class="pics"><img class="shot" src="/img/a.jpg"><img class="shot" src="/img/b.jpg"></div><ul><li class="mk"><a class="by" href="/b"><span class="maker">'), e("brand"), F.lit("</span></a></li></ul></body></html>"),
     )
-    return spread(table(spark, d, "products").select("product_id", "url", "title", "price_text", "description", "sku", "brand")).select("product_id", "url", "price_text", html.alias("html"))
+    p = (listings if listings is not None else _products(spark, d)).select("product_id", "url", "title", "price_text", "description", "sku", "brand", *kept)
+    return spread(p).select("product_id", "url", "price_text", html.alias("html"), *kept)
+
+
+def replayable_pages(spark: SparkSession, d: str, known: str) -> DataFrame:
+    """The pages of listings whose site has a recipe for which ``known`` holds: the others are not built."""
+    held = governance.with_recipe(_products(spark, d), table(spark, d, "recipes")).where(known)
+    return made_pages(spark, d, held, ("fields", "modes", "alternates"))
 
 
 _TEXTS = _TRIM.format(r"regexp_replace(coalesce({0}, ''), '', '')")
@@ -204,7 +211,7 @@ def platform_match(spark, d):
 
 @query("page_features", f"select product_id, {_TRIM.format('title')} as title, 2 + 1 as links, 'https://' || {_HOST.format('url')} || '/all' as nearest from {_P}".replace("'https://' ||", "regexp_extract(url, '^([a-z]+)://', 1) || '://' ||"))
 def page_features(spark, d):
-    f = made_pages(spark, d).dropDuplicates(["product_id"]).withColumn("f", extract.page_features(F.col("html"), F.col("url"), ("title", "links", "crumbs")))
+    f = made_pages(spark, d).withColumn("f", extract.page_features(F.col("html"), F.col("url"), ("title", "links", "crumbs")))
     return f.select("product_id", F.col("f.title").alias("title"), F.size("f.links").alias("links"), F.get("f.crumbs", F.lit(0)).alias("nearest"))
 
 
@@ -219,10 +226,9 @@ from {_P} p join r on {_DOMAIN.format('p.url')} = r.domain"""
 
 @query("recipe_replay", _REPLAY)
 def recipe_replay(spark, d):
-    known = governance.with_recipe(made_pages(spark, d), table(spark, d, "recipes"))
-    typed = PRODUCT.typed(extract.replayed(known.where("fields is not null"), PRODUCT).select("product_id", "read"))
+    typed = PRODUCT.typed(extract.replayed(replayable_pages(spark, d, "fields is not null"), PRODUCT).select("product_id", "read"))
     empty = lambda c: F.nullif(c, F.lit("")).alias(c)
-    return typed.select("product_id", empty("title"), empty("description"), empty("sku"), empty("brand"), F.coalesce(F.size("images"), F.lit(0)).alias("images")).dropDuplicates(["product_id"])
+    return typed.select("product_id", empty("title"), empty("description"), empty("sku"), empty("brand"), F.coalesce(F.size("images"), F.lit(0)).alias("images"))
 
 
 @query("recipe_prices", f"""with r as (select regexp_replace(lower(domain), '^www\\.', '') as domain, arg_max(fields, compiled_at) as fields from recipes where schema_name = 'product' group by 1),
@@ -231,9 +237,8 @@ select p.product_id, case when len(list_filter(regexp_extract_all(coalesce(price
 from {_P} p join r on {_DOMAIN.format('p.url')} = r.domain join m on m.product_id = p.product_id where fields['price'] is not null""")
 def recipe_prices(spark, d):
     """The price of every page; a text that holds two prices is left open."""
-    known = governance.with_recipe(made_pages(spark, d), table(spark, d, "recipes")).where("fields['price'] is not null")
-    typed = PRODUCT.typed(extract.replayed(known, PRODUCT).select("product_id", "read"))
-    return typed.select("product_id", F.nullif(F.col("price").cast("double"), F.lit(0.0)).alias("price")).dropDuplicates(["product_id"])
+    typed = PRODUCT.typed(extract.replayed(replayable_pages(spark, d, "fields['price'] is not null"), PRODUCT).select("product_id", "read"))
+    return typed.select("product_id", F.nullif(F.col("price").cast("double"), F.lit(0.0)).alias("price"))
 
 
 @query("rows_mode", f"""with p as (select site, product_id, title, row_number() over (partition by site order by product_id) - 1 as card from {_P})

@@ -94,6 +94,10 @@ def _cell_name(col: int, row: int) -> str:
     return f"{name}{row}"
 
 
+#: A sheet holds no more rows, its header among them.
+XLSX_ROWS = 1_048_576
+
+
 def write_xlsx(df: DataFrame, path: str, wide: tuple[str, ...] = ("title", "url", "description", "images")) -> int:
     """A workbook with one sheet "data", its header frozen; text columns that run long are wider."""
     bad = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f]")
@@ -114,13 +118,18 @@ def write_xlsx(df: DataFrame, path: str, wide: tuple[str, ...] = ("title", "url"
             f.write(f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{ns}/spreadsheetml/2006/main"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews><cols>{cols}</cols><sheetData>'.encode())
             line(1, df.columns)
             for n, row in enumerate(_lines(df), 1):
+                if n >= XLSX_ROWS:
+                    raise ValueError(f"a sheet holds {XLSX_ROWS - 1} rows; write .csv or .jsonl, or fewer rows")
                 line(n + 1, row)
             f.write(b"</sheetData></worksheet>")
     return n
 
 
-def write(df: DataFrame, path: str) -> int:
-    """By the path's ending: .csv, .jsonl, .ndjson or .xlsx. Rows written."""
+def write(df: DataFrame, path: str, most: int | None = None) -> int:
+    """By the path's ending: .csv, .jsonl, .ndjson or .xlsx. Rows written. The file is one, written by
+    the driver row by row; with ``most`` a longer table is refused before anything is written."""
+    if most is not None and df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows to export")
     kind = os.path.splitext(path)[1].lower()
     writers = {".csv": write_csv, ".jsonl": write_jsonl, ".ndjson": write_jsonl, ".xlsx": write_xlsx}
     if kind not in writers:
