@@ -28,14 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
         where = os.path.join(tempfile.gettempdir(), f"mossgrid-{uuid.uuid4().hex[:8]}")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(where)
-        # files of a checkpoint go when no plan refers to it any more
-        sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return where
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the shared folder, so that later steps
-    read it instead of computing it again and a lost executor costs no recomputation."""
+    read it instead of computing it again and a lost executor costs no recomputation.
+
+    The files go when no plan refers to them any more, where the session was started with
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
