@@ -86,30 +86,41 @@ _COLOUR = {w: c for c, words in COLOURS.items() for w in words.split()}
 _any = lambda words: "|".join(map(re.escape, sorted(words, key=len, reverse=True)))
 _COLOUR_RE = re.compile(rf"(?<!\w)(?:(?P<navy>{_any(NAVY)})|(?P<before>{_any(x for x in DARK + LIGHT if x)})?(?P<word>{_any(_COLOUR)})(?: (?P<after>{_any(x for x in DARK + LIGHT if x[-1] not in ' -')}))?)(?!\w)(?! (?:{_any(SERIES)}))")
 _SUFFIX = rf"(?:[ -]?(?:{_any(SUFFIXES)})(?!-?\w))+"
-_CODE = re.compile(rf"(?<![^\W_])(?P<a>[^\W\d_]{{1,12}})(?P<gap>[ -]?)(?P<d>\d{{1,8}})(?P<rest>(?:[^\W\d_]{{1,3}}\d*(?![^\W_]))?(?:-(?:\d+|[^\W\d_]{{1,3}})(?![^\W_]))*)(?P<suffix>{_SUFFIX})?(?![^\W_])|(?<![^\W_])(?P<n>\d{{1,4}})(?P<b>[^\W\d_]{{2,6}})(?P<e>\d{{2,8}})(?P<f>[^\W\d_]{{0,3}})(?![^\W_])")
+_CODE = re.compile(rf"(?<![^\W_])(?P<a>[^\W\d_]{{1,12}}+)(?P<gap>[ -]?)(?P<d>\d{{1,8}})(?P<rest>(?:[^\W\d_]{{1,3}}\d*(?![^\W_]))?(?:-(?:\d+|[^\W\d_]{{1,3}})(?![^\W_]))*)(?P<suffix>{_SUFFIX})?(?![^\W_])|(?<![^\W_])(?P<n>\d{{1,4}})(?P<b>[^\W\d_]{{2,6}})(?P<e>\d{{2,8}})(?P<f>[^\W\d_]{{0,3}})(?![^\W_])")
 _MEASURE = re.compile(rf"(?<![\w.,Ø])(\d+(?:[.,]\d+)?) ?({_any(UNITS)})(?![\w²³])(?!-\d)")
 _SIZE = re.compile(r"(?<!\w)(?:eu|gr\.?|size|taille|talla|maat|stl\.?|rozm\.?|р\.?|размер|rozmiar|größe|storlek|str\.?) ?(\d{2}|xs|s|m|l|xl|xxl)(?!\w)|(?<!\w)(?:small|medium|large|x-large|xx-large) \((xs|s|m|l|xl|xxl)\)")
 #: Labels before a colour and before a measure in a description.
 COLOUR_LABELS = frozenset("colour color farbe couleur kleur kolor färg colore cor цвет".split())
 MEASURE_LABELS = frozenset("specification ausführung format uitvoering wersja tamaño utförande исполнение size größe taille maat rozmiar storlek размер".split())
-_LABEL = re.compile(r"([^\W\d_]+) ?$")
+#: The word before a colon, read backwards from it.
+_LABEL = re.compile(r"\n? ?([^\W\d_]+)")
 _VALUE = re.compile(r" ?([^;\n]*)")
 _ACCESSORY = re.compile(rf"(?<!\w)(?:{'|'.join(ACCESSORY)})")
 _SUFFIX_OF_BRAND = re.compile(r" (?:official|gmbh|store|co\.?|ltd\.?|inc\.?|shop)$")
-_NOT_ALNUM = re.compile(r"[\W_]+")
 _LETTERS = re.compile(r"[^\W\d_]{2,}")
 PART = "\x1f"
 
 
+def _found(pattern: re.Pattern, text: str, within: int | None) -> Iterator[re.Match]:
+    """The matches in ``text``, one after another; those that begin in the first ``within`` characters
+    are looked for there alone."""
+    if within is None:
+        yield from pattern.finditer(text)
+        return
+    at = 0
+    while at <= within:
+        if m := pattern.match(text, at):
+            yield m
+        at = m.end() if m else at + 1
+
+
 def measures_of(text: str, within: int | None = None) -> str | None:
     """The measures in ``text`` in common units, the first of each kind: "v750", "b128000|x150",
     "size:m". ``within``: the first must begin in so many characters, and stands alone."""
-    if (m := _SIZE.search(text)) and (within is None or m.start() <= within):
+    if m := next(_found(_SIZE, text, within), None):
         return f"size:{m[1] or m[2]}"
     out: dict[str, str] = {}
-    for m in _MEASURE.finditer(text):
-        if within is not None and m.start() > within:
-            break
+    for m in _found(_MEASURE, text, within):
         if text[: m.start()].rstrip().endswith("ø"):
             continue
         kind, factor = UNITS[m[2]]
@@ -133,7 +144,7 @@ def colour_of(text: str) -> str | None:
 
 
 def _plain(text: str) -> str:
-    return _NOT_ALNUM.sub("", text)
+    return text if text.isalnum() else "".join(filter(str.isalnum, text))
 
 
 def labelled(text: str) -> tuple[str | None, str | None]:
@@ -141,10 +152,11 @@ def labelled(text: str) -> tuple[str | None, str | None]:
     colour = measure = None
     at = text.find(":")
     while at >= 0:
-        if m := _LABEL.search(text, max(0, at - 24), at):
-            if colour is None and m[1] in COLOUR_LABELS:
+        if m := _LABEL.match(text[max(0, at - 24) : at][::-1]):
+            label = m[1][::-1]
+            if colour is None and label in COLOUR_LABELS:
                 colour = _VALUE.match(text, at + 1)[1].partition(".")[0]
-            elif measure is None and m[1] in MEASURE_LABELS:
+            elif measure is None and label in MEASURE_LABELS:
                 measure = _VALUE.match(text, at + 1)[1]
         at = text.find(":", at + 1)
     return colour, measure
@@ -180,10 +192,10 @@ def marks(title: str | None, brand: str | None, sku: str | None, description: st
     """``(model, brand, colour, measures, variant)`` of a listing; None where it has no model,
     is an accessory or holds residue instead of content."""
     index = index or _UNWEIGHTED
-    t = residue._clean(title or "").casefold()
-    d = residue._clean(description or "").casefold()
-    own = residue.words_of(site)
-    if index.judge(t, own, True) or index.judge(d, own, True) or _ACCESSORY.search(t):
+    t, d = title or "", description or ""
+    loud = [not index.quiet(x) for x in (t, d)]
+    t, d = ((residue._clean(x) if y else x).casefold() for x, y in zip((t, d), loud))
+    if any(y and index.judge(x, residue.words_of(site), True) for x, y in zip((t, d), loud)) or _ACCESSORY.search(t):
         return None
     s = (sku or "").casefold().strip()
     code, suffix, m, field = model_of([t, d, s])

@@ -74,6 +74,8 @@ LONG = 4
 #: The bound of the labelled sample.
 MOST_EXEMPLARS = 5000
 COVERED = 0.6
+#: Words a task remembers as saying nothing: how many, and of at most how many characters.
+KNOWN, KNOWN_LENGTH = 1 << 16, 64
 _NAME = r"\s*[A-Za-z][\w.]*(?:[ ][A-Za-z][\w.]*){0,3}\s*"
 _SHAPES = [("{{{", "}}}"), ("{{", "}}"), ("{%", "%}"), ("<%=", "%>"), ("[%", "%]"), ("${", "}"), ("#{", "}"), ("[[", "]]"), ("*|", "|*"), ("%%", "%%"), ("##", "##"), ("@@", "@@"), ("__", "__"), ("&lt;", "&gt;"), ("«", "»_tbd"), ("t('", "')"), ("{", ":s}"), ("<", " here>"), ("{", "}"), ("[", "]"), ("%", "%"), ("$", "$"), ("@model.", ""), ("$", "")]
 #: Signs that honest text uses too: what stands in them must be an identifier or name a field.
@@ -141,6 +143,7 @@ class Index:
                 if left < CONTAINED * self.mass[e] - 1e-9:
                     break
         self.first = frozenset(self.heads)
+        self.known: set[str] = set()
         # the pooled words of the messages, and those of them that few texts and one kind hold
         self.rarest = 1.0 + math.log(n + 1)
         self.pools = {k: frozenset(t for kind, bag in zip(self.kinds, self.bags) if kind == k for t in bag) for k in ("notice", "error", "filler")}
@@ -182,6 +185,28 @@ class Index:
                     out.append((e, max(0, i - size + 1), i + 1))
         return out
 
+    def quiet(self, text: str) -> bool:
+        """Whether :func:`_clean` would leave the text as it is and :meth:`judge` would find nothing in
+        its lower-case form, so that neither needs to read it. Neither looks across a blank for a trace, so
+        the text's words tell, and most words have been seen before. False says nothing."""
+        words = text.split(" ")
+        if not self.known.issuperset(words):
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            for w in words:
+                if w not in self.known:
+                    if not self._quiet_word(w):
+                        return False
+                    if len(w) <= KNOWN_LENGTH:
+                        self.known.add(w)
+        return text.isascii() or encoding._other_cyrillic(text) is None
+
+    def _quiet_word(self, word: str) -> bool:
+        if not word.isascii() and (any(map(encoding.suspicious, encoding._PIECE.findall(word))) or characters.suspect_chars().search(word)):
+            return False
+        low = word.casefold()
+        return not _SIGNS.search(low) and self.first.isdisjoint(_WORDS.findall(low))
+
     def judge(self, text: str, own: frozenset[str] = frozenset(), folded: bool = False) -> str | None:
         """The kind of residue a text is or contains. ``own``: words of the seller's
         address, which error pages append. ``folded``: the text is in lower case already."""
